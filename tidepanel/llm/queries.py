@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 #: Modules that hold one query each.
-MODULES = ("q_tokens", "q_quality")
+MODULES = ("q_tokens", "q_quality", "q_sharding")
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
