@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pyarrow as pa
-import pyarrow.compute  # noqa: F401
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -69,7 +69,7 @@ def token_counts(docs: DataFrame, vocabulary: str, *, id_col: str = "doc_id", te
         for whole in batches:
             for batch in slices(whole, "text", BATCH_BYTES):
                 counts = count_texts(column_list(batch, "text"), vocabulary)
-                n_bytes = pa.compute.binary_length(batch.column(1)).fill_null(0)
+                n_bytes = pc.binary_length(batch.column(1)).fill_null(0)
                 yield pa.RecordBatch.from_arrays([batch.column(0), n_bytes.cast(pa.int64()), pa.array(counts, pa.int64())], [id_col, "n_bytes", "n_tokens"])
 
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
