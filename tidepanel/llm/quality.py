@@ -88,15 +88,18 @@ def with_counts(docs: DataFrame, text_col: str, prefix: str = "") -> DataFrame:
     grams = F.transform(F.sequence(F.lit(0), F.size(words) - 3), lambda i: F.concat_ws(" ", F.get(words, i), F.get(words, i + 1), F.get(words, i + 2)))
     step = step.withColumns({v: F.when(F.size(words) >= 3, grams).otherwise(F.array().cast("array<string>")), li: line})
     bare = lambda x: F.lower(F.rtrim(x, F.lit(TAIL)))
-    step = step.withColumns({
-        f"{prefix}n_words": F.size(words).cast("long"),
-        f"{prefix}word_chars": F.length(F.array_join(words, "")).cast("long"),
-        f"{prefix}n_symbols": F.regexp_count(text, F.lit(SYMBOLS)).cast("long"),
-        f"{prefix}n_dup_lines": (F.size(li) - F.size(F.array_distinct(li))).cast("long"),
-        f"{prefix}n_repeat_words": _repeat_words(words, F.col(v)),
-        f"{prefix}n_stop_words": F.size(F.filter(words, lambda x: bare(x).isin(*STOP_WORDS))).cast("long"),
-        f"{prefix}n_lines": F.size(li).cast("long"),
-    })
+    counts = F.struct(
+        F.size(words).cast("long").alias("n_words"),
+        F.length(F.array_join(words, "")).cast("long").alias("word_chars"),
+        F.regexp_count(text, F.lit(SYMBOLS)).cast("long").alias("n_symbols"),
+        (F.size(li) - F.size(F.array_distinct(li))).cast("long").alias("n_dup_lines"),
+        _repeat_words(words, F.col(v)).alias("n_repeat_words"),
+        F.size(F.filter(words, lambda x: bare(x).isin(*STOP_WORDS))).cast("long").alias("n_stop_words"),
+        F.size(li).cast("long").alias("n_lines"),
+    )
+    # a filter on the counts must not be pushed below them: it would compute each as often as it names it
+    step = step.withColumn("_q_counts", F.explode(F.array(counts)))
+    step = step.withColumns({f"{prefix}{c}": F.col("_q_counts")[c] for c in COUNTS}).drop("_q_counts")
     return step.drop(t, w, v, li)
 
 

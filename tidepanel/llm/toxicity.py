@@ -238,16 +238,28 @@ def score_toxicity(docs: DataFrame, model: ToxicityModel, *, text_col: str = "te
     """The columns ``keep`` with ``score`` (0 to 1) and ``predicted`` (1 from 0.5 on) of every whole text.
 
     Null and empty texts score as texts without any voter. Repeated rows score alike; an empty table
-    gives an empty result. Very long texts are read whole, once.
+    gives an empty result. Very long texts are read whole, once. The text itself may be among ``keep``.
     """
-    rows = docs.select(*[F.col(f"`{c}`") for c in keep], F.col(text_col).alias("_tox_text"))
-    fields = ", ".join(f"`{n}` {t}" for n, t in rows.dtypes if n != "_tox_text")
+    clash = {"score", "predicted"} & set(keep)
+    if clash:
+        keep_as = {c: f"_kept_{c}" for c in clash}
+        docs, keep = docs.withColumnsRenamed(keep_as), tuple(keep_as.get(c, c) for c in keep)
+    names = [*keep, *([] if text_col in keep else [text_col])]
+    rows = docs.select(*[F.col(f"`{c}`") for c in names])
+    fields = ", ".join(f"`{n}` {t}" for n, t in rows.dtypes if n in keep)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for batch in slices(whole, "_tox_text", BATCH_BYTES):
-                scores = [model.score(t) for t in column_list(batch, "_tox_text")]
+            for batch in slices(whole, text_col, BATCH_BYTES):
+                scores = [model.score(t) for t in column_list(batch, text_col)]
                 arrays = [batch.column(i) for i in range(len(keep))]
                 yield pa.RecordBatch.from_arrays([*arrays, pa.array(scores, pa.float64()), pa.array([int(s >= 0.5) for s in scores], pa.int32())], [*keep, "score", "predicted"])
 
     return rows.mapInArrow(run, f"{fields}, score double, predicted int")
+
+
+def keep_civil(docs: DataFrame, model: ToxicityModel, *, text_col: str = "text") -> DataFrame:
+    """The rows of ``docs`` that the model does not call toxic, with the columns of ``docs``."""
+    scored = score_toxicity(docs, model, text_col=text_col, keep=tuple(docs.columns))
+    kept = scored.where(scored["predicted"] == 0)
+    return kept.select(*[F.col(f"`_kept_{c}`" if c in ("score", "predicted") else f"`{c}`").alias(c) for c in docs.columns])
