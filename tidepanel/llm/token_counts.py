@@ -23,7 +23,8 @@ def drops_white_space(tokenizer_json: str) -> bool:
 
     pre = json.loads(tokenizer_json).get("pre_tokenizer") or {}
     first = (pre.get("pretokenizers") or [pre])[0]
-    return first.get("type") == "Split" and first.get("behavior") == "Removed" and bool(first.get("invert")) and "[^\\s" in str(first.get("pattern"))
+    pattern = (first.get("pattern") or {}).get("Regex", "")
+    return first.get("type") == "Split" and first.get("behavior") == "Removed" and bool(first.get("invert")) and "[^\\s" in pattern
 
 
 def counter(path: str) -> tuple:
