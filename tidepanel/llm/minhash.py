@@ -6,9 +6,10 @@ two signatures are compared by XOR and bit counts, and the share of equal lanes,
 that agree by chance, estimates the similarity. Candidates that the estimate does not rule out are
 confirmed on the full shingle sets.
 
-No bucket is ever expanded into all its pairs. First every member is tried with a few anchors of its
-buckets. Members that these links have joined need no further test; what is left, pairs from different
-components that share a bucket, is then tried in full, so that no link found by a bucket is lost.
+No group is ever expanded into rows of pairs. Buckets of a few members are paired by a join; larger ones
+are cut into blocks, and blocks of signatures are compared as matrices, each pair of blocks returning at
+most one link for each member. What estimates connect is a *group*; full sets are compared inside
+groups, again block by block with one link for each member, so that no link is lost.
 """
 
 from __future__ import annotations
@@ -27,6 +28,11 @@ from tidepanel.llm.graph import connected_components
 BATCH_BYTES = 1 << 20
 #: Ids up to which the set of documents to confirm is broadcast (8 bytes each); beyond it is shuffled.
 BROADCAST_IDS = 500_000
+#: Members up to which a bucket's pairs are joined; larger buckets are compared in blocks.
+FEW = 6
+#: Members and bytes of text of a block.
+BLOCK = 512
+BLOCK_BYTES = 4 << 20
 
 
 @dataclass(frozen=True)
@@ -40,7 +46,6 @@ class MinHashPlan:
     bits: int = 4
     #: Standard deviations by which an estimate may fall short.
     slack: float = 5.0
-    anchors: int = 3
     seed: int = 20_240_229
 
     @property
@@ -174,38 +179,129 @@ def similarity(equal: Column, plan: MinHashPlan) -> Column:
     return (equal / plan.lanes - chance) / (1 - chance)
 
 
-def exact_link(a: str | None, b: str | None, plan: MinHashPlan) -> bool:
-    """True if the shingle sets of two texts, compared word by word, are similar enough."""
+def spanning(n: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """For each of ``n`` members the smallest member that the links (i, j) connect it with."""
+    label = np.arange(n)
+    while True:
+        before = label.copy()
+        np.minimum.at(label, i, label[j])
+        np.minimum.at(label, j, label[i])
+        label = label[label]
+        if (label == before).all():
+            return label
 
-    def full(text):
-        words = text_words(text)
-        k = min(plan.shingle, len(words))
-        return set(zip(*(words[j:] for j in range(k)), strict=False)) if words else set()
 
-    x, y = full(a), full(b)
-    both = len(x & y)
-    return bool(x and y) and 100 * both >= plan.percent * (len(x) + len(y) - both)
+def _links_out(ids: list, label: np.ndarray) -> tuple[list, list]:
+    moved = np.flatnonzero(label != np.arange(len(label)))
+    return [ids[k] for k in moved], [ids[k] for k in label[moved]]
 
 
-def confirm(pairs: DataFrame, texts: DataFrame, plan: MinHashPlan) -> DataFrame:
-    """The pairs ``a``, ``b`` whose texts are linked, confirmed on full sets."""
-    kind = dict(pairs.dtypes)["a"]
+def estimated_pairs(sig: np.ndarray, first: int, plan: MinHashPlan) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of signatures with enough equal lanes: inside all rows if ``first`` is 0, otherwise of the
+    first ``first`` rows with the others."""
+    ones = np.uint64(sum(1 << i for i in range(0, 64, plan.bits)))
+    left, right = (sig, sig) if first == 0 else (sig[:first], sig[first:])
+    differ = np.zeros((len(left), len(right)), dtype=np.int32)
+    for w in range(plan.words):
+        x = left[:, w, None] ^ right[None, :, w]
+        step = 1
+        while step < plan.bits:
+            x |= x >> np.uint64(step)
+            step *= 2
+        differ += np.bitwise_count(x & ones)
+    i, j = np.nonzero(plan.lanes - differ >= plan.least_equal)
+    return (i[i < j], j[i < j]) if first == 0 else (i, j + first)
+
+
+def exact_pairs(sets: list[np.ndarray], first: int, plan: MinHashPlan) -> tuple[np.ndarray, np.ndarray]:
+    """Linked pairs by full sets, found through the members that hold each shingle; ``first`` as above."""
+    sizes = np.array([len(x) for x in sets])
+    if len(sets) == 2:
+        both = len(np.intersect1d(sets[0], sets[1], assume_unique=True))
+        linked = 100 * both >= plan.percent * (sizes.sum() - both)
+        return (np.array([0]), np.array([1])) if linked else (np.empty(0, int), np.empty(0, int))
+    _, place = np.unique(np.concatenate(sets), return_inverse=True)
+    owner = np.repeat(np.arange(len(sets)), sizes)
+    order = np.argsort(place, kind="stable")
+    holders, ends = owner[order], np.cumsum(np.bincount(place))
+    starts, at = ends - np.diff(ends, prepend=0), np.cumsum(sizes) - sizes
+    out_i, out_j = [], []
+    for i in range(first or len(sets)):
+        mine = place[at[i] : at[i] + sizes[i]]
+        counts = np.zeros(len(sets), dtype=np.int64)
+        # the holders of each shingle, run by run, as one list of positions
+        length = ends[mine] - starts[mine]
+        positions = np.repeat(starts[mine] - np.concatenate([[0], np.cumsum(length)[:-1]]), length) + np.arange(length.sum())
+        counts += np.bincount(holders[positions], minlength=len(sets))
+        hit = np.flatnonzero(100 * counts >= plan.percent * (sizes[i] + sizes - counts))
+        hit = hit[hit >= first] if first else hit[hit > i]
+        out_i.append(np.full(len(hit), i))
+        out_j.append(hit)
+    return np.concatenate(out_i), np.concatenate(out_j)
+
+
+def _pairs_of_blocks(packs: DataFrame, key: str) -> DataFrame:
+    """Rows of (members of a block, members of the same or of a later block of one ``key``)."""
+    later = packs.select(key, "members", "blk", F.explode(F.sequence(F.col("blk"), F.col("blks") - 1)).alias("other"))
+    alone = later.where("blk = other").select("members", F.slice("members", 1, 0).alias("others"))
+    right = packs.select(F.col(key).alias("_k"), F.col("blk").alias("_b"), F.col("members").alias("others"))
+    met = later.where("blk < other").join(right, (F.col(key) == F.col("_k")) & (F.col("other") == F.col("_b"))).select("members", "others")
+    return alone.unionByName(met)
+
+
+def _compare(pairs: DataFrame, kind: str, load, find) -> DataFrame:
+    """Links (a, b) from rows of block pairs: ``load`` reads the members' values, ``find`` the linked pairs."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            a, b, ta, tb = (batch.column(i) for i in range(4))
-            keep = [exact_link(x, y, plan) for x, y in zip(ta.to_pylist(), tb.to_pylist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([a, b], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
-
-    left = pairs.join(texts.select(F.col("id").alias("a"), F.col("text").alias("ta")), "a")
-    both = left.join(texts.select(F.col("id").alias("b"), F.col("text").alias("tb")), "b")
-    return both.select("a", "b", "ta", "tb").mapInArrow(run, f"a {kind}, b {kind}")
-
-
-def _labelled(rows: DataFrame, labels: DataFrame | None) -> DataFrame:
-    if labels is None:
-        return rows.withColumn("comp", F.col("id"))
-    return rows.join(labels.withColumnRenamed("node", "id"), "id", "left").withColumn("comp", F.coalesce("component", "id")).drop("component")
+            out_a, out_b = [], []
+            for k in range(batch.num_rows):
+                mine, others = (batch.column(c)[k].values for c in (0, 1))
+                ids = mine.field("id").to_pylist() + (others.field("id").to_pylist() if others is not None else [])
+                first = len(mine) if len(ids) > len(mine) else 0
+                values = load(mine, others if first else None)
+                a, b = _links_out(ids, spanning(len(ids), *find(values, first)))
+                out_a += a
+                out_b += b
+            form = batch.schema.field(0).type.value_type.field("id").type
+            yield pa.RecordBatch.from_arrays([pa.array(out_a, form), pa.array(out_b, form)], ["a", "b"])
+
+    return pairs.mapInArrow(run, f"a {kind}, b {kind}")
+
+
+def estimated_links(shared: DataFrame, sig: DataFrame, plan: MinHashPlan) -> DataFrame:
+    """Links that connect whatever candidate pairs connect whose estimate does not rule them out."""
+    kind = dict(shared.dtypes)["id"]
+    few = shared.where(F.col("n") <= FEW).select("bucket", "id")
+    pairs = few.select("bucket", F.col("id").alias("a")).join(few.select("bucket", F.col("id").alias("b")), "bucket").where("a > b").select("a", "b").distinct()
+    pairs = pairs.join(sig.select(F.col("id").alias("a"), F.col("sig").alias("sa")), "a").join(sig.select(F.col("id").alias("b"), F.col("sig").alias("sb")), "b")
+    small = pairs.where(equal_lanes(F.col("sa"), F.col("sb"), plan) >= plan.least_equal).select("a", "b")
+    blks = F.ceil(F.col("n") / BLOCK).cast("long")
+    many = shared.where(F.col("n") > FEW).withColumn("blks", blks).withColumn("blk", F.pmod(F.xxhash64("id"), F.col("blks"))).join(sig, "id")
+    packs = many.groupBy("bucket", "blk", "blks").agg(F.collect_list(F.struct("id", "sig")).alias("members"))
+
+    def load(mine, others):
+        parts = [mine] if others is None else [mine, others]
+        return np.concatenate([p.field("sig").flatten().to_numpy(zero_copy_only=False) for p in parts]).view(np.uint64).reshape(-1, plan.words)
+
+    large = _compare(_pairs_of_blocks(packs, "bucket"), kind, load, lambda values, first: estimated_pairs(values, first, plan))
+    return small.unionByName(large)
+
+
+def exact_links(groups: DataFrame, texts: DataFrame, plan: MinHashPlan) -> DataFrame:
+    """Links that connect whatever pairs inside a group (id, component) are linked by their full sets."""
+    kind = dict(texts.dtypes)["id"]
+    rows = groups.select(F.col("node").alias("id"), F.col("component").alias("g")).join(texts, "id")
+    sizes = groups.join(texts.select(F.col("id").alias("node"), F.octet_length("text").alias("size")), "node").groupBy(F.col("component").alias("g")).agg(F.sum("size").cast("long").alias("size"), F.count(F.lit(1)).alias("n"))
+    blks = F.greatest(F.ceil(F.col("size") / BLOCK_BYTES), F.ceil(F.col("n") / BLOCK)).cast("long")
+    rows = rows.join(sizes.select("g", F.greatest(blks, F.lit(1)).alias("blks")), "g").withColumn("blk", F.pmod(F.xxhash64("id"), F.col("blks")))
+    packs = rows.groupBy("g", "blk", "blks").agg(F.collect_list(F.struct("id", "text")).alias("members"))
+
+    def load(mine, others):
+        parts = [mine] if others is None else [mine, others]
+        return [shingle_hashes(text_words(t), plan.shingle) for p in parts for t in p.field("text").to_pylist()]
+
+    return _compare(_pairs_of_blocks(packs, "g"), kind, load, lambda values, first: exact_pairs(values, first, plan))
 
 
 def near_duplicates(docs: DataFrame, plan: MinHashPlan = MinHashPlan(), *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -224,39 +320,16 @@ def near_duplicates(docs: DataFrame, plan: MinHashPlan = MinHashPlan(), *, id_co
     reps = sigs.join(classes.withColumnRenamed("rep", "id"), ["f1", "f2", "id"]).dropDuplicates(["f1", "f2"]).select("id", "bands", "sig")
     reps = materialize(reps, "class-signatures")
     buckets = reps.select("id", F.explode("bands").alias("bucket"))
-    firsts = [F.min_by("id", F.xxhash64("id", F.lit(j))).alias(f"anchor{j}") for j in range(1, plan.anchors)]
-    shared = buckets.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("anchor0"), *firsts).where("n > 1").drop("n")
-    shared = materialize(buckets.join(shared, "bucket"), "buckets")
-    needed = shared.select("id").distinct()
-    few = needed.count() <= BROADCAST_IDS
-    # rows that repeat an id: the text of the class that the id stands for
-    texts = source.join(F.broadcast(needed) if few else needed, "id", "left_semi").dropDuplicates(["id"])
+    counted = buckets.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    shared = materialize(buckets.join(counted, "bucket"), "buckets")
+    groups = materialize(connected_components(estimated_links(shared, reps.select("id", "sig"), plan)), "groups")
+    needed = groups.select(F.col("node").alias("id"))
+    few = groups.count() <= BROADCAST_IDS
+    # rows that repeat an id: the first of their texts stands for the id
+    texts = source.join(F.broadcast(needed) if few else needed, "id", "left_semi").groupBy("id").agg(F.min("text").alias("text"))
     texts = materialize(texts, "texts")
-    sig = reps.select("id", "sig")
-    edges, labels = None, None
-    for j in range(plan.anchors):
-        rows = _labelled(shared.select("id", F.col(f"anchor{j}").alias("anchor")).where("id != anchor").groupBy("id", "anchor").count(), labels)
-        best = rows.groupBy("id", "comp").agg(F.min_by("anchor", F.struct(-F.col("count"), "anchor")).alias("anchor")) if j == 0 else rows.select("id", "comp", "anchor")
-        if labels is not None:
-            best = best.join(labels.select(F.col("node").alias("anchor"), F.col("component").alias("other")), "anchor", "left").where(F.col("comp") != F.coalesce("other", "anchor"))
-        pairs = best.join(sig, "id").join(sig.select(F.col("id").alias("anchor"), F.col("sig").alias("asig")), "anchor")
-        pairs = pairs.where(equal_lanes(F.col("sig"), F.col("asig"), plan) >= plan.least_equal).select(F.least("id", "anchor").alias("a"), F.greatest("id", "anchor").alias("b")).distinct()
-        found = materialize(confirm(pairs, texts, plan), "confirmed")
-        edges = found if edges is None else edges.unionByName(found)
-        labels = connected_components(edges)
-    # what may still be linked: pairs of different components in one bucket
-    rows = materialize(_labelled(shared.select("bucket", "id"), labels), "labelled")
-    per = rows.groupBy("bucket", "comp").agg(F.count(F.lit(1)).alias("n"))
-    mixed = per.groupBy("bucket").agg(F.max_by("comp", F.struct("n", "comp")).alias("major"), F.count(F.lit(1)).alias("kinds")).where("kinds > 1").drop("kinds")
-    rows = rows.join(mixed, "bucket").join(sig, "id")
-    left = rows.where("comp != major").select("bucket", F.col("id").alias("a"), F.col("comp").alias("ca"), F.col("sig").alias("sa"))
-    right = rows.select("bucket", F.col("id").alias("b"), F.col("comp").alias("cb"), F.col("sig").alias("sb"), (F.col("comp") == F.col("major")).alias("in_major"))
-    met = (left["bucket"] == right["bucket"]) & (F.col("ca") != F.col("cb")) & (F.col("in_major") | (F.col("a") < F.col("b")))
-    tried = left.join(right, met & (equal_lanes(F.col("sa"), F.col("sb"), plan) >= plan.least_equal))
-    pairs = tried.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    edges = edges.unionByName(materialize(confirm(pairs, texts, plan), "confirmed"))
-    labels = connected_components(edges)
-    grouped = _labelled(classes.withColumnRenamed("rep", "id"), labels).select("f1", "f2", "comp")
+    labels = connected_components(exact_links(groups, texts, plan))
+    grouped = classes.join(labels.withColumnRenamed("node", "rep"), "rep", "left").select("f1", "f2", F.coalesce("component", "rep").alias("comp"))
     out = sigs.select("id", "n_shingles", "f1", "f2").join(grouped, ["f1", "f2"], "left")
     component = F.when(F.col("id").isNotNull(), F.coalesce("comp", "id"))
     out = out.select(F.col("id").alias(id_col), "n_shingles", component.alias("component_id"))
