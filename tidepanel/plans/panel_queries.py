@@ -140,9 +140,10 @@ def rank_ic_by_date(spark, d):
     return xsection.rank_ic(_fwd(spark, d), "rev", "fwd")
 
 
-@query(f"WITH {PANEL}, {RIC} SELECT round(avg(ic), 6) AS mean, round(stddev_samp(ic), 6) AS std, round(avg(ic) / (stddev_samp(ic) / sqrt(count(ic))), 6) AS t, round(avg((ic > 0)::INT), 6) AS hit, count(ic) AS n FROM ric WHERE ic IS NOT NULL", dates="")
+@query(f"WITH {PANEL}, {RIC} SELECT round(avg(ic), 6) AS mean, round(stddev_samp(ic), 6) AS std, round(avg(ic) / (stddev_samp(ic) / sqrt(count(ic))), 6) AS t, round(avg((ic > 0)::INT), 6) AS hit, count(ic) AS n FROM (SELECT round(ic, 12) AS ic FROM ric) AS q WHERE ic IS NOT NULL", dates="")
 def rank_ic_summary(spark, d):
-    return xsection.ic_summary(xsection.rank_ic(_fwd(spark, d), "rev", "fwd"))
+    # a correlation of nothing but rounding noise must count as 0 in the share above 0
+    return xsection.ic_summary(xsection.rank_ic(_fwd(spark, d), "rev", "fwd").withColumn("ic", F.round("ic", 12)))
 
 
 @query(f"""WITH {PANEL}, {FWD}, pairs AS (SELECT * FROM fw WHERE rev IS NOT NULL AND fwd IS NOT NULL), {BUCKET.format(k=10, x='rev', src='pairs')}
