@@ -132,7 +132,8 @@ def quality_report(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
     """
     rows = docs.select(F.col(id_col).alias(id_col), F.col(text_col).alias("_q_source"))
     out = with_counts(rows, "_q_source").withColumn("base_failed", base_failed())
-    return out.select(id_col, *COUNTS, "base_failed", (~F.col("base_failed") & compile_rules(rules)).alias("kept"))
+    kept = (~F.col("base_failed") & compile_rules(rules)).alias("kept")
+    return out.select(id_col, *COUNTS[:5], "base_failed", kept, *COUNTS[5:])
 
 
 def keep_good(docs: DataFrame, *, text_col: str = "text", rules: tuple[Rule, ...] = RULES) -> DataFrame:
