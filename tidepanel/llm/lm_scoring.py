@@ -5,7 +5,8 @@ The relations are held in blocks, so that neither n-grams nor counts travel as s
 * documents are dealt to blocks by a hash of their id; a block's distinct n-grams, with their
   counts in the block, leave it as one row for each hash partition (*exploded n-grams*),
 * the rows of a hash partition form its *count table*: equal n-grams of all blocks are added up,
-* the table is joined back to the rows it came from: each gets the totals of its n-grams,
+* the table is joined back to the rows it came from: each gets the totals of its n-grams, in their
+  order, so that keys need not travel twice,
 * a block's documents are joined with its totals; each n-gram is scored and summed per document.
 
 A frequent n-gram leaves a block once, however often it occurs there, so no partition is hot. What is
@@ -50,42 +51,57 @@ def grams(text: str | None, order: int) -> list[np.ndarray]:
     return out
 
 
+def packed_keys(keys: np.ndarray) -> bytes:
+    """Sorted keys as differences, byte plane by byte plane, so that the high zero bytes compress away."""
+    return np.diff(keys, prepend=np.uint64(0)).view(np.uint8).reshape(-1, 8).T.tobytes()
+
+
+def unpacked_keys(data: bytes) -> np.ndarray:
+    planes = np.frombuffer(data, np.uint8).reshape(8, -1)
+    return np.cumsum(np.ascontiguousarray(planes.T).view(np.uint64).ravel(), dtype=np.uint64)
+
+
+def _distinct(texts, order: int) -> tuple[np.ndarray, np.ndarray]:
+    """A block's distinct n-grams in order, with their counts in it."""
+    return np.unique(np.concatenate([np.concatenate(grams(t, order)) for t in texts]), return_counts=True)
+
+
 def _block_grams(order: int, parts: int):
     def run(block: pd.DataFrame) -> pd.DataFrame:
-        per_text = [np.concatenate(grams(t, order)) for t in block["text"]]
-        keys, counts = np.unique(np.concatenate(per_text), return_counts=True) if per_text else (np.empty(0, np.uint64), np.empty(0, np.int64))
-        part = (keys >> np.uint64(32)) % np.uint64(parts)
-        by = np.argsort(part, kind="stable")
-        keys, counts, part = keys[by], counts[by], part[by]
+        keys, counts = _distinct(block["text"], order)
+        # partitions are ranges of the hash, so that a block's rows in order of partition are in order of key
+        part = (keys >> np.uint64(32)) * np.uint64(parts) >> np.uint64(32)
         found, starts = np.unique(part, return_index=True)
+        split = lambda a: np.split(a, starts[1:]) if len(found) else []
         return pd.DataFrame({
             "part": found.astype(np.int64),
             "block": int(block["block"].iloc[0]),
-            "keys": [k.tobytes() for k in np.split(keys, starts[1:])] if len(found) else [],
-            "counts": [c.astype("<u4").tobytes() for c in np.split(counts, starts[1:])] if len(found) else [],
+            "keys": [packed_keys(k) for k in split(keys)],
+            "counts": [c.astype("<u4").tobytes() for c in split(counts)],
         })
 
     return run
 
 
 def _table_totals(rows: pd.DataFrame) -> pd.DataFrame:
-    """Add up a hash partition's counts and give each block the totals of its own n-grams."""
-    keys = [np.frombuffer(k, np.uint64) for k in rows["keys"]]
+    """Add up a hash partition's counts and give each block the totals of its own n-grams, in their order."""
+    keys = [unpacked_keys(k) for k in rows["keys"]]
     counts = np.concatenate([np.frombuffer(c, "<u4") for c in rows["counts"]])
     distinct, place = np.unique(np.concatenate(keys), return_inverse=True)
     totals = np.zeros(len(distinct), np.int64)
     np.add.at(totals, place, counts)
     ends = np.cumsum([len(k) for k in keys])[:-1]
-    return pd.DataFrame({"block": rows["block"], "keys": rows["keys"], "totals": [t.astype("<u8").tobytes() for t in np.split(totals[place], ends)]})
+    planes = lambda t: np.ascontiguousarray(t).view(np.uint8).reshape(-1, 8).T.tobytes()
+    return pd.DataFrame({"block": rows["block"], "part": rows["part"], "totals": [planes(t) for t in np.split(totals[place], ends)]})
 
 
 def _score_block(order: int, backoff: float, corpus_words: int):
     def run(docs: pd.DataFrame, totals: pd.DataFrame) -> pd.DataFrame:
-        if len(totals):
-            keys = np.concatenate([np.frombuffer(k, np.uint64) for k in totals["keys"]])
-            counts = np.concatenate([np.frombuffer(t, "<u8") for t in totals["totals"]]).astype(np.int64)
-            by = np.argsort(keys)
-            keys, counts = keys[by], counts[by]
+        keys, _ = _distinct(docs["text"], order)
+        held_by_part = totals.sort_values("part")["totals"]
+        counts = np.concatenate([np.empty(0, np.int64), *[np.ascontiguousarray(np.frombuffer(t, np.uint8).reshape(8, -1).T).view(np.int64).ravel() for t in held_by_part]])
+        if len(keys) != len(counts):
+            raise ValueError("the totals of a block do not match its n-grams")
         scores, lengths = [], []
         for text in docs["text"]:
             own = grams(text, order)
@@ -134,6 +150,6 @@ def backoff_scores(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
     # both branches read this exchange; it is written once
     dealt = source.withColumn("block", F.pmod(F.xxhash64("id", F.length("text")), F.lit(blocks))).repartition(blocks, "block")
     exploded = dealt.groupBy("block").applyInPandas(_block_grams(order, parts), "part long, block long, keys binary, counts binary")
-    joined = exploded.groupBy("part").applyInPandas(_table_totals, "block long, keys binary, totals binary")
+    joined = exploded.groupBy("part").applyInPandas(_table_totals, "block long, part long, totals binary")
     scored = dealt.groupBy("block").cogroup(joined.groupBy("block")).applyInPandas(_score_block(order, backoff, words), f"id {kind}, n_words long, log_score double")
     return scored.select(F.col("id").alias(id_col), "n_words", "log_score", F.try_divide("log_score", "n_words").alias("mean_log_score"))
