@@ -83,3 +83,36 @@ def test_folds_keep_the_embargo():
     folds = walk_forward(date(2020, 1, 3), date(2024, 1, 5))
     assert folds and all((f.test_start - f.train_end).days == 29 for f in folds)
     assert folds[-1].test_end <= date(2024, 1, 5)
+
+
+def test_no_reentry_sees_the_whole_universe(spark, monkeypatch):
+    from tidepanel.plans import report_queries as rq
+
+    # scores persist, so the best tickers stay open; every seventh row is missing and T09 trades rarely, so exits lie far ahead
+    weeks = [date(2024, 1, 5) + timedelta(weeks=i) for i in range(16)]
+    rows = [(d, f"T{t:02d}", 10.0 + (i * 7 + t * 3) % 5 * 0.2, 90.0 - t // 2) for i, d in enumerate(weeks) for t in range(90) if (i + t) % 7 and (t != 9 or i % 3 == 0)]
+    prices = spark.createDataFrame(rows, "date date, ticker string, adj_close double, short_pct double")
+    monkeypatch.setattr(rq, "panel", lambda spark, d: prices)
+    score = {(r[0], r[1]): r[3] for r in rows}
+    week_trades = {}
+    for r in bt.hard_stop(prices, 4, 0.1).collect():
+        week_trades.setdefault(r["entry_date"], []).append((-score[r["entry_date"], r["ticker"]], r["ticker"], r["exit_date"]))
+    open_until, want = {}, []
+    for day in sorted(week_trades):
+        free = [x for x in sorted(week_trades[day]) if open_until.get(x[1], day) <= day][:15]
+        open_until |= {t: e for _, t, e in free}
+        want += [(day, t, e) for _, t, e in free]
+    got = sorted((r["entry_date"], r["ticker"], r["exit_date"]) for r in rq.no_reentry_trades(spark, "").collect())
+    assert got == sorted(want)
+    assert rq.capital_timeline(spark, "").agg(F.sum("opened")).first()[0] == len(want)
+    # few candidates and a small k
+    few = bt.hard_stop(prices.where("ticker < 'T12'"), 4, 0.1).withColumn("score", -F.substring("ticker", 2, 2).cast("double"))
+    assert bt.in_reach(few, 1).count() < few.count()
+    cut = {tuple(r) for r in bt.no_reentry(few, 1).select("entry_date", "ticker").collect()}
+    open_until, all_rows = {}, {}
+    for r in few.collect():
+        all_rows.setdefault(r["entry_date"], []).append((-r["score"], r["ticker"], r["exit_date"]))
+    for day in sorted(all_rows):
+        first = next(x for x in sorted(all_rows[day]) if open_until.get(x[1], day) <= day)
+        open_until[first[1]] = first[2]
+        assert (day, first[1]) in cut

@@ -89,8 +89,7 @@ def hard_stop_trades(spark, d):
 def _candidates(spark, d):
     t = bt.hard_stop(panel(spark, d), 4, 0.1)
     s = panel(spark, d).select("ticker", F.col("date").alias("entry_date"), F.col("short_pct").alias("score"))
-    c = t.join(s, ["ticker", "entry_date"]).withColumn("date", F.col("entry_date"))
-    return selection.top_rows(c, n=30).drop("date", "rank")
+    return t.join(s, ["ticker", "entry_date"]).where(F.col("score").isNotNull())
 
 
 @query()

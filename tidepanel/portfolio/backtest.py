@@ -108,12 +108,32 @@ def hard_stop(prices: DataFrame, horizon: int = 4, stop: float = 0.1) -> DataFra
     return rows.select("ticker", F.col("date").alias("entry_date"), F.col("adj_close").alias("entry_px"), exit_date.alias("exit_date"), exit_px.alias("exit_px"), F.col("_hit").isNotNull().alias("stopped"), (1 - F.try_divide(exit_px, F.col("adj_close"))).alias("pnl"))
 
 
+def in_reach(candidates: DataFrame, k: int) -> DataFrame:
+    """The candidates that can be among the best ``k`` free ones of their date, whatever was chosen before.
+
+    Of the candidates of an earlier date whose exit lies behind this one at most ``k`` were chosen; their sum
+    over the earlier dates bounds the tickers that are open. So of the best (bound + k) rows at least ``k``
+    are free, and no row behind them can be chosen.
+    """
+    spans = candidates.groupBy("entry_date", "exit_date").agg(F.count(F.lit(1)).alias("_n"))
+    days = candidates.select(F.col("entry_date").alias("_day")).distinct()
+    # pairs of dates, whatever the number of tickers
+    pairs = spans.join(F.broadcast(days), (F.col("entry_date") < F.col("_day")) & (F.col("_day") < F.col("exit_date")))
+    held = pairs.groupBy("entry_date", "_day").agg(F.least(F.sum("_n"), F.lit(k)).alias("_n"))
+    bound = held.groupBy(F.col("_day").alias("entry_date")).agg(F.sum("_n").alias("_open"))
+    score = F.col("score")
+    unknown = score.isNull() | F.isnan(score.cast("double"))
+    rank = F.row_number().over(Window.partitionBy("entry_date").orderBy(unknown, F.desc(score), "ticker"))
+    rows = candidates.withColumn("_r", rank).join(F.broadcast(bound), "entry_date", "left")
+    return rows.where(F.col("_r") <= F.coalesce("_open", F.lit(0)) + k).select(*candidates.columns)
+
+
 def no_reentry(candidates: DataFrame, k: int = 15) -> DataFrame:
     """The best ``k`` of each week among tickers with no open trade.
 
-    ``candidates``: entry_date, exit_date, ticker, score, pnl. Each choice blocks its ticker up to its exit,
-    so weeks depend on the ones before: one ordered pass over the candidates, after they have been
-    reduced to those in question.
+    ``candidates``: entry_date, exit_date, ticker, score, pnl; one row a date and ticker. Each choice blocks
+    its ticker up to its exit, so weeks depend on the ones before: one ordered pass over the candidates
+    that ``in_reach`` leaves, which are all that any choice can come from.
     """
     import pandas as pd
 
@@ -126,7 +146,7 @@ def no_reentry(candidates: DataFrame, k: int = 15) -> DataFrame:
             out.append(free)
         return pd.concat(out) if out else rows.head(0)
 
-    cols = candidates.select("entry_date", "exit_date", "ticker", "score", "pnl")
+    cols = in_reach(candidates.select("entry_date", "exit_date", "ticker", "score", "pnl"), k)
     return cols.groupBy(F.lit(1).alias("_one")).applyInPandas(lambda g: run(g[["entry_date", "exit_date", "ticker", "score", "pnl"]]), cols.schema)
 
 
