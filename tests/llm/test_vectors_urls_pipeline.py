@@ -88,6 +88,35 @@ def test_ratio_equals_a_model_with_plain_dictionaries(spark):
     assert (got[900], got[901]) == ("allow", "block")
 
 
+def test_ratio_is_exact_with_many_ngrams(spark):
+    import zlib
+
+    rng = np.random.default_rng(8)
+    rows = [(i, f"http://s.com/{'fr' if i % 2 else 'de'}/{''.join(map(str, rng.integers(10, size=30)))}") for i in range(8000)]
+    model = uf.fit_urls(spark.createDataFrame(rows, "page_id int, url string"), RULES)
+    grams, ctx = (Counter(), Counter()), (Counter(), Counter())
+    for i, u in rows:
+        if zlib.crc32(str(i).encode()) % 5:
+            x = b"\x02" * uf.ORDER + u.encode()
+            for t in range(uf.ORDER, len(x)):
+                for k in range(uf.ORDER + 1):
+                    grams[i % 2][x[t - k : t + 1]] += 1
+                    ctx[i % 2][(k, x[t - k : t])] += 1
+    assert len(grams[0] | grams[1]) > 1 << 17
+    # contexts that no URL has fall back to lower orders, down to none
+    asked = [rows[0][1], "http://s.com/en/0123456789", "ftp://unseen.example/ÄÖ?q=zzz", "http://s.com/\U0001f600"]
+    got = uf._ratios(spark.createDataFrame(list(enumerate(asked)), "id int, url string"), model, ("id",)).toPandas().set_index("id")["ratio"]
+    for j, u in enumerate(asked):
+        x, total = b"\x02" * uf.ORDER + u.encode(), [0.0, 0.0]
+        for side in (0, 1):
+            for t in range(uf.ORDER, len(x)):
+                p = 1 / 256
+                for k in range(uf.ORDER + 1):
+                    p = (grams[side][x[t - k : t + 1]] + 2 * p) / (ctx[side][(k, x[t - k : t])] + 2)
+                total[side] += math.log(p)
+        assert got[j] == pytest.approx((total[1] - total[0]) / len(u.encode()), abs=1e-9)
+
+
 @data
 @pytest.mark.parametrize("name", sorted(llm_queries.oracle_sql()))
 def test_query_equals_sql(spark, name):

@@ -3,6 +3,15 @@
 URLs that a rule decides train two variable-order Markov models over characters, one of the accepted and
 one of the rejected. The others are judged by the difference of their log-likelihoods per character
 against a threshold that is calibrated on a part of the decided URLs that the models have not seen.
+
+All counts are exact and lie in tables that grow with the URLs:
+
+* a character with the five before it is a number of 48 bits; the n-grams and contexts of all orders
+  are parts of it, so the only table that is kept counts these numbers by class,
+* the estimate of each order is joined to the next by the part they share; at most 256 n-grams have
+  one context, and at most 256 have one shorter n-gram, so no key is hot,
+* URLs are dealt to blocks; a block's distinct numbers leave it once, however often they occur there, and
+  come back with the logarithm that each adds. Nothing is collected but the histogram of the threshold.
 """
 
 from __future__ import annotations
@@ -12,10 +21,10 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidepanel.llm.common import column_list
+from tidepanel.llm.common import column_list, materialize, parts_for, slices, text_bytes
 
 
 @dataclass(frozen=True)
@@ -29,9 +38,11 @@ class UrlRule:
         return self.host + self.path
 
 
-#: Longest context, and counts of a model: contexts are hashed into a table of this size (a power of two).
+#: Longest context: with its character it fills 48 bits of a number.
 ORDER = 5
-CELLS = 1 << 17
+#: Bytes of URLs of a block, and of those that are counted at once.
+BLOCK_BYTES = 256 << 10
+COUNT_BYTES = 2 << 20
 #: Steps of the histogram on which the threshold is chosen, and its half width.
 STEPS, REACH = 400, 4.0
 
@@ -57,45 +68,31 @@ def rule_columns(rules: tuple[UrlRule, ...], host: Column, path: Column) -> tupl
     return name, verdict
 
 
-def _cells(data: bytes) -> np.ndarray:
-    """(order + 1, length) cells: row k holds, for each character, its n-gram with k characters before it.
+def _windows(data: bytes) -> np.ndarray:
+    """For each character, it and the ``ORDER`` before it as one number; the character is the lowest byte.
 
     Contexts that would reach over the start are padded with a start mark.
     """
-    x = np.frombuffer(b"\x02" * ORDER + data, dtype=np.uint8).astype(np.uint64)
+    x = np.frombuffer(b"\x02" * ORDER + data, dtype=np.uint8).astype(np.int64)
     n = len(data)
-    out = np.empty((ORDER + 1, n), dtype=np.int64)
-    h = np.zeros(n, dtype=np.uint64)
+    out = np.zeros(n, dtype=np.int64)
     for k in range(ORDER + 1):
-        h = h * np.uint64(1_000_003) + x[ORDER - k : ORDER - k + n] + np.uint64(1)
-        z = (h + np.uint64(k)) * np.uint64(0x9E3779B97F4A7C15)
-        out[k] = (z ^ (z >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9) >> np.uint64(64 - CELLS.bit_length() + 1)
+        out = out << 8 | x[k : k + n]
     return out
 
 
-def _context_cells(data: bytes) -> np.ndarray:
-    """Row k: the cell of the k characters before each character."""
-    x = np.frombuffer(b"\x02" * ORDER + data, dtype=np.uint8).astype(np.uint64)
-    n = len(data)
-    out = np.empty((ORDER + 1, n), dtype=np.int64)
-    h = np.full(n, 977, dtype=np.uint64)
-    out[0] = 0
-    for k in range(1, ORDER + 1):
-        h = h * np.uint64(1_000_003) + x[ORDER - k : ORDER - k + n] + np.uint64(1)
-        z = (h + np.uint64(k)) * np.uint64(0x94D049BB133111EB)
-        out[k] = (z ^ (z >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9) >> np.uint64(64 - CELLS.bit_length() + 1)
-    return out
+def _all_windows(urls: list) -> np.ndarray:
+    return np.concatenate([np.empty(0, np.int64), *[_windows(u.encode()) for u in urls if u]])
 
 
 @dataclass
 class UrlModel:
-    """Counts of n-grams and of contexts by class (0 rejected, 1 accepted), and the threshold.
+    """Exact counts by class (``n0`` rejected, ``n1`` accepted) of each ``key`` of ``_windows``, and the threshold.
 
-    Fixed size: ``4 * CELLS`` numbers, whatever the number of URLs.
+    The table lies in the shared folder and grows with the distinct n-grams.
     """
 
-    grams: np.ndarray
-    contexts: np.ndarray
+    counts: DataFrame
     threshold: float = 0.0
 
     def ratio(self, url: str | None) -> float:
@@ -104,51 +101,68 @@ class UrlModel:
         Each order's estimate is mixed with that of the order below, the more the fewer the
         characters seen in the context; below the lowest lies the uniform distribution.
         """
-        data = (url or "").encode()
-        if not data:
-            return 0.0
-        g, c = _cells(data), _context_cells(data)
-        logs = []
-        for side in (0, 1):
-            p = np.full(len(data), 1 / 256)
-            for k in range(ORDER + 1):
-                seen = self.contexts[side, c[k]] if k else np.full(len(data), self.contexts[side, 0])
-                p = (np.minimum(self.grams[side, g[k]], seen) + 2.0 * p) / (seen + 2.0)
-            logs.append(np.log(p).sum())
-        return float((logs[1] - logs[0]) / len(data))
-
-
-def _count_table(decided: DataFrame) -> UrlModel:
-    """Both models' counts over all decided URLs; each batch sends one row for each cell it touches."""
+        one = self.counts.sparkSession.createDataFrame([(0, url)], "id int, url string")
+        return _ratios(one, self, ("id",)).first()["ratio"]
+
+
+def _count_table(decided: DataFrame) -> DataFrame:
+    """(key, n0, n1) over all decided URLs; each slice of a batch sends one row for each key it holds."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tables = np.zeros((2, 2, CELLS), dtype=np.int64)
         for batch in batches:
-            for url, side in zip(column_list(batch, "url"), column_list(batch, "side"), strict=True):
-                data = (url or "").encode()
-                if data:
-                    np.add.at(tables[0, side], _cells(data).ravel(), 1)
-                    context = _context_cells(data)
-                    np.add.at(tables[1, side], context[1:].ravel(), 1)
-                    tables[1, side, 0] += len(data)
-        what, side, cell = np.nonzero(tables)
-        yield pa.RecordBatch.from_arrays([pa.array((what * 2 + side).astype(np.int32)), pa.array(cell.astype(np.int32)), pa.array(tables[what, side, cell])], ["what", "cell", "n"])
-
-    rows = decided.select("url", "side").mapInArrow(run, "what int, cell int, n long").groupBy("what", "cell").agg(F.sum("n").alias("n")).toPandas()
-    tables = np.zeros((4, CELLS), dtype=np.float64)
-    tables[rows["what"].to_numpy(int), rows["cell"].to_numpy(int)] = rows["n"].to_numpy(float)
-    return UrlModel(grams=tables[:2], contexts=tables[2:])
+            for part in slices(batch, "url", COUNT_BYTES):
+                urls, sides = column_list(part, "url"), column_list(part, "side")
+                held = [_all_windows([u for u, s in zip(urls, sides, strict=True) if s == side]) for side in (0, 1)]
+                keys, place = np.unique(np.concatenate(held), return_inverse=True)
+                n0, n1 = (np.bincount(x, minlength=len(keys)) for x in np.split(place, [len(held[0])]))
+                yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (keys, n0, n1)], ["key", "n0", "n1"])
+
+    rows = decided.select("url", "side").mapInArrow(run, "key long, n0 long, n1 long")
+    return materialize(rows.groupBy("key").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1")), "url-counts")
+
+
+def _log_ratios(counts: DataFrame) -> DataFrame:
+    """(key, v): what the character of each key adds to the log-likelihood ratio after its context."""
+    tail = lambda k: F.col("key").bitwiseAND(F.lit(256**k - 1))
+    grams = [counts]
+    for k in range(ORDER, 0, -1):
+        grams.insert(0, grams[0].groupBy(tail(k).alias("key")).agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1")))
+    # item k of grams: the n-grams with k characters before the last
+    context = Window.partitionBy(F.shiftright("key", 8))
+    below = None
+    for k, rows in enumerate(grams):
+        rows = rows.withColumns({f"s{i}": F.sum(f"n{i}").over(context) for i in (0, 1)})
+        if k:
+            rows = rows.withColumn("low", tail(k)).join(below.withColumnRenamed("key", "low"), "low")
+        else:
+            rows = rows.withColumns({f"p{i}": F.lit(1 / 256) for i in (0, 1)})
+        below = rows.select("key", *[((F.col(f"n{i}") + 2.0 * F.col(f"p{i}")) / (F.col(f"s{i}") + 2.0)).alias(f"p{i}") for i in (0, 1)])
+    return below.select("key", (F.log("p1") - F.log("p0")).alias("v"))
 
 
 def _ratios(rows: DataFrame, model: UrlModel, keep: tuple[str, ...]) -> DataFrame:
+    """The columns ``keep`` of each row and the ratio of its ``url``; ``id`` and ``url`` deal rows to blocks."""
     fields = ", ".join(f"`{n}` {t}" for n, t in rows.dtypes if n in keep)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            values = pa.array([model.ratio(u) for u in column_list(batch, "url")], pa.float64())
-            yield pa.RecordBatch.from_arrays([*(batch.column(batch.schema.get_field_index(k)) for k in keep), values], [*keep, "ratio"])
+    def distinct(block: pa.Table) -> pa.Table:
+        keys = np.unique(_all_windows(block.column("url").to_pylist()))
+        return pa.table({"block": pa.array(np.full(len(keys), block.column("block")[0].as_py()), pa.int64()), "key": pa.array(keys, pa.int64())})
+
+    def score(block: pa.Table, values: pa.Table) -> pa.Table:
+        keys, v = values.column("key").to_numpy(), values.column("v").to_numpy()
+        order = np.argsort(keys)
+        keys, v = keys[order], v[order]
+        ratios = [float(v[np.searchsorted(keys, _windows(u.encode()))].sum() / len(u.encode())) if u else 0.0 for u in block.column("url").to_pylist()]
+        return pa.table([*(block.column(k) for k in keep), pa.array(ratios, pa.float64())], names=[*keep, "ratio"])
 
-    return rows.mapInArrow(run, f"{fields}, ratio double")
+    blocks = parts_for(text_bytes(rows, "url"), BLOCK_BYTES)
+    # both branches read this exchange
+    dealt = rows.withColumn("block", F.pmod(F.xxhash64("id", "url"), F.lit(blocks))).repartition(blocks, "block")
+    windows = dealt.select("block", "url").groupBy("block").applyInArrow(distinct, "block long, key long")
+    asked = windows.select("key", F.lit(0).cast("long").alias("n0"), F.lit(0).cast("long").alias("n1"))
+    counts = model.counts.unionByName(asked).groupBy("key").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"))
+    values = windows.join(_log_ratios(counts), "key").select("block", "key", "v")
+    return dealt.groupBy("block").cogroup(values.groupBy("block")).applyInArrow(score, f"{fields}, ratio double")
 
 
 def fit_urls(pages: DataFrame, rules: tuple[UrlRule, ...], *, id_col: str = "page_id", url_col: str = "url", fold: int = 5) -> UrlModel:
@@ -161,10 +175,10 @@ def fit_urls(pages: DataFrame, rules: tuple[UrlRule, ...], *, id_col: str = "pag
     url = F.col(url_col)
     _, verdict = rule_columns(rules, url_host(url), url_path(url))
     in_fold = F.crc32(F.coalesce(F.col(id_col).cast("string"), F.lit("")).cast("binary")) % fold == 0
-    decided = pages.select(url.alias("url"), verdict.alias("verdict"), in_fold.alias("calibrate")).where(F.col("verdict").isNotNull())
-    decided = decided.select("url", "calibrate", (F.col("verdict") == "allow").cast("int").alias("side"))
-    model = _count_table(decided.where(~F.col("calibrate")))
-    if not model.contexts[0, 0] or not model.contexts[1, 0]:
+    decided = pages.select(F.col(id_col).alias("id"), url.alias("url"), verdict.alias("verdict"), in_fold.alias("calibrate")).where(F.col("verdict").isNotNull())
+    decided = decided.select("id", "url", "calibrate", (F.col("verdict") == "allow").cast("int").alias("side"))
+    model = UrlModel(_count_table(decided.where(~F.col("calibrate"))))
+    if not all(model.counts.agg(F.sum("n0"), F.sum("n1")).first()):
         model.threshold = -float("inf")
         return model
     values = _ratios(decided.where("calibrate"), model, ("side",))
