@@ -228,6 +228,42 @@ def test_near_duplicates_of_odd_rows(docs, none):
     assert minhash.near_duplicates(none).count() == 0
 
 
+def brute_rows(rows, k, percent):
+    """Component of each row, with rows of one id told apart by their texts."""
+    alone = [(i, t) for i, (_, t) in enumerate(rows)]
+    reach = {i: c for i, (_, c) in brute_components(alone, k, percent).items()}
+    least: dict = {}
+    for i, (own, t) in enumerate(rows):
+        if own is not None and minhash.text_words(t):
+            least[reach[i]] = min(least.get(reach[i], own), own)
+    return [None if own is None else least[reach[i]] if minhash.text_words(t) else own for i, (own, t) in enumerate(rows)]
+
+
+@pytest.mark.parametrize("few", [6, 1])
+def test_repeated_ids_are_linked_by_their_own_texts(spark, monkeypatch, few):
+    monkeypatch.setattr(minhash, "FEW", few)
+    monkeypatch.setattr(minhash, "BLOCK", 5)
+    rng = np.random.default_rng(11)
+    base = [[f"w{x}" for x in rng.integers(0, 400, 60)] for _ in range(5)]
+    rows = [(7, " ".join(base[0])), (3, " ".join(base[0])), (7, " ".join(base[1])), (9, " ".join(base[1]) + " end"), (8, " ".join(base[2])), (None, " ".join(base[0])), (7, None), (7, ""), (8, " ".join(base[2]))]
+    for _ in range(60):
+        words = list(base[rng.integers(0, 5)])
+        for j in rng.integers(0, 60, rng.integers(0, 7)):
+            words[j] = f"v{rng.integers(0, 300)}"
+        rows.append((int(rng.integers(20, 40)), " ".join(words)))
+    frame = spark.createDataFrame([(i, t, "x", "y", "z") for i, t in rows], "doc_id bigint, text string, _h string, _gone string, h string").repartition(4)
+    plan = minhash.MinHashPlan(shingle=2)
+    want = brute_rows(rows, 2, 80)
+    got = Counter((r["doc_id"], r["n_shingles"], r["component_id"], r["kept"]) for r in minhash.near_duplicates(frame, plan).collect())
+    sizes = [len({tuple(w[j : j + 2]) for j in range(max(len(w) - 1, 1))}) if (w := minhash.text_words(t)) else 0 for _, t in rows]
+    assert got == Counter((i, n, c, i is None or i == c) for (i, _), n, c in zip(rows, sizes, want, strict=True))
+    left = minhash.drop_near_duplicates(frame, plan)
+    assert left.columns == frame.columns
+    kept = [(i, t) for (i, t), c in zip(rows, want, strict=True) if i is None or i == c]
+    named = Counter(set(r for r in kept if r[0] is not None)) + Counter(r for r in kept if r[0] is None)
+    assert Counter((r["doc_id"], r["text"]) for r in left.collect()) == named
+
+
 def test_estimate_is_corrected_for_chance():
     plan = minhash.MinHashPlan(shingle=1)
     rng = np.random.default_rng(5)

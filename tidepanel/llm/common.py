@@ -6,8 +6,9 @@ import math
 import os
 import tempfile
 import uuid
+import weakref
 import zipfile
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from pathlib import Path
 
 import pyarrow as pa
@@ -19,13 +20,22 @@ from pyspark.sql import functions as F
 WORD_SPACE = r"[\x20\x09-\x0D]+"
 
 
+#: Folders of the tables that ``materialize`` has written, by the frame that reads them.
+_FOLDERS: weakref.WeakKeyDictionary = weakref.WeakKeyDictionary()
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: ``spark.checkpoint.dir``, or one of our own where that is unset."""
+    """The folder all executors share: ``spark.checkpoint.dir``.
+
+    Where it is unset, a run on one machine gets a folder of its own; on a cluster that would be a folder of
+    the driver alone, so the job stops.
+    """
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not found:
-        found = tempfile.mkdtemp(prefix="tidepanel-")
-        spark.sparkContext.setCheckpointDir(found)
-        found = spark.sparkContext.getCheckpointDir() or found
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
+        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="tidepanel-"))
+        found = spark.sparkContext.getCheckpointDir()
     return found.rstrip("/")
 
 
@@ -37,7 +47,43 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    stored = spark.read.schema(df.schema).parquet(path)
+    _FOLDERS[stored] = path
+    return stored
+
+
+def discard(stored: DataFrame) -> None:
+    """Delete the folder of a table that ``materialize`` gave and that nothing will read again."""
+    path = _FOLDERS.pop(stored, None)
+    if path:
+        spark = stored.sparkSession
+        place = spark._jvm.org.apache.hadoop.fs.Path(path)
+        place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+
+
+def set_aside(df: DataFrame, names: Iterable[str]) -> DataFrame:
+    """``df`` with the columns that are called as one of ``names`` (in any case) renamed to ``input_<name>``.
+
+    Where there is such a column already, more ``input_`` go before it.
+    """
+    wanted = {n.lower() for n in names}
+    taken, renamed = wanted | {c.lower() for c in df.columns}, {}
+    for column in df.columns:
+        if column.lower() in wanted:
+            new = f"input_{column}"
+            while new.lower() in taken:
+                new = f"input_{new}"
+            taken.add(new.lower())
+            renamed[column] = new
+    return df.withColumnsRenamed(renamed)
+
+
+def fresh(df: DataFrame, name: str) -> str:
+    """A column name like ``name`` that ``df`` does not have."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
 
 
 def ship_package(spark: SparkSession) -> None:

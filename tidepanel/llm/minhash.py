@@ -6,10 +6,14 @@ two signatures are compared by XOR and bit counts, and the share of equal lanes,
 that agree by chance, estimates the similarity. Candidates that the estimate does not rule out are
 confirmed on the full shingle sets.
 
-No group is ever expanded into rows of pairs. Buckets of a few members are paired by a join; larger ones
-are cut into blocks, and blocks of signatures are compared as matrices, each pair of blocks returning at
-most one link for each member. What estimates connect is a *group*; full sets are compared inside
-groups, again block by block with one link for each member, so that no link is lost.
+No group is ever expanded into rows of pairs. Buckets of a few members are paired by a join. Larger ones
+are cut into blocks: each block compares its members with each other and with the bucket's leader, and
+only members that this leaves apart from the leader are compared with all other blocks. What estimates
+connect is a *group*; full sets are compared inside groups in the same way, so that no link that
+connects different texts is lost.
+
+Equal sets are one *class*, told by a 128-bit fingerprint of the set. Classes have numbers of their own;
+ids come back only at the end, so rows that share an id and differ in text are never taken for each other.
 """
 
 from __future__ import annotations
@@ -22,12 +26,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidepanel.llm.common import column_list, materialize, slices
+from tidepanel.llm.common import column_list, discard, materialize, slices
 from tidepanel.llm.graph import connected_components
 
 BATCH_BYTES = 1 << 20
-#: Ids up to which the set of documents to confirm is broadcast (8 bytes each); beyond it is shuffled.
-BROADCAST_IDS = 500_000
+#: Text hashes up to which the set of documents to confirm is broadcast (8 bytes each); beyond it is shuffled.
+BROADCAST_HASHES = 500_000
 #: Members up to which a bucket's pairs are joined; larger buckets are compared in blocks.
 FEW = 6
 #: Members and bytes of text of a block.
@@ -134,7 +138,7 @@ def packed_bits(least: np.ndarray, plan: MinHashPlan) -> np.ndarray:
 
 
 def signatures(docs: DataFrame, plan: MinHashPlan, id_col: str, text_col: str) -> DataFrame:
-    """id, ``n_shingles``, ``f1``, ``f2`` (128-bit fingerprint of the set; null: no words), ``bands``, ``sig``."""
+    """id, ``h`` (hash of the text), ``n_shingles``, ``f1``, ``f2`` (128-bit fingerprint of the set; null: no words), ``bands``, ``sig``."""
     kind = dict(docs.dtypes)[id_col]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -151,11 +155,11 @@ def signatures(docs: DataFrame, plan: MinHashPlan, id_col: str, text_col: str) -
                     for row, i in enumerate(full):
                         a, b = np.frombuffer(xxh3_128_digest(sets[i].tobytes()), dtype=np.int64)
                         f1[i], f2[i], bands[i], sig[i] = int(a), int(b), keys[row], bits[row]
-                arrays = [batch.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array(f1, pa.int64()), pa.array(f2, pa.int64()), pa.array(bands, pa.list_(pa.int64())), pa.array(sig, pa.list_(pa.int64()))]
-                yield pa.RecordBatch.from_arrays(arrays, ["id", "n_shingles", "f1", "f2", "bands", "sig"])
+                arrays = [batch.column(0), batch.column(1), pa.array([len(s) for s in sets], pa.int64()), pa.array(f1, pa.int64()), pa.array(f2, pa.int64()), pa.array(bands, pa.list_(pa.int64())), pa.array(sig, pa.list_(pa.int64()))]
+                yield pa.RecordBatch.from_arrays(arrays, ["id", "h", "n_shingles", "f1", "f2", "bands", "sig"])
 
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    return rows.mapInArrow(run, f"id {kind}, n_shingles long, f1 long, f2 long, bands array<long>, sig array<long>")
+    rows = docs.select(F.col(id_col).alias("id"), F.xxhash64(F.col(text_col)).alias("h"), F.col(text_col).alias("text"))
+    return rows.mapInArrow(run, f"id {kind}, h long, n_shingles long, f1 long, f2 long, bands array<long>, sig array<long>")
 
 
 def equal_lanes(a: Column, b: Column, plan: MinHashPlan) -> Column:
@@ -173,12 +177,6 @@ def equal_lanes(a: Column, b: Column, plan: MinHashPlan) -> Column:
     return F.lit(plan.lanes) - differ
 
 
-def similarity(equal: Column, plan: MinHashPlan) -> Column:
-    """The collision-corrected estimate of the similarity."""
-    chance = 2.0**-plan.bits
-    return (equal / plan.lanes - chance) / (1 - chance)
-
-
 def spanning(n: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
     """For each of ``n`` members the smallest member that the links (i, j) connect it with."""
     label = np.arange(n)
@@ -191,11 +189,6 @@ def spanning(n: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
             return label
 
 
-def _links_out(ids: list, label: np.ndarray) -> tuple[list, list]:
-    moved = np.flatnonzero(label != np.arange(len(label)))
-    return [ids[k] for k in moved], [ids[k] for k in label[moved]]
-
-
 def estimated_pairs(sig: np.ndarray, first: int, plan: MinHashPlan) -> tuple[np.ndarray, np.ndarray]:
     """Pairs of signatures with enough equal lanes: inside all rows if ``first`` is 0, otherwise of the
     first ``first`` rows with the others."""
@@ -240,97 +233,154 @@ def exact_pairs(sets: list[np.ndarray], first: int, plan: MinHashPlan) -> tuple[
     return np.concatenate(out_i), np.concatenate(out_j)
 
 
-def _pairs_of_blocks(packs: DataFrame, key: str) -> DataFrame:
-    """Rows of (members of a block, members of the same or of a later block of one ``key``)."""
-    later = packs.select(key, "members", "blk", F.explode(F.sequence(F.col("blk"), F.col("blks") - 1)).alias("other"))
-    alone = later.where("blk = other").select("members", F.slice("members", 1, 0).alias("others"))
-    right = packs.select(F.col(key).alias("_k"), F.col("blk").alias("_b"), F.col("members").alias("others"))
-    met = later.where("blk < other").join(right, (F.col(key) == F.col("_k")) & (F.col("other") == F.col("_b"))).select("members", "others")
-    return alone.unionByName(met)
+def _spans(rows: DataFrame, load, find) -> DataFrame:
+    """(key, lead, n, blks, id, comp) from rows (key, lead, n, blks, members): what links inside a row connect.
 
+    ``comp`` is the smallest id that the linked pairs of a row's members connect an id with.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k in range(batch.num_rows):
+                members = batch.column(4)[k].values
+                order = np.argsort(members.field("id").to_numpy(), kind="stable")
+                members = members.take(pa.array(order))
+                ids = members.field("id").to_numpy()
+                comp = ids[spanning(len(ids), *find(load([members]), 0))]
+                same = [pa.array(np.full(len(ids), batch.column(c)[k].as_py()), pa.int64()) for c in range(4)]
+                yield pa.RecordBatch.from_arrays([*same, pa.array(ids, pa.int64()), pa.array(comp, pa.int64())], ["key", "lead", "n", "blks", "id", "comp"])
+
+    return rows.select("key", "lead", "n", "blks", "members").mapInArrow(run, "key long, lead long, n long, blks long, id long, comp long")
 
-def _compare(pairs: DataFrame, kind: str, load, find) -> DataFrame:
-    """Links (a, b) from rows of block pairs: ``load`` reads the members' values, ``find`` the linked pairs."""
+
+def _links_across(pairs: DataFrame, load, find) -> DataFrame:
+    """Links (a, b) from rows (members, others): what linked pairs of a member and another connect."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out_a, out_b = [], []
             for k in range(batch.num_rows):
                 mine, others = (batch.column(c)[k].values for c in (0, 1))
-                ids = mine.field("id").to_pylist() + (others.field("id").to_pylist() if others is not None else [])
-                first = len(mine) if len(ids) > len(mine) else 0
-                values = load(mine, others if first else None)
-                a, b = _links_out(ids, spanning(len(ids), *find(values, first)))
-                out_a += a
-                out_b += b
-            form = batch.schema.field(0).type.value_type.field("id").type
-            yield pa.RecordBatch.from_arrays([pa.array(out_a, form), pa.array(out_b, form)], ["a", "b"])
+                ids = np.concatenate([mine.field("id").to_numpy(), others.field("id").to_numpy()])
+                label = spanning(len(ids), *find(load([mine, others]), len(mine)))
+                moved = np.flatnonzero(label != np.arange(len(ids)))
+                yield pa.RecordBatch.from_arrays([pa.array(ids[moved], pa.int64()), pa.array(ids[label[moved]], pa.int64())], ["a", "b"])
+
+    return pairs.mapInArrow(run, "a long, b long")
+
 
-    return pairs.mapInArrow(run, f"a {kind}, b {kind}")
+def links_inside(rows: DataFrame, load, find) -> DataFrame:
+    """Links (a, b) that connect whatever the linked pairs of one ``key`` connect.
+
+    ``rows``: key, ``lead`` (the smallest id of the key), ``n`` (its members), ``blks`` (blocks to cut it
+    into), id, value. ``load`` reads the values of lists of members, ``find`` their linked pairs.
+
+    Every block holds the leader besides its own members. Members connected with it in their blocks are
+    connected with each other; the rest meets all blocks of its key, block by block.
+    """
+    rows = rows.withColumn("blk", F.pmod(F.xxhash64("id"), F.col("blks")))
+    everywhere = rows.where("id = lead").withColumn("blk", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blks") - 1)))
+    led = rows.where("id != lead").unionByName(everywhere)
+    gather = F.collect_list(F.struct("id", "value")).alias("members")
+    first = materialize(_spans(led.groupBy("key", "lead", "n", "blks", "blk").agg(gather), load, find), "spans")
+    near = first.where("id != comp").select(F.col("id").alias("a"), F.col("comp").alias("b"))
+    apart = first.where("comp != lead and blks > 1").select("key", "id")
+    if apart.isEmpty():
+        return near
+    # as many members to a block as in the blocks of all
+    count = apart.groupBy("key").agg(F.count(F.lit(1)).alias("r"))
+    left = rows.join(apart, ["key", "id"]).join(count.repartition("key"), "key")
+    left = left.withColumn("own", F.pmod(F.xxhash64("id"), F.ceil(F.col("r") * F.col("blks") / F.col("n")).cast("long")))
+    left = left.groupBy("key", "own", "blks").agg(gather).withColumn("blk", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blks") - 1)))
+    right = rows.groupBy("key", "blk").agg(F.collect_list(F.struct("id", "value")).alias("others"))
+    return near.unionByName(_links_across(left.join(right, ["key", "blk"]).select("members", "others"), load, find))
+
+
+def _buckets(classes: DataFrame) -> DataFrame:
+    """(bucket, id, n, lead) of the buckets that hold several classes."""
+    buckets = classes.select("id", F.explode("bands").alias("bucket"))
+    counted = buckets.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("lead")).where("n > 1")
+    # the join reads two plain exchanges, so that a bucket with a large share of all rows can be split
+    return buckets.join(counted.repartition("bucket"), "bucket")
 
 
 def estimated_links(shared: DataFrame, sig: DataFrame, plan: MinHashPlan) -> DataFrame:
     """Links that connect whatever candidate pairs connect whose estimate does not rule them out."""
-    kind = dict(shared.dtypes)["id"]
     few = shared.where(F.col("n") <= FEW).select("bucket", "id")
     pairs = few.select("bucket", F.col("id").alias("a")).join(few.select("bucket", F.col("id").alias("b")), "bucket").where("a > b").select("a", "b").distinct()
     pairs = pairs.join(sig.select(F.col("id").alias("a"), F.col("sig").alias("sa")), "a").join(sig.select(F.col("id").alias("b"), F.col("sig").alias("sb")), "b")
     small = pairs.where(equal_lanes(F.col("sa"), F.col("sb"), plan) >= plan.least_equal).select("a", "b")
     blks = F.ceil(F.col("n") / BLOCK).cast("long")
-    many = shared.where(F.col("n") > FEW).withColumn("blks", blks).withColumn("blk", F.pmod(F.xxhash64("id"), F.col("blks"))).join(sig, "id")
-    packs = many.groupBy("bucket", "blk", "blks").agg(F.collect_list(F.struct("id", "sig")).alias("members"))
+    many = shared.where(F.col("n") > FEW).select(F.col("bucket").alias("key"), "lead", "n", blks.alias("blks"), "id").join(sig.select("id", F.col("sig").alias("value")), "id")
 
-    def load(mine, others):
-        parts = [mine] if others is None else [mine, others]
-        return np.concatenate([p.field("sig").flatten().to_numpy(zero_copy_only=False) for p in parts]).view(np.uint64).reshape(-1, plan.words)
+    def load(parts):
+        return np.concatenate([p.field("value").flatten().to_numpy(zero_copy_only=False) for p in parts]).view(np.uint64).reshape(-1, plan.words)
 
-    large = _compare(_pairs_of_blocks(packs, "bucket"), kind, load, lambda values, first: estimated_pairs(values, first, plan))
-    return small.unionByName(large)
+    return small.unionByName(links_inside(many, load, lambda values, first: estimated_pairs(values, first, plan)))
 
 
 def exact_links(groups: DataFrame, texts: DataFrame, plan: MinHashPlan) -> DataFrame:
-    """Links that connect whatever pairs inside a group (id, component) are linked by their full sets."""
-    kind = dict(texts.dtypes)["id"]
-    rows = groups.select(F.col("node").alias("id"), F.col("component").alias("g")).join(texts, "id")
-    sizes = groups.join(texts.select(F.col("id").alias("node"), F.octet_length("text").alias("size")), "node").groupBy(F.col("component").alias("g")).agg(F.sum("size").cast("long").alias("size"), F.count(F.lit(1)).alias("n"))
-    blks = F.greatest(F.ceil(F.col("size") / BLOCK_BYTES), F.ceil(F.col("n") / BLOCK)).cast("long")
-    rows = rows.join(sizes.select("g", F.greatest(blks, F.lit(1)).alias("blks")), "g").withColumn("blk", F.pmod(F.xxhash64("id"), F.col("blks")))
-    packs = rows.groupBy("g", "blk", "blks").agg(F.collect_list(F.struct("id", "text")).alias("members"))
+    """Links that connect whatever pairs inside a group (node, component) are linked by their full sets."""
+    rows = groups.select(F.col("node").alias("id"), F.col("component").alias("key")).join(texts, "id")
+    sizes = rows.groupBy("key").agg(F.sum("size").cast("long").alias("bytes"), F.count(F.lit(1)).alias("n"))
+    blks = F.greatest(F.ceil(F.col("bytes") / BLOCK_BYTES), F.ceil(F.col("n") / BLOCK), F.lit(1)).cast("long")
+    rows = rows.join(sizes.select("key", "n", blks.alias("blks")).repartition("key"), "key")
+
+    def load(parts):
+        return [shingle_hashes(text_words(t), plan.shingle) for p in parts for t in p.field("value").to_pylist()]
 
-    def load(mine, others):
-        parts = [mine] if others is None else [mine, others]
-        return [shingle_hashes(text_words(t), plan.shingle) for p in parts for t in p.field("text").to_pylist()]
+    return links_inside(rows.select("key", F.col("key").alias("lead"), "n", "blks", "id", "value"), load, lambda values, first: exact_pairs(values, first, plan))
 
-    return _compare(_pairs_of_blocks(packs, "g"), kind, load, lambda values, first: exact_pairs(values, first, plan))
+
+def _judged(docs: DataFrame, plan: MinHashPlan, id_col: str, text_col: str) -> DataFrame:
+    """id, ``h`` (hash of the text), ``n_shingles``, ``component`` (null for a null id), ``kept`` of every row."""
+    source = docs.select(F.col(id_col).alias("id"), F.xxhash64(F.col(text_col)).alias("h"), F.col(text_col).alias("text"))
+    sigs = materialize(signatures(docs, plan, id_col, text_col), "signatures")
+    # any row of a class has its bands and signature; the smallest id and its text stand for it
+    classes = sigs.where("f1 is not null and id is not null").groupBy("f1", "f2").agg(F.min(F.struct("id", "h")).alias("m"), F.count(F.lit(1)).alias("rows"), F.first("bands").alias("bands"), F.first("sig").alias("sig"))
+    classes = materialize(classes.select(F.monotonically_increasing_id().alias("cls"), "f1", "f2", "m.id", "m.h", "rows", "bands", "sig"), "classes")
+    numbered = classes.select(F.col("cls").alias("id"), "bands", "sig")
+    shared = materialize(_buckets(numbered), "buckets")
+    groups = materialize(connected_components(estimated_links(shared, numbered.select("id", "sig"), plan)), "groups")
+    discard(shared)
+    needed = groups.join(classes, groups["node"] == classes["cls"]).select("cls", "id", "h")
+    if groups.count() <= BROADCAST_HASHES:
+        source = source.join(F.broadcast(needed.select("h").distinct()), "h", "left_semi")
+    texts = source.join(needed, ["id", "h"]).groupBy("cls").agg(F.first("text").alias("value"))
+    texts = materialize(texts.select(F.col("cls").alias("id"), "value", F.octet_length("value").alias("size")), "texts")
+    labels = materialize(connected_components(exact_links(groups, texts, plan)), "labels")
+    discard(texts)
+    # the smallest id of each component's classes
+    named = labels.join(classes.select(F.col("cls").alias("node"), "id"), "node")
+    least = named.groupBy("component").agg(F.min("id").alias("least"))
+    placed = labels.join(least.repartition("component"), "component").select(F.col("node").alias("cls"), "least")
+    grouped = classes.select("cls", "f1", "f2", "id", "rows").join(placed, "cls", "left").where("least is not null or rows > 1")
+    grouped = materialize(grouped.select("f1", "f2", F.coalesce("least", "id").alias("comp")), "grouped")
+    out = sigs.select("id", "h", "n_shingles", "f1", "f2").join(grouped, ["f1", "f2"], "left")
+    component = F.when(F.col("id").isNotNull(), F.coalesce("comp", "id"))
+    return out.select("id", "h", "n_shingles", component.alias("component")).withColumn("kept", F.coalesce(F.col("id") == F.col("component"), F.lit(True)))
 
 
 def near_duplicates(docs: DataFrame, plan: MinHashPlan = MinHashPlan(), *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id, ``n_shingles``, ``component_id``, ``kept`` for every row.
 
     ``component_id`` is the smallest id that links reach (``percent`` or more of the union shared), the
-    row's own included; ``kept`` marks the row whose id that is. Rows without words (null, empty or
-    white space only) are linked with nothing. Ids must have an order; rows that repeat an id are
-    linked by their own texts; a null id is linked with nothing, has a null component and is kept. Other
-    columns are not read. An empty table gives an empty result.
+    row's own included; ``kept`` marks the rows whose id that is. Rows without words (null, empty or
+    white space only) are linked with nothing. Ids must have an order. Rows that repeat an id are
+    linked by their own texts, each on its own; a null id is linked with nothing, has a null component and
+    is kept. Other columns are not read. An empty table gives an empty result.
     """
-    source = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    sigs = materialize(signatures(docs, plan, id_col, text_col), "signatures")
-    # equal sets are one class, known by its smallest id
-    classes = materialize(sigs.where("f1 is not null and id is not null").groupBy("f1", "f2").agg(F.min("id").alias("rep")), "classes")
-    reps = sigs.join(classes.withColumnRenamed("rep", "id"), ["f1", "f2", "id"]).dropDuplicates(["f1", "f2"]).select("id", "bands", "sig")
-    reps = materialize(reps, "class-signatures")
-    buckets = reps.select("id", F.explode("bands").alias("bucket"))
-    counted = buckets.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    shared = materialize(buckets.join(counted, "bucket"), "buckets")
-    groups = materialize(connected_components(estimated_links(shared, reps.select("id", "sig"), plan)), "groups")
-    needed = groups.select(F.col("node").alias("id"))
-    few = groups.count() <= BROADCAST_IDS
-    # rows that repeat an id: the first of their texts stands for the id
-    texts = source.join(F.broadcast(needed) if few else needed, "id", "left_semi").groupBy("id").agg(F.min("text").alias("text"))
-    texts = materialize(texts, "texts")
-    labels = connected_components(exact_links(groups, texts, plan))
-    grouped = classes.join(labels.withColumnRenamed("node", "rep"), "rep", "left").select("f1", "f2", F.coalesce("component", "rep").alias("comp"))
-    out = sigs.select("id", "n_shingles", "f1", "f2").join(grouped, ["f1", "f2"], "left")
-    component = F.when(F.col("id").isNotNull(), F.coalesce("comp", "id"))
-    out = out.select(F.col("id").alias(id_col), "n_shingles", component.alias("component_id"))
-    return out.withColumn("kept", F.coalesce(F.col(id_col) == F.col("component_id"), F.lit(True)))
+    return _judged(docs, plan, id_col, text_col).select(F.col("id").alias(id_col), "n_shingles", F.col("component").alias("component_id"), "kept")
+
+
+def drop_near_duplicates(docs: DataFrame, plan: MinHashPlan = MinHashPlan(), *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of ``docs`` that ``near_duplicates`` keeps, with all columns; of rows equal in id and text, one.
+
+    Rows are told by id and text, so a text goes only for its own links, whatever else its id names. Rows
+    without an id stay. No column is added on the way, so none can clash.
+    """
+    gone = _judged(docs, plan, id_col, text_col).where(~F.col("kept")).select(F.col("id").alias("gone_id"), F.col("h").alias("gone_h")).distinct()
+    gone = materialize(gone, "gone")
+    own_id, own_text = docs[f"`{id_col}`"], docs[f"`{text_col}`"]
+    left = docs.join(gone, (own_id == gone["gone_id"]) & (F.xxhash64(own_text) == gone["gone_h"]), "left_anti")
+    named = left.where(F.col(f"`{id_col}`").isNotNull()).dropDuplicates([id_col, text_col])
+    return named.unionByName(left.where(F.col(f"`{id_col}`").isNull()))
