@@ -8,10 +8,9 @@ from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from tidepanel.llm.common import materialize, ship_package, table
-from tidepanel.llm.minhash import MinHashPlan, near_duplicates
+from tidepanel.llm.minhash import MinHashPlan, drop_near_duplicates
 from tidepanel.llm.packing import pack_documents
 from tidepanel.llm.quality import keep_good
 from tidepanel.llm.toxicity import fit_toxicity, keep_civil
@@ -35,13 +34,9 @@ def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest id of each group of near-duplicates; one row of those that repeat it."""
+    """The document with the smallest id of each group of near-duplicates; one row of those equal in id and text."""
     ship_package(spark)
-    gone = near_duplicates(docs, NEAR).where(~F.col("kept")).select(F.col("doc_id").alias("_gone")).distinct()
-    left = docs.join(gone, docs["doc_id"] == F.col("_gone"), "left_anti")
-    # rows that repeat an id are copies if their texts are equal; rows without an id stay
-    named = left.where("doc_id is not null").withColumn("_h", F.xxhash64("text")).dropDuplicates(["doc_id", "_h"]).drop("_h")
-    return named.unionByName(left.where("doc_id is null")).select(*[F.col(f"`{c}`") for c in docs.columns])
+    return drop_near_duplicates(docs, NEAR)
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
