@@ -28,17 +28,47 @@ def test_search_small_and_odd_vectors(spark):
     assert pi.search(df.limit(0), df.limit(0)).count() == 0
 
 
-def test_recall_against_brute_force(spark):
-    rng = np.random.default_rng(4)
-    v = rng.normal(size=(3000, 32)).astype(np.float32).astype(float)
+def recall(spark, v, **options):
     df = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)], "vec_id bigint, embedding array<double>")
-    got = pi.search(df, df.where("vec_id % 20 = 0"), k=20, index_block=1000).toPandas()
+    got = pi.search(df, df.where("vec_id % 20 = 0"), k=20, **options).toPandas()
+    assert (got.groupby("query_id").size() == 20).all() and got["query_id"].nunique() == -(-len(v) // 20)
     hits = 0
     for q, part in got.groupby("query_id"):
         s = (v * v[q]).sum(1)
+        assert part["score"].tolist() == [s[i] for i in part["vec_id"]]
         s[q] = -np.inf
         hits += len(set(np.argsort(-s)[:20]) & set(part["vec_id"]))
-    assert hits / (20 * got["query_id"].nunique()) >= 0.9
+    return hits / (20 * got["query_id"].nunique())
+
+
+def test_recall_against_brute_force(spark):
+    rng = np.random.default_rng(4)
+    v = rng.normal(size=(4000, 64)).astype(np.float32).astype(float)
+    v /= np.linalg.norm(v, axis=1, keepdims=True)
+    # nothing is ranked exactly beyond the share; two index blocks, two query blocks
+    assert recall(spark, v, least=21, share=0.15, index_block=2000, query_block=100) >= 0.9
+    # lengths that differ by factors of ten
+    assert recall(spark, v * np.exp(rng.normal(size=4000))[:, None], least=21, share=0.15, index_block=4000) >= 0.9
+
+
+def test_a_file_holds_only_vectors_near_its_pivot():
+    rng = np.random.default_rng(1)
+    v = rng.normal(size=(500, 16))
+    model = pi.choose_pivots(v[:200], 100, 8)
+    order = model.order(v)
+    files = pi.InvertedFiles.of(order, 100)
+    assert len(files.rows) == 500 * 8
+    held = {(int(r), p): int(files.places[j]) for p in range(100) for j, r in enumerate(files.rows) if files.starts[p] <= j < files.starts[p + 1]}
+    assert held == {(r, int(p)): at for r in range(500) for at, p in enumerate(order[r])}
+    sums = files.sums(order[3])
+    assert sums.tolist() == [sum(8 - abs(order[r].tolist().index(p) - at) for at, p in enumerate(order[3].tolist()) if p in order[r]) for r in range(500)]
+
+
+def test_vectors_of_unequal_length_and_other_ids(spark):
+    rows = [("a", [1.0, 2.0]), ("b", [1.0, 2.0, 3.0]), ("c", [4.0]), ("d", [0.0, 0.0, 5.0]), ("b", [1.0, 2.0, 3.0]), ("a", [9.0])]
+    df = spark.createDataFrame(rows, "vec_id string, embedding array<float>")
+    got = [tuple(r) for r in pi.search(df, df.where("vec_id = 'b'"), k=4).orderBy("rank").collect()]
+    assert got == [("b", 1, "d", 15.0), ("b", 2, "a", 9.0), ("b", 3, "a", 5.0), ("b", 4, "c", 4.0)]
 
 
 def test_url_parts_and_rules(spark):

@@ -1,165 +1,220 @@
 """Operator 6: nearest neighbours by a permutation index.
 
-A vector is represented by the order in which it sees the pivots, nearest first. Blocks of the index
-post each vector in the inverted file of every pivot, with its place there. A query reads the files of
-its pivots and ranks the block's vectors by footrule distance (the sum of the differences of places);
-the best share is ranked again by the exact measure.
+Each vector is represented by its nearest pivots in order. An index block posts a vector in the inverted
+files of these pivots only, with its place in each. A query reads the files of its own nearest pivots,
+adds up how little the places differ (the footrule distance, over the pivots both have), and ranks the
+best share of the block again by the exact measure.
+
+Blocks are built once and written to the shared folder. A block with one block of queries is one unit
+of work, so no task holds more than one of each.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidepanel.llm.common import materialize, parts_for
+from tidepanel.llm.common import discard, materialize, parts_for
 
-#: Pivots: a sample of this many distinct vectors, by a hash of the vector. They bound the model.
-PIVOTS = 128
-#: Share of a block's vectors that is ranked by the exact measure.
-SHARE = 0.35
-#: Distinct vectors of an index block, and queries of a query block.
-#: Vectors of a block that are ranked exactly at least.
-LEAST = 256
-INDEX_BLOCK = 4_096
-QUERY_BLOCK = 1_024
+#: Pivots, from a sample of twice as many distinct vectors, by a hash of the vector. They bound the model.
+PIVOTS = 1_024
+#: Pivots whose files a vector is posted in, and whose files a query reads.
+POSTED = 64
+#: Sampled vectors with a larger cosine to an earlier one become no pivots, so that a crowd takes few of them.
+APART = 0.8
+#: Share of a block that is ranked by the exact measure, and vectors of it at least.
+SHARE = 0.1
+LEAST = 512
+#: Deviations added to a cosine that footrule estimates, so that a long vector is not passed over.
+HOPE = 2.0
+#: Distinct vectors of an index block (under 2**16), and queries of a query block.
+INDEX_BLOCK = 16_384
+QUERY_BLOCK = 4_096
 
 
 def usable(vectors: DataFrame, id_col: str, vector_col: str) -> DataFrame:
-    """(id, v): vectors as doubles, without those that are null, empty, zero or not finite, or lack an id."""
-    v = F.col(vector_col).cast("array<double>")
+    """(id, v): vectors without those that are null, empty, zero or not finite, or lack an id."""
+    kind = dict(vectors.dtypes)[vector_col]
+    v = F.col(vector_col).cast(kind if kind in ("array<float>", "array<double>") else "array<double>")
     bad = F.exists(v, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
     some = F.exists(v, lambda x: x != 0)
     return vectors.where(F.col(id_col).isNotNull() & v.isNotNull() & ~F.coalesce(bad, F.lit(True)) & F.coalesce(some, F.lit(False))).select(F.col(id_col).alias("id"), v.alias("v"))
 
 
-def places(vectors: np.ndarray, pivots: np.ndarray) -> np.ndarray:
-    """For each vector the place of each pivot in its order, nearest (largest cosine) first."""
-    order = np.argsort(-(vectors @ pivots.T), axis=1, kind="stable")
-    out = np.empty(order.shape, dtype=np.int16)
-    np.put_along_axis(out, order, np.arange(order.shape[1], dtype=np.int16)[None, :], axis=1)
+def dense(column: pa.ChunkedArray | pa.Array, width: int) -> np.ndarray:
+    """Lists of numbers as rows of a matrix; short lists are followed by zeros."""
+    column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
+    flat, sizes = column.flatten().to_numpy(zero_copy_only=False), np.diff(column.offsets.to_numpy())
+    if (sizes == width).all():
+        return flat.reshape(-1, width)
+    out = np.zeros((len(sizes), width), dtype=flat.dtype)
+    rows = np.repeat(np.arange(len(sizes)), sizes)
+    out[rows, np.arange(len(flat)) - np.repeat(np.cumsum(sizes) - sizes, sizes)] = flat
     return out
 
 
-class IndexBlock:
-    """Pivot inverted files over the vectors of one block: for each pivot the places of all of them."""
+@dataclass
+class Pivots:
+    """Unit vectors, and the line that gives a cosine from a footrule sum: slope, value at 0, deviation."""
+
+    vectors: np.ndarray
+    posted: int
+    slope: float = 1.0
+    base: float = 0.0
+    spread: float = 0.0
+
+    def order(self, vectors: np.ndarray) -> np.ndarray:
+        """For each vector its ``posted`` nearest pivots (largest inner product), nearest first."""
+        sims = vectors.astype(np.float64) @ self.vectors.T
+        best = np.argpartition(-sims, self.posted - 1, axis=1)[:, : self.posted]
+        return np.take_along_axis(best, np.argsort(-np.take_along_axis(sims, best, axis=1), axis=1, kind="stable"), axis=1)
+
 
-    def __init__(self, vectors: np.ndarray, pivots: np.ndarray):
-        self.vectors = vectors
-        self.files = np.ascontiguousarray(places(vectors, pivots).T)
+class InvertedFiles:
+    """For each pivot the rows that are posted in its file and their places."""
 
-    def footrule(self, query_places: np.ndarray) -> np.ndarray:
-        """Footrule distances of the block's vectors, read file by file."""
-        total = np.zeros(len(self.vectors), dtype=np.int32)
-        for file, place in zip(self.files, query_places, strict=True):
-            total += np.abs(file - place)
+    def __init__(self, starts: np.ndarray, rows: np.ndarray, places: np.ndarray, n: int):
+        self.starts, self.rows, self.places, self.n = starts, rows, places, n
+
+    @classmethod
+    def of(cls, order: np.ndarray, pivots: int) -> InvertedFiles:
+        n, m = order.shape
+        flat = order.ravel()
+        by_pivot = np.argsort(flat, kind="stable")
+        starts = np.searchsorted(flat[by_pivot], np.arange(pivots + 1)).astype(np.int32)
+        return cls(starts, (by_pivot // m).astype(np.uint16), (by_pivot % m).astype(np.uint8), n)
+
+    def sums(self, order: np.ndarray) -> np.ndarray:
+        """For every row the sum over shared pivots of ``m`` less the difference of places; 0: in no file read.
+
+        The largest sum is the smallest footrule distance, with pivots that only one side has at distance m.
+        """
+        m = len(order)
+        total = np.zeros(self.n, dtype=np.int32)
+        for place, pivot in enumerate(order.tolist()):
+            part = slice(self.starts[pivot], self.starts[pivot + 1])
+            total[self.rows[part]] += m - np.abs(self.places[part].astype(np.int32) - place)
         return total
 
-    def nearest(self, query: np.ndarray, query_places: np.ndarray, share: float, least: int) -> tuple[np.ndarray, np.ndarray]:
-        """(rows, exact scores) of the best ``share`` by footrule, ``least`` rows at least."""
-        n = len(self.vectors)
-        c = min(n, max(least, int(np.ceil(share * n))))
-        rows = np.arange(n) if c == n else np.argpartition(self.footrule(query_places), c - 1)[:c]
-        # row by row in one order of additions, so that equal vectors get equal scores
-        return rows, (self.vectors[rows] * query).sum(axis=1)
+
+def choose_pivots(sample: np.ndarray, pivots: int, posted: int) -> Pivots:
+    """Pivots from a sample, and the calibration of footrule sums on the sample itself."""
+    unit = sample / np.linalg.norm(sample, axis=1, keepdims=True)
+    close = unit @ unit.T
+    chosen = unit[~(np.triu(close > APART, 1).any(axis=0))][:pivots]
+    out = Pivots(chosen, min(posted, len(chosen)))
+    order = out.order(unit)
+    files = InvertedFiles.of(order, len(chosen))
+    asked = range(0, len(unit), max(1, len(unit) // 128))
+    x = np.concatenate([files.sums(order[i]) for i in asked]).astype(float)
+    y = np.concatenate([close[i] for i in asked])
+    other = y < 1 - 1e-9
+    x, y = x[other], y[other]
+    if len(x) > 1 and x.std() > 0:
+        out.slope = max(float(((x - x.mean()) * (y - y.mean())).mean() / x.var()), 1e-9)
+        out.base = float(y.mean() - out.slope * x.mean())
+        out.spread = float((y - out.base - out.slope * x).std())
+    return out
 
 
-def search(vectors: DataFrame, queries: DataFrame, *, id_col: str = "vec_id", vector_col: str = "embedding", k: int = 20, pivots: int = PIVOTS, share: float = SHARE, index_block: int = INDEX_BLOCK, query_block: int = QUERY_BLOCK) -> DataFrame:
+def search(vectors: DataFrame, queries: DataFrame, *, id_col: str = "vec_id", vector_col: str = "embedding", k: int = 20, pivots: int = PIVOTS, posted: int = POSTED, share: float = SHARE, least: int = LEAST, index_block: int = INDEX_BLOCK, query_block: int = QUERY_BLOCK) -> DataFrame:
     """The ``k`` nearest found of each query: query_id, rank (from 1), id, score (inner product).
 
     Candidates are all vectors but the query's own row (its id). Ties go to the smaller id. Vectors that
-    are null, zero or hold null or non-finite components take no part, nor do rows without an id.
-    Equal vectors are indexed once with their ``k + 1`` smallest ids, as no other can be among the
-    nearest. Every vector is indexed; only the pivots are a sample. Vectors must be of one length. An
-    empty table gives an empty result.
-
-    Index blocks meet query blocks: each pair of blocks is one row of work, which returns ``k`` rows for
-    a query at most; these are merged by query. Neither side is broadcast.
+    are null, zero or hold null or non-finite components take no part, nor do rows without an id. A vector
+    shorter than another counts as followed by zeros. Equal vectors are indexed once with their ``k + 1``
+    smallest ids, as no other can be among the nearest. Every vector is indexed; only the pivots are a
+    sample. Where a query's files hold fewer than ``least`` vectors of a block, others fill up, so no
+    query gets fewer than ``k`` rows while there are candidates. Rows that repeat an id are
+    candidates once for each vector that differs; a query id that repeats is answered once. An empty table
+    gives an empty result.
+
+    The exact ranking takes ``share`` of a block, so work grows with queries times vectors, at the cost of
+    ``posted ** 2 / pivots`` additions and ``share`` inner products for a pair of them.
     """
     spark = vectors.sparkSession
     id_type = dict(vectors.dtypes)[id_col]
-    base = usable(vectors, id_col, vector_col)
-    # the smallest ids of each distinct vector; a bounded list, combined before the exchange
-    index = materialize(_classes(base, k + 1).withColumn("h", F.xxhash64("v")), "vectors")
-    n = index.count()
-    sample = index.orderBy("h", "v").limit(pivots).select("v").toPandas()
     schema = f"query_id {id_type}, rank int, `{id_col}` {id_type}, score double"
-    if not n:
+    base = usable(vectors, id_col, vector_col)
+    # the smallest ids of each distinct vector: limited before and behind one exchange
+    each = Window.partitionBy("h", "v").orderBy("id")
+    first = base.withColumn("h", F.xxhash64("v")).withColumn("r", F.dense_rank().over(each)).where(F.col("r") <= k + 1)
+    classes = materialize(first.groupBy("h", "v").agg(F.array_sort(F.collect_set("id")).alias("ids")), "vectors")
+    row = classes.agg(F.count(F.lit(1)).alias("n"), F.max(F.size("v")).alias("width")).first()
+    if not row["n"]:
         return spark.createDataFrame([], schema)
-    chosen = np.array(sample["v"].tolist(), dtype=np.float64)
-    chosen /= np.linalg.norm(chosen, axis=1, keepdims=True)
-    asked = usable(queries, id_col, vector_col)
-    blocks = parts_for(n, index_block)
+    width = row["width"]
+    # in the order of a hash, which is that of no property of the vectors
+    sample = classes.orderBy("h", "v").limit(2 * pivots).select("v").toArrow()
+    model = choose_pivots(dense(sample.column("v"), width).astype(np.float64), pivots, posted)
+    blocks = parts_for(row["n"], index_block)
+    index = classes.select(F.pmod("h", F.lit(blocks)).alias("block"), "v", "ids").groupBy("block").applyInArrow(_build(model, width), f"block long, n long, starts binary, rows binary, places binary, vectors binary, sizes binary, ids array<{id_type}>")
+    index = materialize(index, "permutation-index")
+    discard(classes)
+    asked = materialize(usable(queries, id_col, vector_col).groupBy("id").agg(F.min("v").alias("v")), "queries")
     q_blocks = parts_for(max(asked.count(), 1), query_block)
-    left = index.select(F.pmod("h", F.lit(blocks)).alias("block"), "v", "ids")
-    right = asked.select("id", "v", F.pmod(F.xxhash64("id"), F.lit(q_blocks)).alias("q_block"))
-    packed_index = left.groupBy("block").applyInPandas(_pack_block, "block long, n long, vectors binary, ids array<" + id_type + ">, sizes array<int>")
-    packed_query = right.groupBy("q_block").applyInPandas(_pack_queries, "q_block long, m long, queries binary, q_ids array<" + id_type + ">")
-    # one row for each pair of blocks: every query block is sent to every index block
-    pairs = packed_query.withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long")))).join(packed_index, "block")
-    found = pairs.select("n", "vectors", "ids", "sizes", "m", "queries", "q_ids").mapInArrow(_search_pair(chosen, share, k, id_type), f"query_id {id_type}, id {id_type}, score double")
-    from pyspark.sql import Window
-
+    every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long")))
+    left = index.withColumn("q_block", every(q_blocks))
+    right = asked.withColumn("q_block", F.pmod(F.xxhash64("id"), F.lit(q_blocks))).groupBy("q_block").agg(F.collect_list(F.struct("id", "v")).alias("asked")).withColumn("block", every(blocks))
+    found = left.groupBy("block", "q_block").cogroup(right.groupBy("block", "q_block")).applyInArrow(_search_pair(model, width, share, max(least, k + 1), k), f"query_id {id_type}, id {id_type}, score double")
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "id")
-    return found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", F.col("id").alias(id_col), "score")
+    ranked = found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
+    return ranked.select("query_id", "rank", F.col("id").alias(id_col), "score")
 
 
-def _classes(base: DataFrame, most: int) -> DataFrame:
-    """(v, ids): distinct vectors with their ``most`` smallest ids in order.
+def _build(model: Pivots, width: int):
+    def run(block: pa.Table) -> pa.Table:
+        v = dense(block.column("v"), width)
+        files = InvertedFiles.of(model.order(v), len(model.vectors))
+        ids = block.column("ids").combine_chunks()
+        parts = (files.starts, files.rows, files.places, v, np.diff(ids.offsets.to_numpy()).astype(np.int32))
+        held = [pa.array([x.tobytes()], pa.binary()) for x in parts]
+        return pa.Table.from_arrays([block.column("block").combine_chunks()[:1], pa.array([len(v)], pa.int64()), *held, pa.ListArray.from_arrays(pa.array([0, len(ids.flatten())], pa.int32()), ids.flatten())], ["block", "n", "starts", "rows", "places", "vectors", "sizes", "ids"])
+
+    return run
 
-    Lists are shortened in three steps over salted groups, so that a vector that a third of all rows
-    share is never gathered in one place.
-    """
 
-    def smallest(ids):
-        return F.slice(F.sort_array(F.array_distinct(ids)), 1, most)
-
-    for parts in (4_096, 64, 1):
-        salt = F.pmod(F.xxhash64("id"), F.lit(parts)) if parts == 4_096 else F.pmod("salt", F.lit(parts))
-        ids = F.collect_set("id") if parts == 4_096 else F.flatten(F.collect_list("ids"))
-        base = base.groupBy("v", salt.alias("salt")).agg(ids.alias("ids")).select("v", "salt", smallest(F.col("ids")).alias("ids"))
-    return base.select("v", "ids")
-
-
-def _pack_block(rows: pd.DataFrame) -> pd.DataFrame:
-    v = np.array(rows["v"].tolist(), dtype=np.float64)
-    return pd.DataFrame({"block": [int(rows["block"].iloc[0])], "n": [len(v)], "vectors": [v.tobytes()], "ids": [[i for ids in rows["ids"] for i in ids]], "sizes": [[len(i) for i in rows["ids"]]]})
-
-
-def _pack_queries(rows: pd.DataFrame) -> pd.DataFrame:
-    v = np.array(rows["v"].tolist(), dtype=np.float64)
-    return pd.DataFrame({"q_block": [int(rows["q_block"].iloc[0])], "m": [len(v)], "queries": [v.tobytes()], "q_ids": [rows["id"].tolist()]})
-
-
-def _search_pair(pivots: np.ndarray, share: float, k: int, id_type: str):
-    form = pa.int64() if id_type == "bigint" else pa.int32() if id_type == "int" else pa.string()
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for row in batch.to_pylist():
-                vectors = np.frombuffer(row["vectors"], np.float64).reshape(row["n"], -1)
-                queries = np.frombuffer(row["queries"], np.float64).reshape(row["m"], -1)
-                block = IndexBlock(vectors, pivots)
-                ids = np.array(row["ids"], dtype=object if form == pa.string() else np.int64)
-                ends = np.cumsum(row["sizes"])
-                starts = ends - np.array(row["sizes"])
-                out_q, out_id, out_score = [], [], []
-                for query, q_id, place in zip(queries, row["q_ids"], places(queries, pivots), strict=True):
-                    rows, scores = block.nearest(query, place, share, max(k + 1, LEAST))
-                    # classes that may hold one of the best k, ties included
-                    if len(scores) > k + 1:
-                        bar = np.partition(scores, len(scores) - k - 1)[len(scores) - k - 1]
-                        rows, scores = rows[scores >= bar], scores[scores >= bar]
-                    hits = [(-s, i) for r, s in zip(rows.tolist(), scores.tolist(), strict=True) for i in ids[starts[r] : ends[r]].tolist() if i != q_id]
-                    hits.sort()
-                    for s, i in hits[:k]:
-                        out_q.append(q_id)
-                        out_id.append(i)
-                        out_score.append(-s)
-                yield pa.RecordBatch.from_arrays([pa.array(out_q, form), pa.array(out_id, form), pa.array(out_score, pa.float64())], ["query_id", "id", "score"])
+def _search_pair(model: Pivots, width: int, share: float, least: int, k: int):
+    def run(index: pa.Table, asked: pa.Table) -> pa.Table:
+        form = index.schema.field("ids").type.value_type
+        out_q, out_id, out_score = [], [], []
+        for at in range(index.num_rows * asked.num_rows and 1):
+            read = lambda c, kind: np.frombuffer(index.column(c)[at].as_py(), kind)  # noqa: E731, B023
+            n = index.column("n")[at].as_py()
+            raw = index.column("vectors")[at].as_py()
+            vectors = np.frombuffer(raw, np.float32 if len(raw) == 4 * n * width else np.float64).reshape(n, width)
+            lengths = np.linalg.norm(vectors.astype(np.float64), axis=1)
+            files = InvertedFiles(read("starts", np.int32), read("rows", np.uint16), read("places", np.uint8), n)
+            ids = index.column("ids")[at].values.to_pylist()
+            ends = np.cumsum(read("sizes", np.int32))
+            starts = np.concatenate([[0], ends[:-1]])
+            held = asked.column("asked")[0].values
+            queries = dense(held.field("v"), width).astype(np.float64)
+            count = min(n, max(least, int(np.ceil(share * n))))
+            for query, q_id, order in zip(queries, held.field("id").to_pylist(), model.order(queries), strict=True):
+                if count == n:
+                    rows = np.arange(n)
+                else:
+                    sums = files.sums(order)
+                    likely = lengths * (model.base + HOPE * model.spread + model.slope * sums)
+                    likely[sums == 0] = -np.inf
+                    rows = np.argpartition(-likely, count - 1)[:count]
+                # row by row in one order of additions, so that equal vectors get equal scores
+                scores = (vectors[rows] * query).sum(axis=1)
+                # classes that may hold one of the best k, ties included
+                if len(scores) > k + 1:
+                    bar = np.partition(scores, len(scores) - k - 1)[len(scores) - k - 1]
+                    rows, scores = rows[scores >= bar], scores[scores >= bar]
+                hits = [(-s, i) for r, s in zip(rows.tolist(), scores.tolist(), strict=True) for i in ids[starts[r] : ends[r]] if i != q_id]
+                hits.sort()
+                for s, i in hits[:k]:
+                    out_q.append(q_id)
+                    out_id.append(i)
+                    out_score.append(-s)
+        return pa.table([pa.array(out_q, form), pa.array(out_id, form), pa.array(out_score, pa.float64())], names=["query_id", "id", "score"])
 
     return run
