@@ -133,6 +133,31 @@ def test_rounds_pack_as_well_as_one_partition(spark):
     assert bound <= used <= bound * 1.01 + 1
 
 
+def test_a_certified_partition_opens_nothing():
+    # four bins that are needed, none of them full: certified, so nothing is opened
+    import pandas as pd
+
+    run = packing._pack_group(10, False, 100)
+    got = run(pd.DataFrame({"row": range(4), "length": [6, 6, 6, 6], "part": 0}))
+    assert got["bins"].tolist() == got["bound"].tolist() == [4] * 4 and got["closed"].all()
+    # best-fit decreasing takes one bin more than the bound: the emptiest are opened, but not in a last round
+    gap = pd.DataFrame({"row": range(8), "length": [11, 20, 17, 8, 10, 21, 18, 15], "part": 0})
+    got = packing._pack_group(60, False, 5)(gap)
+    assert (got["bins"].iloc[0], got["bound"].iloc[0]) == (3, 2) and not got["closed"].all()
+    assert packing._pack_group(60, True, 5)(gap)["closed"].all()
+
+
+def test_pack_of_odd_lengths_and_clashing_columns(spark):
+    rows = [(1, None, "a", 1), (2, 0, "b", 2), (3, 65, "c", 3), (4, 64, "d", 4), (5, 30, "e", 5), (5, 30, "e", 5), (6, -1, "f", 6)]
+    df = spark.createDataFrame(rows, "doc_id bigint, length bigint, offset string, row_number int").withColumn("sequence_id", F.lit("x")).withColumn("row", F.lit(9))
+    got = packing.pack(df, capacity=64)
+    assert got.columns == ["doc_id", "length", "input_offset", "row_number", "input_sequence_id", "row", "sequence_id", "offset", "partition_bins", "partition_bound"]
+    out = sorted((r["doc_id"], r["sequence_id"] is None, r["offset"]) for r in got.collect() if r["doc_id"] != 5)
+    assert out == [(1, True, None), (2, True, None), (3, True, None), (4, False, 0), (6, True, None)]
+    five = got.where("doc_id = 5").collect()
+    assert five[0]["sequence_id"] == five[1]["sequence_id"] and sorted(r["offset"] for r in five) == [0, 30]
+
+
 # ---- 5: sharding
 
 

@@ -2,9 +2,10 @@
 
 Documents are tokenised, cut where they are longer than a sequence, and the pieces are packed. Packing
 works on partitions of bounded size. In each, best-fit decreasing packs the pieces and dual-feasible
-functions bound the number of bins from below. The emptiest bins are opened again, and their pieces
-are exchanged: eight partitions send theirs to one and best-fit decreasing runs again, until one
-partition is left. The bound over all pieces certifies the whole result.
+functions bound the number of bins from below. A partition whose bins equal its bound is certified and
+closed. The others have a gap: they open their emptiest bins and exchange the pieces, eight partitions
+sending theirs to one, where best-fit decreasing runs again. It ends when every partition is certified,
+when the bins in use equal the bound over all pieces, or when one partition is left.
 """
 
 from __future__ import annotations
@@ -21,12 +22,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidepanel.llm.chunks import ChunkTable, collect, word_chunks
-from tidepanel.llm.common import column_list, materialize, parts_for, slices
+from tidepanel.llm.common import column_list, discard, fresh, materialize, parts_for, set_aside, slices
 from tidepanel.llm.token_counts import drops_white_space
 
 BATCH_BYTES = 2 << 20
-#: Pieces of a partition in the first round.
-PARTITION_PIECES = 16_384
+#: Pieces of a partition. A certified partition wastes less than one bin, so the fewer the better.
+PARTITION_PIECES = 65_536
 #: Partitions whose open bins meet in one in the next round.
 FAN_IN = 8
 
@@ -136,17 +137,17 @@ def cut_pieces(docs: DataFrame, tokenizer: str, *, id_col: str = "doc_id", text_
     return rows.mapInArrow(run, f"`{id_col}` {kind}, piece int, start long, length long, {names[4]} {'long' if payload == 'crc32' else 'array<int>'}")
 
 
-def dff_bound(lengths: np.ndarray, capacity: int) -> int:
-    """A lower bound of the bins that ``lengths`` need, by dual-feasible functions.
+def dff_bound_of_counts(occurs: dict[int, int], capacity: int) -> int:
+    """A lower bound of the bins that pieces need, from {length: pieces}, by dual-feasible functions.
 
     A dual-feasible function maps sizes so that no full bin maps to more than one; the sum of the
     mapped sizes is then a bound. Three families: the identity, the threshold functions (sizes over
     capacity - t count whole, sizes under t not at all) and the rounding functions (size times k + 1
     over capacity, rounded down, in units of k, unless it is whole).
     """
-    if not len(lengths):
-        return 0
-    counts = np.bincount(lengths, minlength=capacity + 1).astype(np.int64)
+    counts = np.zeros(capacity + 1, dtype=np.int64)
+    for size, n in occurs.items():
+        counts[size] = n
     sizes = np.arange(capacity + 1, dtype=np.int64)
     best = -(-int((counts * sizes).sum()) // capacity)
     above = counts[::-1].cumsum()[::-1]  # pieces of at least this size
@@ -163,6 +164,11 @@ def dff_bound(lengths: np.ndarray, capacity: int) -> int:
     return best
 
 
+def dff_bound(lengths: np.ndarray, capacity: int) -> int:
+    """The lower bound for a list of lengths."""
+    return dff_bound_of_counts(dict(zip(*(x.tolist() for x in np.unique(lengths, return_counts=True)), strict=True)), capacity)
+
+
 def best_fit_decreasing(lengths: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Bins by best-fit decreasing: for each piece its bin and its offset; for each bin its room.
 
@@ -196,65 +202,82 @@ def best_fit_decreasing(lengths: np.ndarray, capacity: int) -> tuple[np.ndarray,
     return bins, offsets, np.array(rooms, dtype=np.int64)
 
 
-def _pack_group(capacity: int, last: bool, round_no: int, budget: int):
+def _pack_group(capacity: int, last: bool, budget: int):
     def run(group: pd.DataFrame) -> pd.DataFrame:
         group = group.sort_values(["length", "row"], ascending=[False, True], kind="stable").reset_index(drop=True)
         lengths = group["length"].to_numpy(np.int64)
         bins, offsets, rooms = best_fit_decreasing(lengths, capacity)
         bound = dff_bound(lengths, capacity)
-        part = int(group["part"].iloc[0])
-        # full bins stay, and so does all of a last round; the emptiest of the others are opened, as many
-        # as keep the partition that gets them within its size
         closed = np.full(len(rooms), True)
-        if not last:
+        if len(rooms) > bound and not last:
+            # not certified: the emptiest bins are opened, as many as keep the partition that gets them in its size
             emptiest = np.argsort(-rooms, kind="stable")
             held = np.bincount(bins, minlength=len(rooms))[emptiest].cumsum()
             closed[emptiest[held <= budget]] = False
             closed |= rooms == 0
-        return pd.DataFrame({"row": group["row"], "length": lengths, "part": part, "bin": bins, "offset": offsets, "closed": closed[bins], "bins": len(rooms), "bound": bound, "round": round_no})
+        return pd.DataFrame({"row": group["row"], "length": lengths, "part": int(group["part"].iloc[0]), "bin": bins, "offset": offsets, "closed": closed[bins], "bins": len(rooms), "bound": bound})
 
     return run
 
 
+def _bound_of(pieces: DataFrame, capacity: int) -> int:
+    """The lower bound over all pieces; reads one row for each length that occurs."""
+    rows = pieces.where(F.col("length").between(1, capacity)).groupBy("length").agg(F.count(F.lit(1)).alias("n")).collect()
+    return dff_bound_of_counts({r["length"]: r["n"] for r in rows}, capacity)
+
+
 def pack(pieces: DataFrame, *, capacity: int = 2048, length_col: str = "length", partition_pieces: int = PARTITION_PIECES) -> DataFrame:
     """Add ``sequence_id`` and ``offset`` to pieces, in as few sequences as best-fit finds.
 
     Pieces of full length are sequences of their own. The others get a row number, are dealt evenly to
     partitions of about ``partition_pieces`` rows (so a hot document or length makes no hot partition),
-    and are packed in rounds; between rounds only the pieces of the emptiest bins travel, an eighth of
-    ``partition_pieces`` from each of eight partitions to one, so that no partition outgrows its size. Also added: ``partition_bins`` and ``partition_bound``, the bins and the lower bound of the
-    partition and round in which a piece found its place (equal: certified).
-
-    Lengths must lie between 1 and ``capacity``. Repeated rows are pieces of their own. An empty table
-    gives an empty result. The pieces are written once to the shared folder and so is each round.
+    and are packed in rounds; between rounds only the pieces of the emptiest bins of partitions that
+    are not certified travel, at most an eighth of ``partition_pieces`` from each of eight partitions to one,
+    so that no partition outgrows its size. Also added: ``partition_bins`` and ``partition_bound``, the bins and
+    the lower bound of the partition and round in which a piece found its place (equal: certified).
+    The sequences exceed the bound over all pieces by less than one for each certified partition.
+
+    A length that is null, below 1 or above ``capacity`` has no place: its row keeps null in the columns
+    added. Input columns that are called like an added one are renamed to ``input_<name>``. Repeated
+    rows are pieces of their own. An empty table gives an empty result. The pieces are written once to the
+    shared folder and so is each round.
     """
-    if {"sequence_id", "offset", "partition_bins", "partition_bound"} & set(pieces.columns):
-        raise ValueError("the pieces already have columns of the result")
-    numbered = materialize(pieces.withColumn("_row", F.monotonically_increasing_id()), "pieces")
-    skinny = numbered.select(F.col("_row").alias("row"), F.col(length_col).cast("long").alias("length"))
-    whole = skinny.where(F.col("length") == capacity).select("row", F.col("row").alias("sequence_id"), F.lit(0).cast("long").alias("offset"), F.lit(1).cast("long").alias("partition_bins"), F.lit(1).cast("long").alias("partition_bound"))
-    open_rows = skinny.where(F.col("length") != capacity)
+    pieces = set_aside(pieces, ("sequence_id", "offset", "partition_bins", "partition_bound"))
+    if length_col not in pieces.columns:
+        length_col = f"input_{length_col}"
+    row = fresh(pieces, "row_number")
+    numbered = materialize(pieces.withColumn(row, F.monotonically_increasing_id()), "pieces")
+    skinny = numbered.select(F.col(row).alias("row"), F.col(length_col).cast("long").alias("length"))
+    one = F.lit(1).cast("long")
+    whole = skinny.where(F.col("length") == capacity).select("row", F.col("row").alias("sequence_id"), F.lit(0).cast("long").alias("offset"), one.alias("partition_bins"), one.alias("partition_bound"))
+    open_rows = skinny.where((F.col("length") >= 1) & (F.col("length") < capacity))
+    goal = _bound_of(open_rows, capacity)
     parts = parts_for(open_rows.count(), partition_pieces)
-    placed = [whole]
+    placed, used = [whole], 0
     left = open_rows.withColumn("part", F.pmod(F.xxhash64("row"), F.lit(parts)))
-    schema = "row long, length long, part long, bin long, offset long, closed boolean, bins long, bound long, round int"
+    schema = "row long, length long, part long, bin long, offset long, closed boolean, bins long, bound long"
     round_no = 0
-    while True:
+    while goal:
         round_no += 1
-        last = parts == 1
-        done = left.groupBy("part").applyInPandas(_pack_group(capacity, last, round_no, partition_pieces // FAN_IN), schema)
-        done = done if last else materialize(done, f"packed-{round_no}")
+        done = materialize(left.groupBy("part").applyInPandas(_pack_group(capacity, parts == 1, partition_pieces // FAN_IN), schema), f"packed-{round_no}")
+        # bins of this round, and those of them that stay
+        held = done.groupBy("part", "bin").agg(F.first("closed").alias("closed"))
+        bins, kept = held.agg(F.count(F.lit(1)), F.count(F.when(F.col("closed"), 1))).first()
+        finished = kept == bins or used + bins <= goal
         # rows below 2^62 keep their own numbers; rounds, partitions and bins share those above
         number = F.lit(1 << 62) + F.lit(round_no << 56) + F.col("part") * F.lit(1 << 20) + F.col("bin")
-        placed.append(done.where("closed").select("row", number.alias("sequence_id"), "offset", F.col("bins").alias("partition_bins"), F.col("bound").alias("partition_bound")))
-        if last:
+        settled = done if finished else done.where("closed")
+        placed.append(settled.select("row", number.alias("sequence_id"), "offset", F.col("bins").alias("partition_bins"), F.col("bound").alias("partition_bound")))
+        if finished:
             break
+        used += kept
+        opened = done.where(~F.col("closed"))
         parts = parts_for(parts, FAN_IN)
-        left = done.where(~F.col("closed")).select("row", "length", F.pmod(F.floor(F.col("part") / FAN_IN), F.lit(parts)).alias("part"))
+        left = opened.select("row", "length", F.pmod(F.floor(F.col("part") / FAN_IN), F.lit(parts)).alias("part"))
     result = placed[0]
     for more in placed[1:]:
         result = result.unionByName(more)
-    return numbered.join(result, numbered["_row"] == result["row"]).drop("_row", "row")
+    return numbered.join(result.withColumnRenamed("row", row), row, "left").select(*[F.col(f"`{c}`") for c in pieces.columns], "sequence_id", "offset", "partition_bins", "partition_bound")
 
 
 def pack_documents(docs: DataFrame, tokenizer: str, *, id_col: str = "doc_id", text_col: str = "text", capacity: int = 2048, end_id: int = 0, payload: str = "ids") -> DataFrame:
@@ -264,7 +287,4 @@ def pack_documents(docs: DataFrame, tokenizer: str, *, id_col: str = "doc_id", t
 
 def corpus_bound(packed: DataFrame, *, capacity: int = 2048) -> tuple[int, int]:
     """(sequences used, lower bound over all pieces); reads one row for each length that occurs."""
-    used = packed.select("sequence_id").distinct().count()
-    rows = packed.groupBy("length").count().collect()
-    lengths = np.repeat(np.array([r["length"] for r in rows], dtype=np.int64), [r["count"] for r in rows]) if rows else np.array([], dtype=np.int64)
-    return used, dff_bound(lengths, capacity)
+    return packed.where("sequence_id is not null").select("sequence_id").distinct().count(), _bound_of(packed, capacity)
