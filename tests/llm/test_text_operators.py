@@ -176,6 +176,33 @@ def test_shards_are_even_gapless_and_keep_small_groups(spark, none):
     assert sharding.shard(none, 8).count() == 0
 
 
+def test_shards_equal_a_sorted_reference(spark):
+    rng = np.random.default_rng(5)
+    rows = [(int(i), f"doc {rng.integers(0, 400)} " * int(rng.integers(1, 30))) for i in range(1500)] + [(None, "the same"), (None, None)] * 400 + [(5, "hot " * 30)] * 700
+    frame = spark.createDataFrame([(i, t, 1, "a", 2, 3) for i, t in rows], "doc_id bigint, text string, size int, shard string, _row int, _high int").repartition(6)
+    got = sharding.shard(frame, 8).withColumn("high", F.xxhash64(F.coalesce("text", F.lit("")))).collect()
+    assert frame.columns == ["doc_id", "text", "size", "shard", "_row", "_high"]
+    assert set(got[0].asDict()) == {"doc_id", "text", "input_size", "input_shard", "_row", "_high", "size", "shard", "slot", "high"}
+    assert Counter((r["doc_id"], r["text"]) for r in got) == Counter(rows)
+    assert all(r["size"] == len((r["text"] or "").encode()) + 1 for r in got)
+    # in order of shard and slot the rows are sorted by hash and id, as a plain sort has them
+    ordered = [(r["high"], -(1 << 63) if r["doc_id"] is None else r["doc_id"]) for r in sorted(got, key=lambda r: (r["shard"], r["slot"]))]
+    assert ordered == sorted(ordered)
+    total, at = sum(r["size"] for r in got), 0
+    for s in range(8):
+        mine = [r for r in got if r["shard"] == s]
+        assert sorted(r["slot"] for r in mine) == list(range(len(mine)))
+        # the cut is within the tolerance of its exact place, or of one document
+        at += sum(r["size"] for r in mine)
+        assert abs(at - total * (s + 1) / 8) <= 0.005 * total / 8 + max(r["size"] for r in got)
+
+
+def test_rows_equal_in_text_and_id_are_spread(spark):
+    frame = spark.range(4000).select(F.lit(None).cast("bigint").alias("doc_id"), F.lit("same text").alias("text"))
+    sizes = Counter(r["shard"] for r in sharding.shard(frame, 8).collect())
+    assert len(sizes) == 8 and max(sizes.values()) - min(sizes.values()) <= 8
+
+
 # ---- 9: quality
 
 

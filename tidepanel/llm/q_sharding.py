@@ -11,9 +11,9 @@ from tidepanel.llm.sharding import shard
 
 def op5_histogram_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    # the digest is taken before the exchange, so texts do not travel
+    # the digest is taken first, so texts are neither written nor exchanged
     digest = docs.withColumn("text_crc32", F.crc32(F.encode(F.coalesce("text", F.lit("")), "UTF-8")))
-    placed = shard(digest, 16)
+    placed = shard(digest, 16, keep=("doc_id", "text_crc32"))
     return placed.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 

@@ -1,6 +1,6 @@
 """Operator 5: sharding by histogram sort.
 
-Documents are ordered by the key (hash of the text, id), so equal texts are neighbours. The order is cut
+Documents are ordered by the key (hash of the text, id, row number), so equal texts are neighbours. The order is cut
 at equal shares of the bytes: exact byte counts below candidate boundaries are gathered over all
 partitions, the intervals that hold a cut are probed more finely, and so on until every cut is within
 tolerance. Only then do rows move, once, to the fragments between the cuts.
@@ -11,10 +11,10 @@ from __future__ import annotations
 from bisect import bisect_right
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidepanel.llm.common import materialize, shuffle_partitions
+from tidepanel.llm.common import fresh, materialize, set_aside, shuffle_partitions
 
 #: Probes by which one interval is split in a round, as a power of two.
 PROBE_BITS = 8
@@ -26,27 +26,34 @@ TOLERANCE = 0.005
 INNER = 0.3
 
 _BIAS = 1 << 63
+#: The parts of the key, each a signed 64-bit number: hash of the text, order key of the id, number of the row.
+KEY = ("high", "low", "row")
 
 
 @dataclass(frozen=True)
 class Cut:
-    """Rows with (hash, id key) below (``high``, ``low``) come first; exact counts of them."""
+    """Rows with a key below ``key`` (a beginning of the key; the rest is least) come first; exact counts of them."""
 
-    high: int
-    low: int
+    key: tuple[int, ...]
     bytes_below: int
     rows_below: int
 
 
-def text_keys(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """``docs`` with ``_high`` (hash of the text), ``_low`` (order key of the id) and ``_size``.
+def key_columns(docs: DataFrame, id_col: str, text_col: str) -> dict[str, Column]:
+    """``high`` (hash of the text), ``low`` (order key of the id), ``row`` and ``size``.
 
     An integer id is its own order key; any other id is ordered by its hash. A null id comes first.
     """
     kind = dict(docs.dtypes)[id_col]
-    low = F.col(id_col).cast("long") if kind in ("bigint", "int", "smallint", "tinyint") else F.xxhash64(F.col(id_col))
-    size = F.coalesce(F.octet_length(F.col(text_col)), F.lit(0)).cast("long") + 1
-    return docs.withColumns({"_high": F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))), "_low": F.coalesce(low, F.lit(-_BIAS)), "_size": size})
+    own = F.col(f"`{id_col}`")
+    low = own.cast("long") if kind in ("bigint", "int", "smallint", "tinyint") else F.xxhash64(own)
+    text = F.col(f"`{text_col}`")
+    return {
+        "high": F.xxhash64(F.coalesce(text, F.lit(""))),
+        "low": F.coalesce(low, F.lit(-_BIAS)),
+        "row": F.monotonically_increasing_id(),
+        "size": F.coalesce(F.octet_length(text), F.lit(0)).cast("long") + 1,
+    }
 
 
 def _slot(key: Column, start: int, bits: int, width: int) -> Column:
@@ -57,24 +64,25 @@ def _slot(key: Column, start: int, bits: int, width: int) -> Column:
     return F.shiftrightunsigned(key - F.lit(start), shift)
 
 
-def _probe(keys: DataFrame, column: str, intervals: dict[int, tuple[int, int]], extra: Column | None = None) -> dict[int, list[tuple[int, int, int]]]:
+def _probe(keys: DataFrame, level: int, intervals: dict[int, tuple[tuple[int, ...], int, int]]) -> dict[int, list[tuple[int, int, int]]]:
     """Exact bytes and rows in each probed sub-interval: {interval: [(slot, bytes, rows)]}.
 
-    ``intervals``: number → (start, width in bits). One aggregation over all rows inside them; what comes
-    back is bounded by the number of intervals times ``2**PROBE_BITS``.
+    ``intervals``: number → (values of the parts of the key before ``level``, start, width in bits). One
+    aggregation over all rows inside them; what comes back is bounded by the number of intervals times
+    ``2**PROBE_BITS``.
     """
-    key = F.col(column)
+    key = F.col(KEY[level])
     which, slot = None, None
-    for number, (start, width) in intervals.items():
+    for number, (prefix, start, width) in intervals.items():
         inside = F.lit(True) if width == 64 else key.between(start, start + (1 << width) - 1)
-        if extra is not None:
-            inside = inside & (F.col("_high") == extra[number])
+        for name, value in zip(KEY, prefix, strict=False):
+            inside = inside & (F.col(name) == value)
         place = _slot(key, start, min(PROBE_BITS, width), width)
         which = F.when(inside, number) if which is None else which.when(inside, number)
         slot = F.when(inside, place) if slot is None else slot.when(inside, place)
-    rows = keys.select(which.alias("k"), slot.cast("long").alias("s"), "_size").where(F.col("k").isNotNull())
+    rows = keys.select(which.alias("k"), slot.cast("long").alias("s"), "size").where(F.col("k").isNotNull())
     found: dict[int, list[tuple[int, int, int]]] = {}
-    for r in rows.groupBy("k", "s").agg(F.sum("_size").alias("b"), F.count(F.lit(1)).alias("n")).collect():
+    for r in rows.groupBy("k", "s").agg(F.sum("size").alias("b"), F.count(F.lit(1)).alias("n")).collect():
         found.setdefault(r["k"], []).append((r["s"], r["b"], r["n"]))
     return {k: sorted(v) for k, v in found.items()}
 
@@ -84,27 +92,25 @@ def find_cuts(keys: DataFrame, parts: int, group_parts: int, tolerance: float =
 
     Every ``group_parts``-th cut is a shard's end. A cut that meets a text's hash moves to the nearer
     end of that text's group if this costs no more than ``tolerance`` of a shard's bytes; otherwise it goes
-    into the group, where ids order the rows.
+    into the group, where ids order the rows, and inside one id, where their numbers do.
     """
-    total = keys.agg(F.sum("_size").alias("b")).first()["b"] or 0
+    total = keys.agg(F.sum("size").alias("b")).first()["b"] or 0
     if total == 0:
         return []
     targets = [total * i // parts for i in range(1, parts)]
     # ends of shards must be close; the fragments inside a shard need not be even
     allowed = [int(total / parts * (tolerance * group_parts if i % group_parts == 0 else INNER)) for i in range(1, parts)]
     cuts: list[Cut | None] = [None] * len(targets)
-    # first by hash, then, inside single hashes that hold a cut, by id
-    open_at: dict[tuple[int, int, int | None], tuple[int, int, list[int]]] = {(-_BIAS, 64, None): (0, 0, list(range(len(targets))))}
+    # (values of the parts before, start, width) → bytes and rows below it, cuts wanted inside
+    open_at: dict[tuple[tuple[int, ...], int, int], tuple[int, int, list[int]]] = {((), -_BIAS, 64): (0, 0, list(range(len(targets))))}
     while open_at:
-        after: dict[tuple[int, int, int | None], tuple[int, int, list[int]]] = {}
-        for column in ("_high", "_low"):
-            batch = [(k, v) for k, v in open_at.items() if (k[2] is None) == (column == "_high")]
+        after: dict[tuple[tuple[int, ...], int, int], tuple[int, int, list[int]]] = {}
+        for level in range(len(KEY)):
+            batch = [(k, v) for k, v in open_at.items() if len(k[0]) == level]
             for at in range(0, len(batch), 128):
                 part = batch[at : at + 128]
-                intervals = {n: (k[0], k[1]) for n, (k, _) in enumerate(part)}
-                hashes = None if column == "_high" else {n: k[2] for n, (k, _) in enumerate(part)}
-                seen = _probe(keys, column, intervals, hashes)
-                for n, ((start, width, inside), (below_b, below_n, wanted)) in enumerate(part):
+                seen = _probe(keys, level, {n: k for n, (k, _) in enumerate(part)})
+                for n, ((prefix, start, width), (below_b, below_n, wanted)) in enumerate(part):
                     step = 1 << (width - min(PROBE_BITS, width))
                     slots = seen.get(n, [])
                     sums = [(below_b, below_n)]
@@ -114,71 +120,68 @@ def find_cuts(keys: DataFrame, parts: int, group_parts: int, tolerance: float =
                     for i in wanted:
                         j = min(bisect_right(edges, targets[i]) - 1, len(slots) - 1)
                         left, right = sums[j], sums[j + 1]
-                        low_key, high_key = start + slots[j][0] * step, start + slots[j][0] * step + step
-                        near = min((abs(e[0] - targets[i]), c, e) for c, e in ((low_key, left), (high_key, right)))
-                        alone = slots[j][2] == 1  # one document is never split
-                        if near[0] <= allowed[i] or alone or (inside is not None and step == 1):
-                            key = near[1]
-                            if inside is None:
-                                cuts[i] = Cut(key, -_BIAS, *near[2])
-                            else:
-                                cuts[i] = Cut(inside, key, *near[2])
+                        low_key = start + slots[j][0] * step
+                        near = min((abs(e[0] - targets[i]), c, e) for c, e in ((low_key, left), (low_key + step, right)))
+                        if near[0] <= allowed[i] or slots[j][2] == 1:  # one document is never split
+                            cuts[i] = Cut((*prefix, near[1]), *near[2])
                         elif step > 1:
-                            after.setdefault((low_key, width - min(PROBE_BITS, width), inside), (*left, []))[2].append(i)
-                        else:  # one hash holds the cut and is too large to move it to an end
-                            after.setdefault((-_BIAS, 64, low_key), (*left, []))[2].append(i)
+                            after.setdefault((prefix, low_key, width - min(PROBE_BITS, width)), (*left, []))[2].append(i)
+                        else:  # one value holds the cut and is too large to move it to an end
+                            after.setdefault(((*prefix, low_key), -_BIAS, 64), (*left, []))[2].append(i)
         open_at = after
     return [c for c in cuts if c is not None]
 
 
-def _assign(cuts: list[Cut]) -> Column:
-    """The number of cuts at or below a row's key, as a balanced tree of comparisons."""
+def _assign(cuts: list[Cut], names: dict[str, str]) -> Column:
+    """The number of cuts at or below a row's key, as a balanced tree of comparisons; ``names``: columns of its parts."""
+
+    def below(key: tuple[int, ...], level: int = 0) -> Column:
+        own, edge = F.col(names[KEY[level]]), key[0]
+        if edge >= _BIAS:  # behind every value
+            return F.lit(True)
+        if len(key) == 1:
+            return own < F.lit(edge)
+        return (own < F.lit(edge)) | ((own == F.lit(edge)) & below(key[1:], level + 1))
 
     def tree(lo: int, hi: int) -> Column:
         if lo == hi:
             return F.lit(lo)
         mid = (lo + hi) // 2
-        c = cuts[mid]
-        if c.high >= _BIAS:  # behind every key
-            return tree(lo, mid)
-        below = F.col("_high") < F.lit(c.high)
-        if c.low > -_BIAS:
-            below = below | ((F.col("_high") == F.lit(c.high)) & ((F.col("_low") < F.lit(c.low)) if c.low < _BIAS else F.lit(True)))
-        return F.when(below, tree(lo, mid)).otherwise(tree(mid + 1, hi))
+        return F.when(below(cuts[mid].key), tree(lo, mid)).otherwise(tree(mid + 1, hi))
 
     return tree(0, len(cuts))
 
 
-def shard(docs: DataFrame, shards: int = 16, *, id_col: str = "doc_id", text_col: str = "text", fragments: int = FRAGMENTS, tolerance: float = TOLERANCE) -> DataFrame:
-    """``docs`` with ``size``, ``shard`` and ``slot``: shards of nearly equal bytes, each in key order.
+def shard(docs: DataFrame, shards: int = 16, *, id_col: str = "doc_id", text_col: str = "text", fragments: int = FRAGMENTS, tolerance: float = TOLERANCE, keep: tuple[str, ...] | None = None) -> DataFrame:
+    """The columns ``keep`` (None: all) with ``size``, ``shard`` and ``slot``: shards of nearly equal bytes, in key order.
 
     Law ``bytes``: a shard's bytes differ from the mean by at most ``tolerance`` of a shard at either
     end, or by one document. Size: UTF-8 bytes of the text (null: none) plus 1. Equal texts stay in one
     shard unless a group is larger than the tolerance and meets a boundary; then its rows are split by id,
-    so a group that holds a third of all rows is spread. Rows that repeat both text and id stay
-    together. ``slot`` numbers a shard's rows from 0. An empty table gives an empty result.
+    and rows equal in id too (null ids, say) by a row number, so that a group of any share is spread.
+    ``slot`` numbers a shard's rows from 0. Input columns that are called like an added one are renamed to
+    ``input_<name>``. An empty table gives an empty result.
 
-    The keys alone (hash, id, size) are written once to the shared folder and probed there. Rows move in
-    one exchange, which sorts each of ``shards * fragments`` fragments; columns that the caller does not
-    use are pruned before it.
+    The kept columns and the keys are written once to the shared folder, where row numbers are fixed and
+    the keys are probed. Rows move in one exchange, which sorts each of ``shards * fragments`` fragments;
+    columns that the caller does not use are pruned before it.
     """
-    clash = {"size", "shard", "slot"} & set(docs.columns)
-    if clash:
-        raise ValueError(f"the documents already have {sorted(clash)}")
-    keyed = text_keys(docs, id_col, text_col)
-    keys = materialize(keyed.select("_high", "_low", "_size"), "shard-keys")
+    spark = docs.sparkSession
+    wanted = docs.select(*[F.col(f"`{c}`") for c in (docs.columns if keep is None else keep)])
+    named = set_aside(wanted, ("size", "shard", "slot"))
+    own = {name: fresh(named, f"_{name}") for name in (*KEY, "size", "fragment")}
+    keyed = docs.select(*[F.col(f"`{c}`").alias(n) for c, n in zip(wanted.columns, named.columns, strict=True)], *[c.alias(own[n]) for n, c in key_columns(docs, id_col, text_col).items()])
+    stored = materialize(keyed, "shard-rows")
+    keys = stored.select(*[F.col(own[n]).alias(n) for n in (*KEY, "size")])
     cuts = find_cuts(keys, shards * fragments, fragments, tolerance)
     first = [(0, 0)] + [(c.bytes_below, c.rows_below) for c in cuts]
     before = [n - first[i // fragments * fragments][1] for i, (_, n) in enumerate(first)]
-    offset = F.get(F.array(*[F.lit(n).cast("long") for n in before]), F.col("_fragment"))
-    placed = keyed.withColumn("_fragment", _assign(cuts))
-    from pyspark.sql import Window
-
-    order = Window.partitionBy("_fragment").orderBy("_high", "_low")
-    placed = placed.repartition(max(shuffle_partitions(docs.sparkSession), 1), "_fragment")
+    offset = F.get(F.array(*[F.lit(n).cast("long") for n in before]), F.col(own["fragment"]))
+    order = Window.partitionBy(own["fragment"]).orderBy(*[own[n] for n in KEY])
+    placed = stored.withColumn(own["fragment"], _assign(cuts, own)).repartition(max(shuffle_partitions(spark), 1), own["fragment"])
     out = placed.withColumn("slot", F.row_number().over(order).cast("long") - 1 + offset)
-    out = out.withColumn("shard", F.floor(F.col("_fragment") / fragments).cast("int")).withColumnRenamed("_size", "size")
-    return out.drop("_high", "_low", "_fragment")
+    out = out.withColumns({"shard": F.floor(F.col(own["fragment"]) / fragments).cast("int"), "size": F.col(own["size"])})
+    return out.select(*[F.col(f"`{c}`") for c in named.columns], "size", "shard", "slot")
 
 
 def write_shards(sharded: DataFrame, path: str) -> None:
