@@ -1,6 +1,7 @@
 """Operators on documents: edge cases, brute force, library round trips."""
 
 import hashlib
+import math
 import struct
 import zlib
 from collections import Counter
@@ -349,30 +350,84 @@ def test_toxicity_learns_from_votes(spark, none):
     rng = np.random.default_rng(2)
     bad = ["grobix", "vilnak", "morfud"]
     rows, labels = [], []
-    for i in range(600):
-        words = [f"w{x}" for x in rng.integers(0, 200, 40)]
+    for i in range(900):
+        words = [f"w{'abcdefghij'[x % 10]}{'klmnopqrst'[x // 10]}" for x in rng.integers(0, 100, 40)]
         toxic = i % 6 == 0
-        if toxic:
+        if toxic and i % 12:
             words[3:6] = rng.choice(bad, 3)
+        elif toxic:  # another language: one word of many endings
+            words[7] = "zurtel" + rng.choice(["an", "ig", "os"])
         rows.append((i, " ".join(words)))
-        labels.append((i, int(toxic)))
-    docs = spark.createDataFrame(rows + [(1000, None), (1001, ""), (1002, "grobix " * 50_000)], "doc_id bigint, text string").withColumn("score", F.lit("clash"))
+        labels.append((i, int(toxic) if i % 50 else int(not toxic)))  # some labels are wrong
+    labels += [(3, 1), (6, 1), (6, 1), (None, 1), (9, None), (12, 7)]
+    docs = spark.createDataFrame(rows + [(1000, None), (1001, ""), (1002, "grobix " * 50_000), (1003, "what a gr0bix and m0rfud"), (6, rows[6][1])], "doc_id bigint, text string").withColumns({"score": F.lit("clash"), "_text": F.lit(1)})
     truth = spark.createDataFrame(labels, "doc_id bigint, toxic int")
     model = toxicity.fit_toxicity(docs, truth)
     got = {r["doc_id"]: r for r in toxicity.score_toxicity(docs, model).collect()}
-    held = [i for i, _ in labels if zlib.crc32(str(i).encode()) % 5 == 0]
+    held = [i for i in range(900) if zlib.crc32(str(i).encode()) % 5 == 0]
     assert all(got[i]["predicted"] == int(i % 6 == 0) for i in held)
-    assert got[1000]["predicted"] == 0 and got[1001]["score"] == got[1000]["score"] and got[1002]["predicted"] == 1
-    assert toxicity.keep_civil(docs, model).columns == docs.columns
+    assert all(0 <= r["score"] <= 1 for r in got.values())
+    assert got[1000]["predicted"] == 0 and got[1001]["score"] == got[1000]["score"] and got[1002]["predicted"] == 1 and got[1003]["predicted"] == 1
+    civil = toxicity.keep_civil(docs, model)
+    assert civil.columns == docs.columns and civil.where("score = 'clash'").count() == sum(got[i]["predicted"] == 0 for i in got)
     blank = toxicity.fit_toxicity(docs, truth.where("toxic = 0"))
-    assert {r["predicted"] for r in toxicity.score_toxicity(docs, blank).collect()} == {0}
+    assert all(r["score"] == pytest.approx(0.25) for r in toxicity.score_toxicity(docs, blank).collect())
     assert toxicity.score_toxicity(none, model).count() == 0
 
 
-def test_label_model_finds_correlated_voters():
+def plain_em(votes, sides, prior, rounds):
+    """The label model without links, voter by voter."""
+    post = []
+    for row in votes:
+        balance = sum(v * s for v, s in zip(row, sides))
+        post.append(0.95 if balance > 0 else 0.05 if balance < 0 else prior)
+    for _ in range(rounds):
+        n1, says = sum(post), []
+        n0 = len(post) - n1
+        share = (n1 + 1e-9) / (n1 + n0 + 2e-9)
+        for j in range(len(sides)):
+            c1 = sum(p for p, row in zip(post, votes) if row[j])
+            c0 = sum(1 - p for p, row in zip(post, votes) if row[j])
+            says.append(math.log((c1 + toxicity.SMOOTH * share) / (n1 + 1e-9)) - math.log((c0 + toxicity.SMOOTH * (1 - share)) / (n0 + 1e-9)))
+        post = [1 / (1 + math.exp(-min(30, max(-30, math.log(prior / (1 - prior)) + sum(s for s, v in zip(says, row) if v))))) for row in votes]
+    return post
+
+
+def test_label_model_equals_a_plain_one(monkeypatch):
+    rng = np.random.default_rng(3)
+    y = rng.random(300) < 0.3
+    votes = np.stack([y & (rng.random(300) < 0.7), y ^ (rng.random(300) < 0.1), ~y & (rng.random(300) < 0.5), rng.random(300) < 0.2], axis=1).astype(float)
+    sides = np.array([1, 1, -1, 1])
+    monkeypatch.setattr(toxicity, "draw_forest", lambda counts: (np.full(4, -1), []))
+    model, post = toxicity.fit_label_model(votes, sides, 0.3, rounds=7)
+    assert post == pytest.approx(np.array(plain_em(votes.tolist(), sides.tolist(), 0.3, 7)), abs=1e-9)
+    assert ((post > 0.5) == y).mean() > 0.9
+    # the accuracies that were put in, in order
+    assert model.accuracy[0] > model.accuracy[1] > model.accuracy[3]
+
+
+def test_correlated_voters_do_not_count_twice():
     rng = np.random.default_rng(0)
-    y = rng.random(4000) < 0.2
-    a, b = (y & (rng.random(4000) < 0.6)), (y & (rng.random(4000) < 0.6))
-    votes = np.stack([a, a, b, ~(a | b)], axis=1).astype(float)
-    post, rates, pairs = toxicity.fit_label_model(votes, 0.2, ["a", "copy of a", "b", "(none)"])
-    assert ("a", "copy of a") in pairs and ((post > 0.5) == (a | b)).mean() > 0.99
+    y = rng.random(6000) < 0.2
+    # a weak voter, nine copies of it, and a stronger one that disagrees with it at times
+    weak = np.where(y, rng.random(6000) < 0.5, rng.random(6000) < 0.1)
+    strong = np.where(y, rng.random(6000) < 0.8, rng.random(6000) < 0.02)
+    votes = np.stack([weak] * 10 + [strong, ~strong], axis=1).astype(float)
+    sides = np.array([1] * 11 + [-1])
+    counts = toxicity.pair_counts(votes, np.where(y, 0.99, 0.01))
+    parent, links = toxicity.draw_forest(counts)
+    assert sum(c > 0.9 for _, _, c in links) == 9 and (parent >= 0).sum() == len(links)
+    model = toxicity.estimate(votes, sides, np.where(y, 0.99, 0.01), 0.2, parent, links)
+    alone = toxicity.estimate(votes, sides, np.where(y, 0.99, 0.01), 0.2, np.full(12, -1), [])
+    only_weak = np.array([[1.0] * 10 + [0, 1]])
+    # ten votes of one mind say about as much as one
+    assert model.posterior(only_weak)[0] < 0.3 < 0.99 < alone.posterior(only_weak)[0]
+
+
+def test_sparse_classifier_finds_the_features_that_matter():
+    rng = np.random.default_rng(7)
+    rows = [np.flatnonzero(rng.random(50) < 0.2) for _ in range(800)]
+    y = np.array([float(3 in r or 8 in r) for r in rows])
+    w, constant = toxicity.fit_sparse_logistic(rows, y, 50, 2e-3)
+    assert set(np.argsort(-w)[:2]) == {3, 8} and constant < 0 and (w == 0).sum() > 30
+    assert all((constant + w[r].sum() > 0) == (t > 0.5) for r, t in zip(rows, y))

@@ -1,21 +1,29 @@
 """Operator 3: toxicity by weak supervision.
 
-1. Voters. Words and word beginnings that are much more frequent in toxic than in other labelled texts of
-   the training fold form lexicon and pattern voters; a few fixed voters vote on the share of such
-   words and on texts without any.
-2. Label model. A generative model explains all votes by a hidden label: each voter has its own rates of
-   firing for either label, estimated by expectation maximisation on votes alone, from a start by the
-   majority. Correlated voters (their votes agree more than the hidden label explains) are found from the
-   model's residuals and share one vote's weight, after which the model is fitted again.
-3. Classifier. A logistic regression on the features of a text is trained on the posterior labels.
-
-Only texts feed a score; labels of the training fold choose and orient the voters.
+1. Voters. Each votes *toxic* or *civil* on a text or abstains. Lexicon voters are words, and pattern
+   voters word beginnings, whose share of toxic texts among the labelled texts of the training folds is far
+   from the average: high for toxic voters, low for civil ones. Fixed pattern voters vote on masked
+   spellings of lexicon words, on their share of the text, on shouting and rows of exclamation marks
+   (toxic), and on polite words and on texts without any lexicon word (civil).
+2. Label model. A generative model explains the votes by a hidden label. Its parameters are each
+   voter's rate of voting for either label (which gives its accuracy) and, along a forest that links the voters that
+   depend most on each other given the label (by conditional mutual information), that rate where the
+   other voter votes too (their correlation). Abstaining says nothing. Expectation maximisation estimates
+   all of them, from a start by the majority of votes; the forest is drawn from the posteriors and the
+   model is fitted again. A given label is one more voter, and may be wrong like the others.
+3. Classifier. A logistic regression on hashed words and word beginnings is trained on the posterior labels.
+   Its penalty sets the weights of most terms to zero, so that long texts do not gather noise; cells that
+   the penalty would hold at zero from the start are left out.
+
+Only texts feed a score. Labels of the training folds choose the voters and their sides, give the share
+of toxic texts and vote in the label model.
 """
 
 from __future__ import annotations
 
 import math
 import re
+import zlib
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
@@ -25,16 +33,35 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidepanel.llm.common import column_list, slices
+from tidepanel.llm.common import column_list, fresh, materialize, set_aside, slices
 
 #: Labelled rows that a fit reads at most; which ones is decided by a hash of the id.
-FIT_ROWS = 20_000
+FIT_ROWS = 10_000
 BATCH_BYTES = 2 << 20
 #: Lengths of word beginnings that may become pattern voters.
 STEMS = (3, 4, 5, 6, 7, 8)
-#: Voters that a model keeps at most.
+#: Lexicon and pattern voters that a model keeps at most of each side.
 VOTERS = 256
+#: Cells of hashed terms, lengths of hashed beginnings, and penalty of the classifier for each training text.
+CELLS, BEGINNINGS, PENALTY = 1 << 20, (4, 5, 6, 7, 8), 4e-4
+#: Votes that are added to each voter's, shared between the labels as all texts are.
+SMOOTH = 2.0
+#: Signs that stand for letters in masked spellings (fixed values).
+MASKS = ("013457@$", "oieastas")
+#: Words of courtesy in English, German, French and Spanish.
+POLITE = frozenset("please thanks thank sorry bitte danke verzeihung merci pardon gracias perdón".split())
+FIXED = (("masked", 1), ("dense", 1), ("shouting", 1), ("exclaiming", 1), ("polite", -1), ("none", -1))
 _WORD = re.compile(r"[^\W\d_]+")
+_MASKED = re.compile(r"[^\W\d_]+(?:[013457@$]+[^\W\d_]+)+")
+_BANGS = re.compile(r"!{2,}")
+_UNMASK = str.maketrans(*MASKS)
+
+
+def unmasked(text: str | None) -> set[str]:
+    """Words of a text with signs for letters inside, spelled with the letters."""
+    if not text or not any(c in text for c in MASKS[0]):
+        return set()
+    return {w.translate(_UNMASK) for w in _MASKED.findall(text.lower())}
 
 
 def words_of(text: str | None) -> list[str]:
@@ -50,56 +77,60 @@ def terms_of(text: str | None) -> set[str]:
 
 
 @dataclass
-class ToxicityModel:
-    """Everything a worker needs to score a text; its size is bounded by ``VOTERS``."""
+class Voters:
+    """Lexicon and pattern voters of both sides, and the fixed ones; its size is bounded by ``VOTERS``."""
 
-    voters: list[str] = field(default_factory=list)
-    weights: np.ndarray = field(default_factory=lambda: np.zeros(5))
-    accuracies: list[tuple[str, float, float]] = field(default_factory=list)
-    correlated: list[tuple[str, str]] = field(default_factory=list)
+    toxic: list[str] = field(default_factory=list)
+    civil: list[str] = field(default_factory=list)
 
     def __post_init__(self) -> None:
-        self.exact = {v for v in self.voters if v[-1] != "*"}
-        self.stems = {v[:-1] for v in self.voters if v[-1] == "*"}
+        terms = [*self.toxic, *self.civil]
+        self.names = [*terms, *(f"({name})" for name, _ in FIXED)]
+        self.sides = np.array([1] * len(self.toxic) + [-1] * len(self.civil) + [side for _, side in FIXED])
+        self.place = {t: i for i, t in enumerate(terms)}
+        self.exact = {t for t in terms if t[-1] != "*"}
+        self.bad = {t for t in self.toxic if t[-1] != "*"}
+        self.stems = {t[:-1] for t in terms if t[-1] == "*"}
         self.lengths = sorted({len(s) for s in self.stems})
 
-    def fired(self, text: str | None) -> tuple[set[str], int, int]:
-        """(voters that fire, occurrences of voter words, words)."""
-        words = words_of(text)
-        counts = Counter(words)
-        hits = self.exact & counts.keys()
-        found = set(hits)
-        total = sum(counts[w] for w in hits)
+    def fired(self, text: str | None) -> list[int]:
+        """The places of the voters that vote on a text."""
+        counts = Counter(words_of(text))
+        found = self.exact & counts.keys()
         for n in self.lengths:
-            if {w[:n] for w in counts}.isdisjoint(self.stems):
-                continue
-            for w in counts:
-                if len(w) > n and w[:n] in self.stems:
-                    found.add(w[:n] + "*")
-                    if w not in hits:
-                        total += counts[w]
-        return found, total, len(words)
-
-    def features(self, text: str | None) -> np.ndarray:
-        """Constant, any voter, log of distinct voters, log of occurrences, occurrences per 100 words."""
-        found, total, n = self.fired(text)
-        return np.array([1.0, float(bool(found)), np.log1p(len(found)), np.log1p(total), min(10.0, 100.0 * total / max(n, 1))])
-
-    def score(self, text: str | None) -> float:
-        return float(1 / (1 + np.exp(-np.clip(self.features(text) @ self.weights, -30, 30))))
+            found |= {w[:n] + "*" for w in counts if len(w) > n and w[:n] in self.stems}
+        hits = sorted(self.place[t] for t in found)
+        first = len(self.names) - len(FIXED)
+        toxic = [h for h in hits if h < len(self.toxic)]
+        bad, n, plain = sum(counts[w] for w in self.bad & counts.keys()), counts.total(), text or ""
+        long_words = [w for w in plain.split() if len(w) > 3]
+        masked = not self.bad.isdisjoint(unmasked(text))
+        fixed = {
+            "masked": masked,
+            "dense": bad > 1 and 50 * bad >= n,
+            "shouting": len(long_words) > 4 and 2 * sum(w.isupper() for w in long_words) > len(long_words) and bool(toxic),
+            "exclaiming": len(_BANGS.findall(plain)) > 2 and bool(toxic),
+            "polite": not POLITE.isdisjoint(counts),
+            "none": not toxic and not masked,
+        }
+        return hits + [first + i for i, (name, _) in enumerate(FIXED) if fixed[name]]
 
 
 def label_sample(labels: DataFrame, *, id_col: str, label_col: str, rows: int = FIT_ROWS, fold: int = 5) -> DataFrame:
-    """id and label of at most about ``rows`` training rows: those with crc32(id) mod ``fold`` not 0."""
+    """id and label of at most about ``rows`` training rows: those with crc32(id) mod ``fold`` not 0.
+
+    An id that is labelled both ways says nothing and is left out; one that repeats a label counts once.
+    """
     train = labels.where(F.col(id_col).isNotNull() & F.col(label_col).isin(0, 1) & (F.crc32(F.col(id_col).cast("string").cast("binary")) % fold != 0))
-    train = train.select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("label")).dropDuplicates(["id"])
-    n = train.count()
+    agreed = train.groupBy(F.col(id_col).alias("id")).agg(F.min(label_col).alias("label"), F.max(label_col).alias("other")).where("label = other")
+    agreed = agreed.select("id", F.col("label").cast("int").alias("label"))
+    n = agreed.count()
     if n <= rows:
-        return train
-    return train.where(F.pmod(F.xxhash64("id", F.lit("fit")), F.lit(1_000_000)) < int(1_000_000 * rows / n))
+        return agreed
+    return agreed.where(F.pmod(F.xxhash64("id", F.lit("fit")), F.lit(1_000_000)) < int(1_000_000 * rows / n))
 
 
-def _term_counts(sample: DataFrame) -> DataFrame:
+def term_counts(sample: DataFrame) -> DataFrame:
     """term, n0, n1: texts of either label that hold the term; combined on each batch before the exchange."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -115,151 +146,317 @@ def _term_counts(sample: DataFrame) -> DataFrame:
     return counted.groupBy("term").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"))
 
 
-def choose_voters(counts: DataFrame, n0: int, n1: int, most: int = VOTERS) -> list[str]:
-    """Terms whose share of toxic texts is high: a bounded list, best first.
-
-    A beginning is kept only if it covers at least 1.5 times the toxic texts of its best kept word
-    or longer beginning, so a lexicon word does not also appear as all its beginnings.
-    """
-    if not n0 or not n1:
-        return []
-    base = n1 / (n0 + n1)
-    a, b = F.col("n1").cast("double"), F.col("n0").cast("double")
-    likelihood = a * F.ln(a / (a + b) / base) + F.when(b > 0, b * F.ln(b / (a + b) / (1 - base))).otherwise(0.0)
-    counts = counts.where(F.col("n0") + F.col("n1") >= 3)
-    # as many tests as there are terms: a term must stand out by more than the best of so many by chance
-    bar = math.log(max(counts.count(), 1)) + 1
-    strong = counts.where((F.col("n1") >= 3) & (a / (a + b) >= 0.9)).where(likelihood >= bar).select("term", "n1", likelihood.alias("p"))
-    rows = strong.orderBy(F.desc("n1"), F.desc("p"), "term").limit(8 * most).collect()
-    by_term = {r["term"]: r["n1"] for r in rows}
+def _fewest(by_term: dict[str, int], most: int) -> list[str]:
+    """The terms that add something: a beginning only if it covers 1.5 times the texts of its best kept word."""
     kept: list[str] = []
     for term, n in sorted(by_term.items(), key=lambda kv: (kv[0][-1] == "*", -len(kv[0]), -kv[1], kv[0])):
         stem = term[:-1]
         if term[-1] == "*" and n < 1.5 * max((by_term[k] for k in kept if k.startswith(stem)), default=0):
             continue
         kept.append(term)
-    # words under a kept beginning add nothing
+    # words and longer beginnings under a kept beginning add nothing
     stems = tuple(k[:-1] for k in kept if k[-1] == "*")
-    kept = [k for k in kept if k[-1] == "*" or not any(k.startswith(s) and len(k) > len(s) for s in stems)]
-    inner = [k for k in kept if k[-1] == "*" and any(k != o and k.startswith(o[:-1]) for o in kept if o[-1] == "*")]
-    kept = [k for k in kept if k not in inner]
+    kept = [k for k in kept if not any(k != s + "*" and k.startswith(s) and len(k.rstrip("*")) > len(s) for s in stems)]
     return sorted(kept, key=lambda k: (-by_term[k], k))[:most]
 
 
-def fit_label_model(votes: np.ndarray, prior: float, names: list[str], rounds: int = 50) -> tuple[np.ndarray, list[tuple[str, float, float]], list[tuple[str, str]]]:
-    """Posterior labels from votes (rows, voters; 1 fires, 0 not) by a generative model.
+def choose_voters(counts: DataFrame, n0: int, n1: int, most: int = VOTERS) -> Voters:
+    """Toxic terms (9 of 10 texts toxic) and civil terms (less than half the average share), significantly so."""
+    if not n0 or not n1:
+        return Voters()
+    base = n1 / (n0 + n1)
+    a, b = F.col("n1").cast("double"), F.col("n0").cast("double")
+    part = lambda x, share: F.when(x > 0, x * F.ln(x / (a + b) / share)).otherwise(0.0)
+    counts = counts.where("n0 + n1 >= 3").withColumn("p", part(a, base) + part(b, 1 - base))
+    # as many tests as there are terms: a term must stand out by more than the best of so many by chance
+    counts = materialize(counts, "toxicity-terms")
+    strong = counts.where(F.col("p") >= math.log(max(counts.count(), 1)) + 1)
+    chosen = []
+    for side in (strong.where((a >= 3) & (a / (a + b) >= 0.9)).withColumn("n", F.col("n1")), strong.where(a / (a + b) <= base / 2).withColumn("n", F.col("n0"))):
+        rows = side.orderBy(F.desc("n"), F.desc("p"), "term").limit(8 * most).collect()
+        chosen.append(_fewest({r["term"]: r["n"] for r in rows}, most))
+    return Voters(*chosen)
+
+
+@dataclass
+class LabelModel:
+    """A generative model of the votes: what each vote says, by itself and where its parent in the forest votes too."""
+
+    prior: float
+    parent: np.ndarray
+    #: log P(vote | parent's vote, toxic) / P(vote | parent's vote, civil): [voter, parent's vote].
+    says: np.ndarray
+    #: P(the voter's side | it votes).
+    accuracy: np.ndarray
+    #: (voter, parent, correlation of their votes given the label).
+    links: list[tuple[int, int, float]]
+
+    def posterior(self, votes: np.ndarray) -> np.ndarray:
+        """P(toxic | votes) for rows of votes (1: the voter votes, 0: it abstains)."""
+        above = np.where(self.parent >= 0, votes[:, np.maximum(self.parent, 0)], 0)
+        says = votes * (self.says[:, 0] * (1 - above) + self.says[:, 1] * above)
+        logit = math.log(self.prior / (1 - self.prior)) + says.sum(axis=1)
+        return 1 / (1 + np.exp(-np.clip(logit, -30, 30)))
+
+
+def majority_start(votes: np.ndarray, sides: np.ndarray, prior: float) -> np.ndarray:
+    """First posteriors: sure for a majority of toxic or of civil votes, the prior without one."""
+    balance = np.sign(votes @ sides)
+    return np.where(balance > 0, 0.95, np.where(balance < 0, 0.05, prior))
+
+
+def pair_counts(votes: np.ndarray, post: np.ndarray) -> np.ndarray:
+    """Expected counts [voter, vote, other voter, other's vote, label] under posteriors."""
+    k = votes.shape[1]
+    out = np.zeros((k, 2, k, 2, 2))
+    for label, w in ((0, 1 - post), (1, post)):
+        for x in (0, 1):
+            left = (votes if x else 1 - votes) * w[:, None]
+            for y in (0, 1):
+                out[:, x, :, y, label] = left.T @ (votes if y else 1 - votes)
+    return out
+
+
+def draw_forest(counts: np.ndarray) -> tuple[np.ndarray, list[tuple[int, int, float]]]:
+    """Parents of the maximum spanning forest of significant conditional mutual information, and its links.
 
-    The last voter is the abstention voter, which fires where no other does. Returns the posteriors, the
-    rates (name, if toxic, if not) and the pairs found to be correlated.
+    Only voters that vote together are linked: of two that exclude each other, neither repeats the other.
+    """
+    k = counts.shape[0]
+    smooth = counts + 0.25
+    joint = smooth / smooth.sum(axis=(1, 3), keepdims=True)
+    own, other = joint.sum(axis=3, keepdims=True), joint.sum(axis=1, keepdims=True)
+    weight = smooth.sum(axis=(1, 3))
+    # likelihood ratio statistic over both labels; chi-square with two degrees: 2 log(pairs / 0.01) is the bar
+    gain = 2 * ((joint * np.log(joint / (own * other))).sum(axis=(1, 3)) * weight).sum(axis=-1)
+    bar = 2 * math.log(max(k * (k - 1) / 2, 1) / 0.01)
+    cover = joint[:, 1, :, 1, :] - own[:, 1, :, 0, :] * other[:, 0, :, 1, :]
+    spread = np.sqrt(own[:, 1, :, 0, :] * own[:, 0, :, 0, :] * other[:, 0, :, 1, :] * other[:, 0, :, 0, :])
+    phi = ((cover / spread) * weight).sum(axis=-1) / weight.sum(axis=-1)
+    tree = np.arange(k)
+
+    def root(i: int) -> int:
+        while tree[i] != i:
+            i = tree[i]
+        return i
+
+    near: dict[int, list[int]] = {}
+    pairs = [(gain[i, j], i, j) for i in range(k) for j in range(i + 1, k) if gain[i, j] > bar and phi[i, j] > 0]
+    for _, i, j in sorted(pairs, reverse=True):
+        a, b = root(i), root(j)
+        if a != b:
+            tree[a] = b
+            near.setdefault(i, []).append(j)
+            near.setdefault(j, []).append(i)
+    parent, links, seen = np.full(k, -1), [], set()
+    for start in range(k):
+        stack = [start] if start not in seen else []
+        seen.add(start)
+        while stack:
+            i = stack.pop()
+            for j in near.get(i, []):
+                if j not in seen:
+                    seen.add(j)
+                    parent[j] = i
+                    links.append((j, i, float(phi[j, i])))
+                    stack.append(j)
+    return parent, links
+
+
+def estimate(votes: np.ndarray, sides: np.ndarray, post: np.ndarray, prior: float, parent: np.ndarray, links: list[tuple[int, int, float]]) -> LabelModel:
+    """The model that posteriors imply."""
+    above = np.where(parent >= 0, votes[:, np.maximum(parent, 0)], 0)
+    says = np.zeros((votes.shape[1], 2))
+    for state in (0, 1):
+        here = above if state else 1 - above
+        n1, n0 = post @ here, (1 - post) @ here  # texts of either label with the parent in this state
+        c1, c0 = post @ (votes * here), (1 - post) @ (votes * here)
+        share = (n1 + 1e-9) / (n1 + n0 + 2e-9)
+        says[:, state] = np.log((c1 + SMOOTH * share) / (n1 + 1e-9)) - np.log((c0 + SMOOTH * (1 - share)) / (n0 + 1e-9))
+    says[parent < 0, 1] = says[parent < 0, 0]
+    toxic = (post @ votes + SMOOTH * prior) / (votes.sum(axis=0) + SMOOTH)
+    return LabelModel(prior, parent, says, np.where(sides > 0, toxic, 1 - toxic), links)
+
+
+def fit_label_model(votes: np.ndarray, sides: np.ndarray, prior: float, rounds: int = 25) -> tuple[LabelModel, np.ndarray]:
+    """The model and the posteriors of ``votes`` (rows, voters), by expectation maximisation.
+
+    First without links between voters; then the forest is drawn and the model fitted again with it, so
+    that voters that repeat each other do not count twice.
     """
-    n, k = votes.shape
-    weight = np.ones(k)
-    pairs: list[tuple[str, str]] = []
-    post = np.clip((votes[:, :-1].sum(axis=1) > 0).astype(float) * 0.98, 0.01, 0.99)
-    on = off = np.full(k, 0.5)
+    votes = votes.astype(float)
+    post = majority_start(votes, sides, prior)
+    parent, links = np.full(votes.shape[1], -1), []
     for attempt in range(2):
+        if attempt:
+            parent, links = draw_forest(pair_counts(votes, post))
+            if not links:
+                break
         for _ in range(rounds):
-            on = (post @ votes + 0.5) / (post.sum() + 1)
-            off = ((1 - post) @ votes + 0.02) / ((1 - post).sum() + 1)
-            on, off = np.clip(on, 1e-4, 1 - 1e-4), np.clip(off, 1e-4, 1 - 1e-4)
-            gain = votes * (np.log(on / off) * weight) + (1 - votes) * (np.log((1 - on) / (1 - off)) * weight)
-            logit = np.log(prior / (1 - prior)) + gain.sum(axis=1)
-            new = 1 / (1 + np.exp(-np.clip(logit, -30, 30)))
+            model = estimate(votes, sides, post, prior, parent, links)
+            new = model.posterior(votes)
             done = np.abs(new - post).max() < 1e-6
             post = new
             if done:
                 break
-        if attempt:
-            break
-        # correlation that the hidden label leaves unexplained
-        expected = np.outer(post, on) + np.outer(1 - post, off)
-        rest = votes - expected
-        scale = np.sqrt((rest**2).sum(axis=0)) + 1e-9
-        corr = (rest.T @ rest) / np.outer(scale, scale)
-        strong = (corr > 0.5) & ~np.eye(k, dtype=bool)
-        pairs = [(names[i], names[j]) for i in range(k) for j in range(i + 1, k) if strong[i, j]]
-        if not pairs:
-            break
-        weight = 1 / (1 + strong.sum(axis=1))
-    return post, [(names[i], float(on[i]), float(off[i])) for i in range(k)], pairs
+    return model, post
+
 
+def fit_sparse_logistic(rows: list[np.ndarray], y: np.ndarray, width: int, penalty: float, rounds: int = 200) -> tuple[np.ndarray, float]:
+    """Weights and constant of a logistic regression on 0/1 features with soft labels.
 
-def fit_logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2, rounds: int = 50) -> np.ndarray:
-    """Weights of a logistic regression with soft labels, by damped Newton steps."""
-    w = np.zeros(x.shape[1])
-    penalty = ridge * np.eye(x.shape[1])
+    ``rows``: the features that each text has. ``penalty`` times the texts is the price of a weight's size;
+    accelerated proximal steps, for each weight of the length that its curvature allows.
+    """
+    n = len(rows)
+    where = np.repeat(np.arange(n), [len(r) for r in rows])
+    cells = np.concatenate([np.empty(0, np.int64), *rows]).astype(np.int64)
+    share = float(np.clip(y.mean(), 1e-6, 1 - 1e-6))
+    w, bias = np.zeros(width), math.log(share / (1 - share))
+    # along each weight the curvature is at most a quarter of the sum of its texts' features, over the texts
+    sizes = np.bincount(where, minlength=n) + 1.0
+    steep = np.maximum(0.25 * np.bincount(cells, weights=sizes[where], minlength=width) / n, 1e-12)
+    steep_bias = 0.25 * float(sizes.mean())
+    at, at_bias, momentum = w.copy(), bias, 1.0
     for _ in range(rounds):
-        p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        step = np.linalg.solve((x * (p * (1 - p))[:, None]).T @ x + penalty, x.T @ (y - p) - penalty @ w)
-        w = w + np.clip(step, -2, 2)
-        if np.abs(step).max() < 1e-6:
+        p = 1 / (1 + np.exp(-np.clip(at_bias + np.bincount(where, weights=at[cells], minlength=n), -30, 30)))
+        wrong = (p - y) / n
+        step = at - np.bincount(cells, weights=wrong[where], minlength=width) / steep
+        new, new_bias = np.sign(step) * np.maximum(np.abs(step) - penalty / steep, 0), at_bias - wrong.sum() / steep_bias
+        after = (1 + math.sqrt(1 + 4 * momentum * momentum)) / 2
+        at, at_bias = new + (momentum - 1) / after * (new - w), new_bias + (momentum - 1) / after * (new_bias - bias)
+        moved = max(float(np.abs(new - w).max(initial=0.0)), abs(new_bias - bias))
+        w, bias, momentum = new, new_bias, after
+        if moved < 1e-4:
             break
-    return w
+    return w, bias
+
+
+def cells_of(word: str) -> list[int]:
+    """The cells of a word and of its beginnings."""
+    terms = [word, *(f"{word[:n]}*" for n in BEGINNINGS if len(word) > n)]
+    return [zlib.crc32(t.encode()) % CELLS for t in terms]
+
+
+class Cells:
+    """Distinct cells of texts among those wanted (None: all); a word's cells are looked up once by a worker."""
+
+    def __init__(self, wanted: set[int] | None = None):
+        self.wanted, self.known = wanted, {}
+
+    def __call__(self, text: str | None) -> set[int]:
+        out: set[int] = set()
+        if len(self.known) > 200_000:
+            self.known.clear()
+        for word in set(words_of(text)) | unmasked(text):
+            held = self.known.get(word)
+            if held is None:
+                held = self.known[word] = tuple(c for c in cells_of(word) if self.wanted is None or c in self.wanted)
+            if held:
+                out.update(held)
+        return out
+
+
+@dataclass
+class ToxicityModel:
+    """Weights of cells that are not zero, and the constant; the voters and the label model it was trained by."""
+
+    weights: dict[int, float] = field(default_factory=dict)
+    constant: float = -math.log(3)
+    voters: Voters = field(default_factory=Voters)
+    labels: LabelModel | None = None
 
 
 def fit_toxicity(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", rows: int = FIT_ROWS, fold: int = 5) -> ToxicityModel:
     """Fit on at most about ``rows`` labelled rows outside the held-out fold.
 
-    Without labels of both kinds the model has no voters and scores every text 0.5 less a little, so
-    nothing is called toxic.
+    Of rows that share an id the least text is read, and equal texts count once; those labelled both ways
+    say nothing. Without labels of both kinds, or if no term stands out, nothing is learned: every text
+    scores 0.25, so nothing is called toxic.
     """
     ids = label_sample(labels, id_col=id_col, label_col=label_col, rows=rows, fold=fold)
     # the labels sampled are bounded by ``rows``, so they may be broadcast
-    sample = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(ids), "id")
-    sizes = {r["label"]: r["n"] for r in ids.groupBy("label").agg(F.count(F.lit(1)).alias("n")).collect()}
+    sample = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text")).join(F.broadcast(ids), "id")
+    sample = sample.groupBy("id", "label").agg(F.min("text").alias("text"))
+    sample = sample.groupBy("text").agg(F.min("label").alias("label"), F.max("label").alias("other")).where("label = other")
+    sample = materialize(sample.select("text", "label"), "toxicity-sample")
+    sizes = {r["label"]: r["n"] for r in sample.groupBy("label").agg(F.count(F.lit(1)).alias("n")).collect()}
     n0, n1 = sizes.get(0, 0), sizes.get(1, 0)
-    voters = choose_voters(_term_counts(sample), n0, n1)
-    blank = ToxicityModel(weights=np.array([-1.0, 0, 0, 0, 0]))
-    if not voters:
-        return blank
-    model = ToxicityModel(voters=voters)
-    place = {v: i for i, v in enumerate(voters)}
+    voters = choose_voters(term_counts(sample), n0, n1)
+    if not voters.toxic:
+        return ToxicityModel(voters=voters)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def vote(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for batch in slices(whole, "text", BATCH_BYTES):
+                hits = [voters.fired(t) for t in column_list(batch, "text")]
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(hits, pa.list_(pa.int32())), batch.column(1)], ["text", "hits", "label"])
+
+    voted = materialize(sample.select("text", "label").mapInArrow(vote, "text string, hits array<int>, label int"), "toxicity-votes")
+    k = len(voters.names)
+
+    def matrix(hits: list, given: list) -> np.ndarray:
+        """Votes, the given label last: one column for either label."""
+        votes = np.zeros((len(hits), k + 2))
+        for i, (hit, label) in enumerate(zip(hits, given, strict=True)):
+            votes[i, hit] = 1
+            votes[i, k + (label == 0)] = 1
+        return votes
+
+    # places of votes alone, one short list for each of the ``rows`` texts at most
+    got = voted.select("hits", "label").orderBy("label", "hits").toArrow()
+    model, _ = fit_label_model(matrix(*(got.column(c).to_pylist() for c in ("hits", "label"))), np.append(voters.sides, [1, -1]), n1 / (n0 + n1))
+
+    def believe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = Cells()
         for whole in batches:
             for batch in slices(whole, "text", BATCH_BYTES):
-                texts = column_list(batch, "text")
-                hits = [sorted(place[v] for v in model.fired(t)[0]) for t in texts]
-                yield pa.RecordBatch.from_arrays([pa.array(hits, pa.list_(pa.int32())), pa.array([model.features(t).tolist() for t in texts], pa.list_(pa.float64()))], ["hits", "x"])
-
-    got = sample.select("text").mapInArrow(run, "hits array<int>, x array<double>").toPandas()
-    votes = np.zeros((len(got), len(voters) + 1))
-    for i, hit in enumerate(got["hits"]):
-        votes[i, list(hit)] = 1
-    votes[:, -1] = votes[:, :-1].sum(axis=1) == 0
-    # the order of rows that came back does not matter to sums, but sort for equal results each time
-    order = np.lexsort(votes.T)
-    x = np.array(got["x"].tolist())[order]
-    post, rates, pairs = fit_label_model(votes[order], n1 / (n0 + n1), [*voters, "(none)"])
-    return ToxicityModel(voters=voters, weights=fit_logistic(x, post), accuracies=rates, correlated=pairs)
+                post = model.posterior(matrix(column_list(batch, "hits"), column_list(batch, "label")))
+                yield pa.RecordBatch.from_arrays([pa.array(post, pa.float64()), pa.array([sorted(own(t)) for t in column_list(batch, "text")], pa.list_(pa.int32()))], ["post", "cells"])
+
+    believed = materialize(voted.mapInArrow(believe, "post double, cells array<int>"), "toxicity-posteriors")
+    total = believed.agg(F.count(F.lit(1)).alias("n"), F.avg("post").alias("share")).first()
+    # a cell whose pull at weight zero is under half the penalty is left out
+    pull = F.abs(F.sum(F.col("post") - total["share"])) / total["n"]
+    strong = believed.select("post", F.explode("cells").alias("cell")).groupBy("cell").agg(pull.alias("pull")).where(F.col("pull") >= PENALTY / 2)
+    chosen = sorted(r["cell"] for r in strong.select("cell").collect())
+    wanted = np.array(chosen, dtype=np.int64)
+
+    def narrow(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            kept = [np.flatnonzero(np.isin(wanted, c, assume_unique=True)) for c in column_list(batch, "cells")]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(kept, pa.list_(pa.int32()))], ["post", "x"])
+
+    table = believed.mapInArrow(narrow, "post double, x array<int>").orderBy("post", "x").toArrow()
+    weights, constant = fit_sparse_logistic([np.array(x, dtype=np.int64) for x in table.column("x").to_pylist()], table.column("post").to_numpy(), len(wanted), PENALTY)
+    return ToxicityModel({int(wanted[i]): float(weights[i]) for i in np.flatnonzero(weights)}, constant, voters, model)
 
 
 def score_toxicity(docs: DataFrame, model: ToxicityModel, *, text_col: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """The columns ``keep`` with ``score`` (0 to 1) and ``predicted`` (1 from 0.5 on) of every whole text.
 
-    Null and empty texts score as texts without any voter. Repeated rows score alike; an empty table
+    Null and empty texts score as texts without terms. Repeated rows score alike; an empty table
     gives an empty result. Very long texts are read whole, once. The text itself may be among ``keep``.
+    Kept columns that are called like an added one are renamed to ``input_<name>``.
     """
-    clash = {"score", "predicted"} & set(keep)
-    if clash:
-        keep_as = {c: f"_kept_{c}" for c in clash}
-        docs, keep = docs.withColumnsRenamed(keep_as), tuple(keep_as.get(c, c) for c in keep)
-    names = [*keep, *([] if text_col in keep else [text_col])]
-    rows = docs.select(*[F.col(f"`{c}`") for c in names])
-    fields = ", ".join(f"`{n}` {t}" for n, t in rows.dtypes if n in keep)
+    named = set_aside(docs.select(*[F.col(f"`{c}`") for c in keep]), ("score", "predicted"))
+    text, names = fresh(named, "_text"), named.columns
+    rows = docs.select(*[F.col(f"`{c}`").alias(n) for c, n in zip(keep, names, strict=True)], F.col(f"`{text_col}`").alias(text))
+    fields = ", ".join(f"`{n}` {t}" for n, t in named.dtypes)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = Cells(set(model.weights))
         for whole in batches:
-            for batch in slices(whole, text_col, BATCH_BYTES):
-                scores = [model.score(t) for t in column_list(batch, text_col)]
-                arrays = [batch.column(i) for i in range(len(keep))]
-                yield pa.RecordBatch.from_arrays([*arrays, pa.array(scores, pa.float64()), pa.array([int(s >= 0.5) for s in scores], pa.int32())], [*keep, "score", "predicted"])
+            for batch in slices(whole, text, BATCH_BYTES):
+                logits = np.array([model.constant + sum(map(model.weights.__getitem__, sorted(own(t)))) for t in column_list(batch, text)])
+                scores = 1 / (1 + np.exp(-np.clip(logits, -30, 30)))
+                arrays = [batch.column(i) for i in range(len(names))]
+                yield pa.RecordBatch.from_arrays([*arrays, pa.array(scores, pa.float64()), pa.array((scores >= 0.5).astype(np.int32))], [*names, "score", "predicted"])
 
     return rows.mapInArrow(run, f"{fields}, score double, predicted int")
 
 
 def keep_civil(docs: DataFrame, model: ToxicityModel, *, text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` that the model does not call toxic, with the columns of ``docs``."""
-    scored = score_toxicity(docs, model, text_col=text_col, keep=tuple(docs.columns))
-    kept = scored.where(scored["predicted"] == 0)
-    return kept.select(*[F.col(f"`_kept_{c}`" if c in ("score", "predicted") else f"`{c}`").alias(c) for c in docs.columns])
+    scored = score_toxicity(docs, model, text_col=text_col, keep=tuple(docs.columns)).where("predicted = 0")
+    return scored.select(*[F.col(f"`{own}`").alias(c) for own, c in zip(scored.columns, docs.columns, strict=False)])
