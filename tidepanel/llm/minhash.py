@@ -277,21 +277,22 @@ def links_inside(rows: DataFrame, load, find) -> DataFrame:
     Every block holds the leader besides its own members. Members connected with it in their blocks are
     connected with each other; the rest meets all blocks of its key, block by block.
     """
-    rows = rows.withColumn("blk", F.pmod(F.xxhash64("id"), F.col("blks")))
-    everywhere = rows.where("id = lead").withColumn("blk", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blks") - 1)))
-    led = rows.where("id != lead").unionByName(everywhere)
-    gather = F.collect_list(F.struct("id", "value")).alias("members")
-    first = materialize(_spans(led.groupBy("key", "lead", "n", "blks", "blk").agg(gather), load, find), "spans")
+    own = F.array(F.pmod(F.xxhash64("id"), F.col("blks")))
+    led = rows.withColumn("blk", F.explode(F.when(F.col("id") == F.col("lead"), F.sequence(F.lit(0).cast("long"), F.col("blks") - 1)).otherwise(own)))
+    packs = materialize(led.groupBy("key", "lead", "n", "blks", "blk").agg(F.collect_list(F.struct("id", "value")).alias("members")), "packs")
+    first = materialize(_spans(packs, load, find), "spans")
     near = first.where("id != comp").select(F.col("id").alias("a"), F.col("comp").alias("b"))
     apart = first.where("comp != lead and blks > 1").select("key", "id")
     if apart.isEmpty():
+        discard(packs)
         return near
     # as many members to a block as in the blocks of all
     count = apart.groupBy("key").agg(F.count(F.lit(1)).alias("r"))
-    left = rows.join(apart, ["key", "id"]).join(count.repartition("key"), "key")
+    left = packs.select("key", "n", "blks", F.inline("members")).join(apart, ["key", "id"]).join(count.repartition("key"), "key")
     left = left.withColumn("own", F.pmod(F.xxhash64("id"), F.ceil(F.col("r") * F.col("blks") / F.col("n")).cast("long")))
-    left = left.groupBy("key", "own", "blks").agg(gather).withColumn("blk", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blks") - 1)))
-    right = rows.groupBy("key", "blk").agg(F.collect_list(F.struct("id", "value")).alias("others"))
+    left = left.groupBy("key", "own", "blks").agg(F.collect_list(F.struct("id", "value")).alias("members"))
+    left = left.withColumn("blk", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blks") - 1)))
+    right = packs.select("key", "blk", F.col("members").alias("others"))
     return near.unionByName(_links_across(left.join(right, ["key", "blk"]).select("members", "others"), load, find))
 
 
