@@ -404,7 +404,7 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id",
         return votes
 
     # places of votes alone, one short list for each of the ``rows`` texts at most
-    got = voted.select("hits", "label").orderBy("label", "hits").toArrow()
+    got = voted.select("hits", "label").toArrow().sort_by([("label", "ascending")])
     model, _ = fit_label_model(matrix(*(got.column(c).to_pylist() for c in ("hits", "label"))), np.append(voters.sides, [1, -1]), n1 / (n0 + n1))
 
     def believe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -427,7 +427,7 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id",
             kept = [np.flatnonzero(np.isin(wanted, c, assume_unique=True)) for c in column_list(batch, "cells")]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(kept, pa.list_(pa.int32()))], ["post", "x"])
 
-    table = believed.mapInArrow(narrow, "post double, x array<int>").orderBy("post", "x").toArrow()
+    table = believed.mapInArrow(narrow, "post double, x array<int>").toArrow()
     weights, constant = fit_sparse_logistic([np.array(x, dtype=np.int64) for x in table.column("x").to_pylist()], table.column("post").to_numpy(), len(wanted), PENALTY)
     return ToxicityModel({int(wanted[i]): float(weights[i]) for i in np.flatnonzero(weights)}, constant, voters, model)
 
