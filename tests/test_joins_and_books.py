@@ -116,3 +116,32 @@ def test_no_reentry_sees_the_whole_universe(spark, monkeypatch):
         first = next(x for x in sorted(all_rows[day]) if open_until.get(x[1], day) <= day)
         open_until[first[1]] = first[2]
         assert (day, first[1]) in cut
+
+
+def test_walk_forward_refuses_bad_spans():
+    from datetime import date
+
+    from tidepanel.models.splits import walk_forward
+
+    for spans in ({"test_weeks": 0}, {"step_weeks": 0}, {"min_train_weeks": -1}, {"embargo_weeks": -1}):
+        with pytest.raises(ValueError):
+            walk_forward(date(2020, 1, 3), date(2024, 1, 5), **spans)
+    assert walk_forward(date(2020, 1, 3), date(2024, 1, 5), step_weeks=13)
+
+
+def test_of_several_closes_the_last_counts(spark):
+    from tidepanel.portfolio.backtest import period_returns
+
+    rows = [("A", "2024-01-05", 10.0, 1), ("A", "2024-01-12", 30.0, 2), ("A", "2024-01-12", 20.0, 3)]
+    prices = spark.createDataFrame(rows, "ticker string, date string, adj_close double, row int").selectExpr("ticker", "date(date) date", "adj_close", "row")
+    dates = prices.select("date").distinct()
+    assert {r["ret"] for r in period_returns(prices, dates, "row").collect()} == {1.0, None}
+    assert {r["ret"] for r in period_returns(prices, dates).collect()} == {2.0, None}
+
+
+def test_look_ahead_stops_the_feature_build(spark):
+    from tidepanel.features.build import checked_features
+
+    panel = spark.createDataFrame([("A", 3), ("B", -8)], "ticker string, filing_lag_days int")
+    with pytest.raises(ValueError, match="1 of 2 rows.*8 days"):
+        checked_features(panel)

@@ -32,8 +32,9 @@ def universe_summary(df: DataFrame, cap: str = "mkt_cap") -> DataFrame:
 def top_groups(df: DataFrame, col: str, n: int) -> DataFrame:
     """The ``n`` most frequent values, the rest as one row named ``other``."""
     counts = df.where(F.col(col).isNotNull()).groupBy(col).count()
-    ranked = counts.withColumn("_r", F.row_number().over(Window.orderBy(F.desc("count"), col)))
-    return ranked.groupBy(F.when(F.col("_r") <= n, F.col(col)).otherwise("other").alias(col)).agg(F.sum("count").alias("count"))
+    top = counts.orderBy(F.desc("count"), col).limit(n)
+    rest = counts.join(top.select(col), col, "left_anti").agg(F.lit("other").alias(col), F.sum("count").alias("count")).where("count is not null")
+    return top.unionByName(rest)
 
 
 def panel_summary(df: DataFrame, medians: list[str]) -> DataFrame:

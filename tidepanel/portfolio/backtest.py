@@ -43,9 +43,13 @@ def trade_log(book: DataFrame) -> DataFrame:
     return grid_weights(book).where(F.abs("trade") > 1e-12)
 
 
-def period_returns(prices: DataFrame, dates: DataFrame) -> DataFrame:
-    """(date, ticker, ret) from each date to the next: close to close, one missing close filled."""
-    closes = latest(prices.where("adj_close is not null"), ["ticker", "date"], "adj_close")
+def period_returns(prices: DataFrame, dates: DataFrame, sequence: str = "adj_close") -> DataFrame:
+    """(date, ticker, ret) from each date to the next: close to close, one missing close filled.
+
+    Of several closes of a date the last by ``sequence`` counts: a column that numbers the rows as they
+    came. Without one the highest close does, so that the result does not depend on the order of rows.
+    """
+    closes = latest(prices.where("adj_close is not null"), ["ticker", "date"], sequence)
     grid = closes.select("ticker").distinct().join(F.broadcast(dates.select("date").distinct()), how="cross")
     w = Window.partitionBy("ticker").orderBy("date")
     on = grid.join(closes.select("ticker", "date", "adj_close"), ["ticker", "date"], "left")
@@ -55,13 +59,13 @@ def period_returns(prices: DataFrame, dates: DataFrame) -> DataFrame:
     return filled.select("date", "ticker", (F.try_divide(F.lead("px").over(w), F.col("px")) - 1).alias("ret"))
 
 
-def backtest(book: DataFrame, prices: DataFrame, costs: Costs = Costs()) -> DataFrame:
+def backtest(book: DataFrame, prices: DataFrame, costs: Costs = Costs(), sequence: str = "adj_close") -> DataFrame:
     """Returns by rebalance date: each book is held to the next date; the last date only closes.
 
     ret_gross, turnover, commission, slippage, borrow, cost_total, ret_net, n_positions, gross and net exposure.
     """
     weights = grid_weights(book)
-    moves = period_returns(prices, weights.select("date").distinct())
+    moves = period_returns(prices, weights.select("date").distinct(), sequence)
     held = weights.join(moves, ["date", "ticker"], "left")
     w = F.col("weight")
     short = F.when(w < 0, -w).otherwise(w if costs.borrow_longs else F.lit(0.0))
