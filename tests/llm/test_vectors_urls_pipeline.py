@@ -163,6 +163,44 @@ def test_query_equals_sql(spark, name):
     assert sorted(str(tuple(r[c] for c in cols)) for r in got.collect()) == want
 
 
+CONTRACT = {
+    "op2_sentencepiece": "doc_id n_tokens ids_sha256 decoded_sha256",
+    "op3_toxicity": "doc_id held_out score predicted",
+    "op4_best_fit_packing": "doc_id piece start length ids_crc32 sequence_id offset",
+    "op5_histogram_sharding": "doc_id size text_crc32 law shard slot grown_shard",
+    "op6_permutation_index": "query_id rank vec_id score",
+    "op7_url_filter": "page_id host path rule verdict",
+    "op8_token_counts": "doc_id n_bytes n_tokens over_limit",
+}
+
+
+@data
+@pytest.mark.parametrize("name", sorted(CONTRACT))
+def test_registered_query_keeps_its_contract(spark, name):
+    import zlib
+
+    docs = {r["doc_id"]: r["text"] or "" for r in spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text").collect()}
+    got = llm_queries.queries()[name](spark, SF)
+    assert set(CONTRACT[name].split()) <= set(got.columns)
+    rows = got.collect()
+    if name in ("op2_sentencepiece", "op3_toxicity", "op5_histogram_sharding", "op8_token_counts"):
+        assert sorted(r["doc_id"] for r in rows) == sorted(docs)
+    if name == "op3_toxicity":
+        assert all(0 <= r["score"] <= 1 and r["predicted"] == int(r["score"] >= 0.5) and r["held_out"] == (zlib.crc32(str(r["doc_id"]).encode()) % 5 == 0) for r in rows)
+    if name == "op4_best_fit_packing":
+        assert {r["doc_id"] for r in rows} == set(docs) and all(1 <= r["length"] <= 2048 for r in rows)
+    if name == "op5_histogram_sharding":
+        assert all((r["size"], r["text_crc32"], r["law"], r["grown_shard"]) == (len(docs[r["doc_id"]].encode()) + 1, zlib.crc32(docs[r["doc_id"]].encode()), "bytes", None) for r in rows)
+        assert {r["shard"] for r in rows} <= set(range(16))
+    if name == "op6_permutation_index":
+        v = {r["vec_id"]: np.array(r["embedding"], float) for r in spark.read.parquet(f"{SF}/embeddings.parquet").collect()}
+        by = Counter(r["query_id"] for r in rows)
+        assert set(by) == {i for i in v if i % 20 == 0} and set(by.values()) == {min(20, len(v) - 1)}
+        assert all(r["score"] == (v[r["query_id"]] * v[r["vec_id"]]).sum() for r in rows)
+    if name == "op7_url_filter":
+        assert {r["verdict"] for r in rows} <= {"allow", "block"} and len(rows) == spark.read.parquet(f"{SF}/pages.parquet").count()
+
+
 @data
 def test_pipeline_stages(spark):
     import corpus_pipeline as cp
