@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidepanel.plans import panel_queries, report_queries, summary_queries
+from tidepanel.plans import library_queries, panel_queries, report_queries, summary_queries
 
-MODULES = (panel_queries, report_queries, summary_queries)
+MODULES = (panel_queries, report_queries, summary_queries, library_queries)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tidepanel.models import audit, scores, splits
+from tidepanel.models import scores, splits
 from tidepanel.operators import aggregates as agg
 from tidepanel.operators import selection, windows, xsection
 from tidepanel.panel import assemble as pit
@@ -13,7 +13,6 @@ from tidepanel.plans.panel_queries import CORR, FUND, FWD, LS, W, _fund, _fwd
 from tidepanel.plans.tables import PANEL, daily, filings, panel, read, registrar
 from tidepanel.portfolio import backtest as bt
 from tidepanel.portfolio import metrics
-from tidepanel.reports import tables as reports
 
 QUERIES, SQL = {}, {}
 query = registrar(QUERIES, SQL)
@@ -223,11 +222,6 @@ def equal_weight_composite(spark, d):
     return scores.equal_weight(f.withColumn("_s", mean), ["_s"]).select("date", "ticker", "ew")
 
 
-@query()
-def factor_audit(spark, d):
-    return audit.factor_audit(_features(spark, d), ["short_pct_rk", "mom_rk", "volume_rk"], "fwd")
-
-
 @query()
 def model_logit_walk_forward(spark, d):
     f = _features(spark, d).withColumn("y", (F.col("fwd") < 0).cast("double"))
@@ -235,18 +229,6 @@ def model_logit_walk_forward(spark, d):
     return scores.fit_predict(f, folds, ["short_pct_rk", "mom_rk", "volume_rk"], "y", scores.fit_logit).select("date", "ticker", "score", "fold")
 
 
-@query()
-def model_metrics(spark, d):
-    f = scores.naive_score(scores.equal_weight(_features(spark, d), ["short_pct_rk", "mom_rk"], flip=("mom_rk",)))
-    return audit.model_table(splits.stamp_period(scores.stacked(f, ["naive", "ew"], "fwd")))
-
-
-@query()
-def signal_report(spark, d):
-    f = scores.naive_score(scores.equal_weight(_features(spark, d), ["short_pct_rk", "mom_rk"], flip=("mom_rk",)))
-    return reports.signal_report(splits.stamp_period(scores.stacked(f, ["naive", "ew"], "fwd")), "naive")
-
-
 @query()
 def pit_panel(spark, d):
     p = panel(spark, d).select("date", F.date_add("date", 4).alias("release_date"), "ticker", "short_positions", "short_pct")
