@@ -2,6 +2,7 @@
 
 import hashlib
 import math
+import random
 import struct
 import zlib
 from collections import Counter
@@ -333,6 +334,48 @@ def test_estimate_is_corrected_for_chance():
 # ---- 1: language-model scores
 
 
+def brute_backoff(texts, order, backoff):
+    """Sums of log scores with counts of the other texts, by the definition."""
+    words = [(t or "").lower().split() for t in texts]
+    counts = [Counter(tuple(w[i : i + n]) for n in range(1, order + 1) for i in range(len(w) - n + 1)) for w in words]
+    every = sum(counts, Counter())
+    size = sum(map(len, words))
+    out = []
+    for w, own in zip(words, counts, strict=True):
+        other = lambda g, own=own: every[g] - own[g]
+        rest, total = size - len(w), 0.0
+        for i in range(len(w)):
+            factor = 0.0
+            for n in range(min(order, i + 1), 1, -1):
+                gram = tuple(w[i - n + 1 : i + 1])
+                if other(gram):
+                    total += factor + math.log(other(gram) / other(gram[:-1]))
+                    break
+                factor += math.log(backoff)
+            else:
+                total += factor + math.log((other((w[i],)) + 1) / (rest + 1))
+        out.append(total)
+    return out
+
+
+@pytest.mark.parametrize("order", [1, 2, 3, 4])
+def test_scores_equal_brute_force(spark, monkeypatch, order):
+    monkeypatch.setattr(lm_scoring, "BLOCK_BYTES", 400)
+    monkeypatch.setattr(lm_scoring, "TABLE_BYTES", 300)
+    draw = random.Random(order)
+    texts = [" ".join(draw.choice(["a", "b", "C", "d", "e\t", "ff"]) for _ in range(draw.randrange(0, 40))) for _ in range(60)] + [None, ""]
+    # rows without an id are documents of their own
+    rows = [(None if i % 3 == 0 else i, t) for i, t in enumerate(texts)]
+    got = lm_scoring.backoff_scores(spark.createDataFrame(rows, "doc_id long, text string"), order=order).collect()
+    want = brute_backoff(texts, order, lm_scoring.BACKOFF)
+    key = lambda r: (r[0] is None, r[0] or 0, r[1])
+    a = sorted(((r["doc_id"], round(r["log_score"], 6)) for r in got), key=key)
+    b = sorted(((i, round(x, 6)) for (i, _), x in zip(rows, want, strict=True)), key=key)
+    assert len(a) == len(b)
+    for (i, x), (j, y) in zip(a, b, strict=True):
+        assert i == j and abs(x - y) < 1e-5
+
+
 def test_scores_of_odd_rows(docs, none):
     got = lm_scoring.backoff_scores(docs, order=3).collect()
     assert len(got) == len(TEXTS)

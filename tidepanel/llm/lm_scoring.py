@@ -2,7 +2,7 @@
 
 The relations are held in blocks, so that neither n-grams nor counts travel as single rows:
 
-* documents are dealt to blocks by a hash of their id; a block's distinct n-grams, with their
+* documents are dealt to blocks by a hash of id and text, so that rows without an id spread; a block's distinct n-grams, with their
   counts in the block, leave it as one row for each hash partition (*exploded n-grams*),
 * the rows of a hash partition form its *count table*: equal n-grams of all blocks are added up,
 * the table is joined back to the rows it came from: each gets the totals of its n-grams, in their
@@ -140,7 +140,8 @@ def backoff_scores(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
 
     Null and empty texts have no words, a score of 0 and a null mean. Rows that repeat an id are
     documents of their own, and vouch for each other. An empty table gives an empty result. Long texts are
-    scored whole; a block holds one text at least. Other columns are not read.
+    scored whole; a block holds one text at least, and rows equal in id and text share one. Other columns
+    are not read.
     """
     kind = dict(docs.dtypes)[id_col]
     source = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
@@ -148,7 +149,7 @@ def backoff_scores(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
     blocks, parts = parts_for(total, BLOCK_BYTES), parts_for(total, TABLE_BYTES)
     words = source.select(F.size(F.array_remove(F.split(F.coalesce("text", F.lit("")), r"[\x20\x09-\x0D]+"), "")).cast("long").alias("n")).agg(F.sum("n").alias("n")).first()["n"] or 0
     # both branches read this exchange; it is written once
-    dealt = source.withColumn("block", F.pmod(F.xxhash64("id", F.length("text")), F.lit(blocks))).repartition(blocks, "block")
+    dealt = source.withColumn("block", F.pmod(F.xxhash64("id", "text"), F.lit(blocks))).repartition(blocks, "block")
     exploded = dealt.groupBy("block").applyInPandas(_block_grams(order, parts), "part long, block long, keys binary, counts binary")
     joined = exploded.groupBy("part").applyInPandas(_table_totals, "block long, part long, totals binary")
     scored = dealt.groupBy("block").cogroup(joined.groupBy("block")).applyInPandas(_score_block(order, backoff, words), f"id {kind}, n_words long, log_score double")
