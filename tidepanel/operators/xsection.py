@@ -127,7 +127,10 @@ def ic(df: DataFrame, pred: str, target: str, by: str | list[str] = "date", name
 
 
 def rank_ic(df: DataFrame, pred: str, target: str, by: str | list[str] = "date", name: str = "ic") -> DataFrame:
-    """Spearman correlation by group: average ranks among the complete pairs, then Pearson."""
+    """Spearman correlation by group: average ranks among the complete pairs, then Pearson.
+
+    Twelve digits are kept, so that a correlation of nothing but rounding noise is 0 and no hit.
+    """
     keys = [by] if isinstance(by, str) else by
     pairs = df.where(F.col(pred).isNotNull() & F.col(target).isNotNull())
 
@@ -135,7 +138,7 @@ def rank_ic(df: DataFrame, pred: str, target: str, by: str | list[str] = "date",
         return F.rank().over(Window.partitionBy(*keys).orderBy(c)) + (F.count(F.lit(1)).over(Window.partitionBy(*keys, c)) - 1) / 2
 
     groups = df.select(*keys).distinct()
-    got = pairs.withColumns({"_a": rank(pred), "_b": rank(target)}).groupBy(*keys).agg(guarded_corr(F.col("_a"), F.col("_b")).alias(name))
+    got = pairs.withColumns({"_a": rank(pred), "_b": rank(target)}).groupBy(*keys).agg(F.round(guarded_corr(F.col("_a"), F.col("_b")), 12).alias(name))
     return groups.join(got, keys, "left")
 
 

@@ -178,7 +178,7 @@ def _rank_ic_sql(source: str, keys: str) -> str:
     """Rank correlation of ``score`` and ``fwd`` by group."""
     place = lambda x: f"(rank() OVER (PARTITION BY {keys} ORDER BY {x}) + (count(*) OVER (PARTITION BY {keys}, {x}) - 1) / 2.0)::DOUBLE"
     return f"""placed AS (SELECT {keys}, {place("score")} AS u, {place("fwd")} AS v FROM {source} WHERE score IS NOT NULL AND fwd IS NOT NULL),
-ics AS (SELECT {keys}, CASE WHEN count(*) > 1 AND min(u) < max(u) AND min(v) < max(v) THEN covar_pop(u, v) / (stddev_pop(u) * stddev_pop(v)) END AS ic FROM placed GROUP BY {keys})"""
+ics AS (SELECT {keys}, round(CASE WHEN count(*) > 1 AND min(u) < max(u) AND min(v) < max(v) THEN covar_pop(u, v) / (stddev_pop(u) * stddev_pop(v)) END, 12) AS ic FROM placed GROUP BY {keys})"""
 
 
 _IC_STATS = "round(avg(ic), 6) AS mean, round(stddev_samp(ic), 6) AS std, round(avg(ic) / (nullif(stddev_samp(ic), 0) / sqrt(count(ic))), 6) AS t, round(avg((ic > 0)::INT), 6) AS hit, count(ic) AS n"
