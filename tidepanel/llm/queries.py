@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 #: Modules that hold one query each.
-MODULES = ("q_tokens", "q_quality", "q_sharding", "q_minhash", "q_toxicity", "q_lm", "q_urls", "q_neighbours", "q_whitening", "q_byte_network")
+MODULES = ("q_tokens", "q_quality", "q_sharding", "q_minhash", "q_toxicity", "q_lm", "q_urls", "q_neighbours", "q_alignment", "q_whitening", "q_byte_network")
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
