@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from tidepanel.features import build, families
 from tidepanel.functions import calendar as cal
 from tidepanel.functions import nulls, text
-from tidepanel.models import audit, scores, splits
+from tidepanel.models import attribution, audit, boosting, scores, splits
 from tidepanel.operators import aggregates as agg
 from tidepanel.operators import selection, windows, xsection
 from tidepanel.panel import clean, universe
@@ -228,17 +228,26 @@ def _trained(spark, d):
 
 @query()
 def model_trees_importance(spark, d):
-    """Gain and permutation loss of each factor of the boosted classifier."""
+    """Gain, splits and mean absolute attribution of each factor of the boosted classifier, over all rows."""
     rows, cols = _trained(spark, d)
-    learner = scores.fit_trees(rows, cols)
-    gain, loss = dict(scores.importance(learner)), dict(scores.permutation_importance(learner, rows, "y"))
-    return spark.createDataFrame([(c, gain[c], loss[c]) for c in cols], "factor string, gain double, loss double")
+    model = scores.fit_trees(rows, cols)
+    mean = attribution.mean_absolute(attribution.attributions(model, rows.select("date", "ticker", *cols)), cols)
+    return boosting.importance_frame(spark, model).join(mean, "feature")
+
+
+@query()
+def model_tree_attributions(spark, d):
+    """Attributions of every row's margin, with the margin's probability."""
+    rows, cols = _trained(spark, d)
+    model = scores.fit_trees(rows, cols)
+    return attribution.attributions(model, model.score(rows.select("date", "ticker", *cols))).drop(*cols)
 
 
 @query()
 def model_ranker_scores(spark, d):
+    """Scores of all rows by the ranker that learns from the labelled ones."""
     rows, cols = _trained(spark, d)
-    return scores.fit_ranker(rows, cols).score(rows).select("date", "ticker", "score")
+    return scores.fit_ranker(rows.where("relevance IS NOT NULL"), cols).score(rows).select("date", "ticker", "score")
 
 
 @query()
