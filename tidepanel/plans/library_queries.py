@@ -226,12 +226,16 @@ def _trained(spark, d):
     return scores.with_labels(f, "fwd"), ["short_pct_rk", "mom_rk", "volume_rk"]
 
 
+def _tasks(spark):
+    return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
 @query()
 def model_trees_importance(spark, d):
     """Gain, splits and mean absolute attribution of each factor of the boosted classifier, over all rows."""
     rows, cols = _trained(spark, d)
     model = scores.fit_trees(rows, cols)
-    mean = attribution.mean_absolute(attribution.attributions(model, rows.select("date", "ticker", *cols)), cols)
+    mean = attribution.mean_absolute(attribution.attributions(model, rows.select("date", "ticker", *cols), partitions=_tasks(spark)), cols)
     return boosting.importance_frame(spark, model).join(mean, "feature")
 
 
@@ -240,7 +244,7 @@ def model_tree_attributions(spark, d):
     """Attributions of every row's margin, with the margin's probability."""
     rows, cols = _trained(spark, d)
     model = scores.fit_trees(rows, cols)
-    return attribution.attributions(model, model.score(rows.select("date", "ticker", *cols))).drop(*cols)
+    return attribution.attributions(model, model.score(rows.select("date", "ticker", *cols)), partitions=_tasks(spark)).drop(*cols)
 
 
 @query()
