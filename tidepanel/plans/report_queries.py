@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tidepanel.models import scores, splits
+from tidepanel.models import folds, scores, splits
 from tidepanel.operators import aggregates as agg
 from tidepanel.operators import selection, windows, xsection
 from tidepanel.panel import assemble as pit
@@ -13,6 +13,7 @@ from tidepanel.plans.panel_queries import CORR, FUND, FWD, LS, W, _fund, _fwd
 from tidepanel.plans.tables import PANEL, daily, filings, panel, read, registrar
 from tidepanel.portfolio import backtest as bt
 from tidepanel.portfolio import metrics
+from tidepanel.sources.shared import stored
 
 QUERIES, SQL = {}, {}
 query = registrar(QUERIES, SQL)
@@ -224,9 +225,10 @@ def equal_weight_composite(spark, d):
 
 @query()
 def model_logit_walk_forward(spark, d):
-    f = _features(spark, d).withColumn("y", (F.col("fwd") < 0).cast("double"))
-    folds = splits.folds_of(f, test_weeks=104, step_weeks=104)
-    return scores.fit_predict(f, folds, ["short_pct_rk", "mom_rk", "volume_rk"], "y", scores.fit_logit).select("date", "ticker", "score", "fold")
+    """Out-of-fold probabilities of all folds, refitted every 26 weeks."""
+    f = stored(_features(spark, d).select("date", "ticker", "short_pct_rk", "mom_rk", "volume_rk", (F.col("fwd") < 0).cast("double").alias("y")), "walk-forward")
+    model = folds.fit_fold_logits(f, splits.folds_of(f), ["short_pct_rk", "mom_rk", "volume_rk"])
+    return model.score(f).select("date", "ticker", "score", "fold")
 
 
 @query()
