@@ -2,11 +2,10 @@
 
 from __future__ import annotations
 
-from itertools import combinations
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidepanel.operators import wide
 from tidepanel.operators.xsection import guarded_corr
 
 
@@ -63,15 +62,8 @@ def missing_share(df: DataFrame, cols: list[str]) -> DataFrame:
     return to_rows(df.agg(*[F.avg(F.col(c).isNull().cast("double")).alias(c) for c in cols]))
 
 
-def correlations(df: DataFrame, cols: list[str]) -> DataFrame:
-    """(a, b, corr) of all pairs of columns, over their complete pairs, in one aggregation."""
-    pairs = list(combinations(cols, 2))
-    row = df.agg(*[guarded_corr(F.col(a).cast("double"), F.col(b).cast("double")).alias(f"c{i}") for i, (a, b) in enumerate(pairs)])
-    return row.select(F.explode(F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.col(f"c{i}").alias("corr")) for i, (a, b) in enumerate(pairs)])).alias("s")).select("s.*")
-
-
 def top_correlations(df: DataFrame, cols: list[str], n: int = 5) -> DataFrame:
-    return correlations(df, cols).where("corr is not null").orderBy(F.desc(F.abs("corr")), "a", "b").limit(n)
+    return wide.correlations(df, cols).where("corr is not null").orderBy(F.desc(F.abs("corr")), "a", "b").limit(n)
 
 
 def outlier_counts(df: DataFrame, col: str, most: float = 2.0) -> DataFrame:

@@ -59,32 +59,16 @@ def neutralized(x: Column, group: str, by: str = "date") -> Column:
 def neutralize(df: DataFrame, factor: str, groups: list[str], by: str = "date", name: str | None = None) -> DataFrame:
     """Residuals per date on the dummies of all ``groups``; rows without a factor or group keep their value.
 
-    One group needs no regression. Several are solved per date, where the rows of one date are one
-    cross-section; dates with no more rows than dummies are only centred.
+    One group needs no regression; several are swept over all dates at once. With several, dates with no more rows than
+    dummies are only centred.
     """
     name = name or f"{factor}_neutral"
     if len(groups) == 1:
         known = F.col(factor).isNotNull() & F.col(groups[0]).isNotNull()
         return df.withColumn(name, F.when(known, neutralized(F.when(known, F.col(factor)), groups[0], by)).otherwise(F.col(factor)))
-    import numpy as np
-    import pandas as pd
-
-    def residuals(part: pd.DataFrame) -> pd.DataFrame:
-        out = part[factor].astype(float).copy()
-        ok = part[factor].notna() & part[groups].notna().all(axis=1)
-        y = part.loc[ok, factor].to_numpy(float)
-        x = pd.get_dummies(part.loc[ok, groups].astype(str), drop_first=False).to_numpy(float)
-        if len(y):
-            if len(y) <= x.shape[1]:
-                out.loc[ok] = y - y.mean()
-            else:
-                out.loc[ok] = y - x @ np.linalg.lstsq(x, y, rcond=None)[0]
-        return part.assign(**{name: out})
-
-    from pyspark.sql.types import DoubleType, StructField, StructType
-
-    schema = StructType([*df.schema.fields, StructField(name, DoubleType())])
-    return df.groupBy(by).applyInPandas(residuals, schema)
+    from tidepanel.operators.neutral import neutralize_crossed
+
+    return neutralize_crossed(df, factor, groups, by, name)
 
 
 def qcut_bucket(order: Column, n: Column, k: int) -> Column:

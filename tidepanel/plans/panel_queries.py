@@ -98,11 +98,6 @@ def sector_neutral(spark, d):
     return xsection.neutralize(panel(spark, d), "adj_close", ["sector"]).select("date", "ticker", (F.col("adj_close_neutral") + 1e-8).alias("adj_close_neutral"))
 
 
-@query()
-def two_group_neutral(spark, d):
-    return xsection.neutralize(panel(spark, d).select("date", "ticker", "adj_close", "sector", "industry"), "adj_close", ["sector", "industry"])
-
-
 @query(f"WITH {PANEL}, {BUCKET.format(k=5, x='adj_close', src='panel')} SELECT date, ticker, bucket FROM bucketed")
 def rank_qcut_bucket(spark, d):
     return xsection.with_bucket(panel(spark, d), "adj_close", 5).select("date", "ticker", "bucket")

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tidepanel.models import folds, scores, splits
 from tidepanel.operators import aggregates as agg
-from tidepanel.operators import selection, windows, xsection
+from tidepanel.operators import selection, wide, windows, xsection
 from tidepanel.panel import assemble as pit
 from tidepanel.panel import universe
 from tidepanel.plans.panel_queries import CORR, FUND, FWD, LS, W, _fund, _fwd
@@ -133,7 +134,7 @@ _PAIRS = [("adj_close", "short_pct"), ("adj_close", "volume"), ("short_pct", "vo
 
 @query(f"WITH {PANEL}, c AS (SELECT " + ", ".join(CORR.format(a=a, b=b) + f" AS c{i}" for i, (a, b) in enumerate(_PAIRS)) + " FROM panel) " + " UNION ALL ".join(f"SELECT '{a}' AS a, '{b}' AS b, round(c{i}, 6) AS corr FROM c" for i, (a, b) in enumerate(_PAIRS)), dates="")
 def correlation_pairs(spark, d):
-    return agg.correlations(panel(spark, d), ["adj_close", "short_pct", "volume"])
+    return wide.correlations(panel(spark, d), ["adj_close", "short_pct", "volume"]).drop("n")
 
 
 @query(f"WITH {FUND}, l AS (SELECT floor(date_diff('second', accepted_date, CAST(date AS TIMESTAMP)) / 86400.0)::BIGINT AS lag FROM fp) SELECT count(lag) AS n_rows, count(*) FILTER (lag < 0) AS n_violations, greatest(0, coalesce(max(-lag), 0))::BIGINT AS worst_days FROM l", dates="")
@@ -244,3 +245,54 @@ SELECT ticker, n, round(corr, 6) AS corr, round(diff, 6) AS median_diff_pct, CAS
 def vendor_check(spark, d):
     p = panel(spark, d)
     return agg.vendor_check(p.select("ticker", "date", F.col("adj_close").alias("px")), p.select("ticker", "date", (F.col("adj_close") + F.col("short_pct")).alias("px")))
+
+
+#: Lags of the three levels: as many columns as a wide frame needs to be told from a narrow one.
+_LAGS = [(c, k) for c in ("adj_close", "volume", "short_pct") for k in range(16)]
+_WIDE = [f"{c}_{k}" for c, k in _LAGS]
+_LAGGED = f"lagged AS (SELECT {', '.join(f'lag({c}, {k}) OVER ({W}) AS {c}_{k}' for c, k in _LAGS)} FROM panel)"
+
+
+def _lagged(spark, d):
+    w = Window.partitionBy("ticker").orderBy("date")
+    return panel(spark, d).select(*[F.lag(c, k).over(w).alias(f"{c}_{k}") for c, k in _LAGS])
+
+
+def _struct(a: str, b: str) -> str:
+    r = f"corr({a}, {b})"
+    return f"{{'a': '{a}', 'b': '{b}', 'n': count(({a} + {b})), 'corr': CASE WHEN isfinite({r}) THEN {r} END}}"
+
+
+@query(f"WITH {PANEL}, {_LAGGED}, found AS (SELECT unnest([{', '.join(_struct(a, b) for i, a in enumerate(_WIDE) for b in _WIDE[i + 1 :])}]) AS s FROM lagged) SELECT s.a AS a, s.b AS b, s.n AS n, round(s.corr, 6) AS corr FROM found", dates="")
+def wide_correlations(spark, d):
+    return wide.correlations(_lagged(spark, d), _WIDE)
+
+
+@query(f"WITH {PANEL}, {_LAGGED} SELECT unnest([{', '.join(f"'{c}'" for c in _WIDE)}]) AS metric, round(unnest([{', '.join(f'avg(({c} IS NULL)::INT)' for c in _WIDE)}]), 6) AS value FROM lagged", dates="")
+def wide_missing(spark, d):
+    return wide.missing(_lagged(spark, d), _WIDE)
+
+
+def _residual_sql(sets: str) -> str:
+    """Residuals on sectors (and sets they lie in) and on odd tickers, as a two-step regression."""
+    return f"""WITH {PANEL}, o AS (SELECT date, ticker, ln(adj_close) AS y, sector, industry, (CAST(ticker AS INT) % 2)::DOUBLE AS d FROM panel WHERE sector IS NOT NULL),
+c AS (SELECT *, count(*) OVER (PARTITION BY date) AS n, {" + ".join(f"count(DISTINCT {s}) OVER (PARTITION BY date)" for s in sets.split())} AS k, y - avg(y) OVER (PARTITION BY date) AS c, y - avg(y) OVER (PARTITION BY date, sector) AS yy, d - avg(d) OVER (PARTITION BY date, sector) AS dd FROM o),
+b AS (SELECT *, sum(yy * dd) OVER (PARTITION BY date) AS p, sum(dd * dd) OVER (PARTITION BY date) AS q FROM c)
+SELECT date, ticker, round(CASE WHEN n <= k THEN c WHEN q > 1e-12 THEN yy - p / q * dd ELSE yy END, 6) AS residual FROM b"""
+
+
+def _residuals(spark, d, groups: list[str]):
+    rows = panel(spark, d).where("sector is not null").select("date", "ticker", F.ln("adj_close").alias("level"), "sector", "industry", (F.col("ticker").cast("int") % 2).alias("odd"))
+    return xsection.neutralize(rows, "level", groups, name="residual").select("date", "ticker", "residual")
+
+
+@query(_residual_sql("sector d"))
+def crossed_group_neutral(spark, d):
+    """Sectors cross odd and even tickers: two sets of dummies that are not nested."""
+    return _residuals(spark, d, ["sector", "odd"])
+
+
+@query(_residual_sql("sector industry d"))
+def two_group_neutral(spark, d):
+    """Three sets, of which one is crossed and one lies in another."""
+    return _residuals(spark, d, ["sector", "industry", "odd"])
