@@ -418,6 +418,28 @@ def test_toxicity_learns_from_votes(spark, none):
     assert toxicity.score_toxicity(none, model).count() == 0
 
 
+def test_given_labels_do_not_reach_the_posteriors(spark):
+    rng = np.random.default_rng(4)
+    rows = [(i, " ".join([f"w{'abcdefghij'[x]}" for x in rng.integers(0, 10, 20)] + (["grobix", "vilnak"][: 1 + i % 2] if i % 5 == 0 else []))) for i in range(500)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    voters = toxicity.Voters(["grobix", "vilnak"], [])
+    voted = toxicity.votes_on(toxicity.text_sample(docs, id_col="doc_id", text_col="text"), voters)
+    assert voted.columns == ["text", "hits"]  # nothing else is handed on, so labels may be anything
+    assert voted.count() == sum(zlib.crc32(str(i).encode()) % 5 != 0 for i in range(500))
+    model = toxicity.learn(voted, voters, 0.2)
+    scored = {r["doc_id"]: r["predicted"] for r in toxicity.score_toxicity(docs, model).collect()}
+    assert all(scored[i] == int(i % 5 == 0) for i in scored)
+    # turning the labels of voters' texts changes no posterior once voters and prior are the same
+    truth = docs.selectExpr("doc_id", "cast(doc_id % 5 = 0 as int) AS toxic")
+    monkey = pytest.MonkeyPatch()
+    monkey.setattr(toxicity, "choose_voters", lambda counts, n0, n1: voters)
+    turned = truth.selectExpr("doc_id", "CASE WHEN doc_id % 10 = 0 THEN 0 WHEN doc_id % 10 = 1 THEN 1 ELSE toxic END AS toxic")
+    fits = [toxicity.fit_toxicity(docs, t) for t in (truth, turned)]
+    monkey.undo()
+    own = [fits[0].labels.says, fits[1].labels.says]
+    assert np.allclose(*own, atol=0.2)  # the prior alone differs, by the share of labels
+
+
 def plain_em(votes, sides, prior, rounds):
     """The label model without links, voter by voter."""
     post = []
@@ -427,11 +449,12 @@ def plain_em(votes, sides, prior, rounds):
     for _ in range(rounds):
         n1, says = sum(post), []
         n0 = len(post) - n1
-        share = (n1 + 1e-9) / (n1 + n0 + 2e-9)
         for j in range(len(sides)):
+            share = toxicity.TRUST if sides[j] > 0 else prior / 2
             c1 = sum(p for p, row in zip(post, votes) if row[j])
             c0 = sum(1 - p for p, row in zip(post, votes) if row[j])
-            says.append(math.log((c1 + toxicity.SMOOTH * share) / (n1 + 1e-9)) - math.log((c0 + toxicity.SMOOTH * (1 - share)) / (n0 + 1e-9)))
+            said = math.log((c1 + toxicity.SMOOTH * share) / (n1 + 1e-9)) - math.log((c0 + toxicity.SMOOTH * (1 - share)) / (n0 + 1e-9))
+            says.append(max(said, 0) if sides[j] > 0 else min(said, 0))
         post = [1 / (1 + math.exp(-min(30, max(-30, math.log(prior / (1 - prior)) + sum(s for s, v in zip(says, row) if v))))) for row in votes]
     return post
 
@@ -442,7 +465,8 @@ def test_label_model_equals_a_plain_one(monkeypatch):
     votes = np.stack([y & (rng.random(300) < 0.7), y ^ (rng.random(300) < 0.1), ~y & (rng.random(300) < 0.5), rng.random(300) < 0.2], axis=1).astype(float)
     sides = np.array([1, 1, -1, 1])
     monkeypatch.setattr(toxicity, "draw_forest", lambda counts: (np.full(4, -1), []))
-    model, post = toxicity.fit_label_model(votes, sides, 0.3, rounds=7)
+    with pytest.warns(UserWarning, match="after 7 rounds"):
+        model, post = toxicity.fit_label_model(votes, sides, 0.3, rounds=7)
     assert post == pytest.approx(np.array(plain_em(votes.tolist(), sides.tolist(), 0.3, 7)), abs=1e-9)
     assert ((post > 0.5) == y).mean() > 0.9
     # the accuracies that were put in, in order

@@ -221,6 +221,25 @@ def test_pipeline_stages(spark):
     assert packed.select("doc_id").distinct().count() == kept[3]
 
 
+INTERNAL = ["_q_text", "_q_lines", "_q_n_words", "_q_counts", "row", "source_", "_text", "text_", "hits", "label", "post", "id", "words", "key", "block", "part", "f1", "sequence_id", "piece", "length", "ids"]
+
+
+@pytest.mark.parametrize("place", range(4))
+def test_stages_keep_columns_of_any_name(spark, tmp_path, place):
+    import corpus_pipeline as cp
+
+    spark.createDataFrame([], "doc_id bigint, quality bigint, toxic bigint").write.parquet(f"{tmp_path}/labels.parquet")
+    good = " ".join(f"the w{i}" for i in range(60))
+    docs = spark.createDataFrame([(1, good), (2, good + " end of it"), (3, None)], "doc_id bigint, text string").withColumns({"lang": F.lit("en"), "source": F.lit("s"), "n_chars": F.lit(1)})
+    clashing = docs.withColumns({c: F.lit(7) for c in INTERNAL})
+    name, stage = cp.STAGES[place]
+    plain, got = stage(spark, docs.where("doc_id < 3"), str(tmp_path)), stage(spark, clashing.where("doc_id < 3"), str(tmp_path))
+    assert sorted(r["doc_id"] for r in plain.collect()) == sorted(r["doc_id"] for r in got.collect()), name
+    if place < 3:
+        assert got.columns == clashing.columns
+        assert all(r[c] == 7 for r in got.collect() for c in INTERNAL)
+
+
 def test_pipeline_stages_on_odd_rows(spark, tmp_path):
     import corpus_pipeline as cp
 

@@ -137,6 +137,11 @@ def quality_report(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
 
 
 def keep_good(docs: DataFrame, *, text_col: str = "text", rules: tuple[Rule, ...] = RULES) -> DataFrame:
-    """The rows of ``docs`` that the rules keep, with the columns of ``docs``."""
-    counted = with_counts(docs, text_col, prefix="_q_")
-    return counted.where(~base_failed("_q_") & compile_rules(rules, "_q_")).select(*[F.col(f"`{c}`") for c in docs.columns])
+    """The rows of ``docs`` that the rules keep, with the columns of ``docs``.
+
+    Null and empty texts go. Repeated rows and null ids are judged row by row; an empty table gives an empty result. The
+    other columns travel as one, so no name of theirs can clash with a count. Very long texts are judged whole.
+    """
+    packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(f"`{text_col}`").alias("source"))
+    counted = with_counts(packed, "source", prefix="_q_")
+    return counted.where(~base_failed("_q_") & compile_rules(rules, "_q_")).select(*[F.col("row").getField(c).alias(c) for c in docs.columns])

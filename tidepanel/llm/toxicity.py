@@ -1,28 +1,27 @@
 """Operator 3: toxicity by weak supervision.
 
-1. Voters. Each votes *toxic* or *civil* on a text or abstains. Lexicon voters are words, and pattern
-   voters word beginnings, whose share of toxic texts among the labelled texts of the training folds is far
-   from the average: high for toxic voters, low for civil ones. Fixed pattern voters vote on masked
-   spellings of lexicon words, on their share of the text, on shouting and rows of exclamation marks
-   (toxic), and on polite words and on texts without any lexicon word (civil).
-2. Label model. A generative model explains the votes by a hidden label. Its parameters are each
-   voter's rate of voting for either label (which gives its accuracy) and, along a forest that links the voters that
-   depend most on each other given the label (by conditional mutual information), that rate where the
-   other voter votes too (their correlation). Abstaining says nothing. Expectation maximisation estimates
-   all of them, from a start by the majority of votes; the forest is drawn from the posteriors and the
-   model is fitted again. A given label is one more voter, and may be wrong like the others.
+1. Voters. Each votes *toxic* or *civil* on a text or abstains. Lexicon voters are words, and pattern voters word beginnings, whose
+   share of toxic texts among the labelled texts of the training folds is far from the average: high for toxic voters, low
+   for civil ones, where there are any. Fixed pattern voters vote on masked spellings of lexicon words and on their share of the
+   text (toxic), on polite words and on texts without any lexicon word (civil).
+2. Label model. A generative model explains the votes on texts, labelled or not, by a hidden label; no given label takes
+   part. Its parameters are each voter's rate of voting for either label (which gives its accuracy) and, along a forest that links
+   the voters that depend most on each other given the label (by conditional mutual information), that rate where the other
+   voter votes too (their correlation). Abstaining says nothing, and a vote says nothing against its own side. Expectation
+   maximisation estimates all of them, from a start by the majority of votes; the forest is drawn from the posteriors and the
+   model is fitted again.
 3. Classifier. A logistic regression on hashed words and word beginnings is trained on the posterior labels.
    Its penalty sets the weights of most terms to zero, so that long texts do not gather noise; cells that
    the penalty would hold at zero from the start are left out.
 
-Only texts feed a score. Labels of the training folds choose the voters and their sides, give the share
-of toxic texts and vote in the label model.
+Only texts feed a score. Labels of the training folds choose the voters and their sides and give the share of toxic texts, no more.
 """
 
 from __future__ import annotations
 
 import math
 import re
+import warnings
 import zlib
 from collections import Counter
 from collections.abc import Iterator
@@ -37,23 +36,25 @@ from tidepanel.llm.common import column_list, fresh, materialize, set_aside, sli
 
 #: Labelled rows that a fit reads at most; which ones is decided by a hash of the id.
 FIT_ROWS = 10_000
+#: Texts, labelled or not, on whose votes the label model is fitted and on whose posteriors the classifier is trained, at most about.
+VOTE_ROWS = 20_000
 BATCH_BYTES = 2 << 20
 #: Lengths of word beginnings that may become pattern voters.
 STEMS = (3, 4, 5, 6, 7, 8)
-#: Lexicon and pattern voters that a model keeps at most of each side.
+#: Lexicon and pattern voters that a model has at most of each side: those that stand in most texts.
 VOTERS = 256
 #: Cells of hashed terms, lengths of hashed beginnings, and penalty of the classifier for each training text.
 CELLS, BEGINNINGS, PENALTY = 1 << 20, (4, 5, 6, 7, 8), 4e-4
-#: Votes that are added to each voter's, shared between the labels as all texts are.
-SMOOTH = 2.0
+#: Votes that are added to each voter's, and the share of them that are right: what a toxic voter was chosen for. Civil voters
+#: get half the average share of toxic texts. They keep the labels from fading into one, which the votes alone would not resist.
+SMOOTH, TRUST = 2.0, 0.9
 #: Signs that stand for letters in masked spellings (fixed values).
 MASKS = ("013457@$", "oieastas")
 #: Words of courtesy in English, German, French and Spanish.
 POLITE = frozenset("please thanks thank sorry bitte danke verzeihung merci pardon gracias perdón".split())
-FIXED = (("masked", 1), ("dense", 1), ("shouting", 1), ("exclaiming", 1), ("polite", -1), ("none", -1))
+FIXED = (("masked", 1), ("dense", 1), ("polite", -1), ("none", -1))
 _WORD = re.compile(r"[^\W\d_]+")
 _MASKED = re.compile(r"[^\W\d_]+(?:[013457@$]+[^\W\d_]+)+")
-_BANGS = re.compile(r"!{2,}")
 _UNMASK = str.maketrans(*MASKS)
 
 
@@ -102,14 +103,11 @@ class Voters:
         hits = sorted(self.place[t] for t in found)
         first = len(self.names) - len(FIXED)
         toxic = [h for h in hits if h < len(self.toxic)]
-        bad, n, plain = sum(counts[w] for w in self.bad & counts.keys()), counts.total(), text or ""
-        long_words = [w for w in plain.split() if len(w) > 3]
+        bad, n = sum(counts[w] for w in self.bad & counts.keys()), counts.total()
         masked = not self.bad.isdisjoint(unmasked(text))
         fixed = {
             "masked": masked,
             "dense": bad > 1 and 50 * bad >= n,
-            "shouting": len(long_words) > 4 and 2 * sum(w.isupper() for w in long_words) > len(long_words) and bool(toxic),
-            "exclaiming": len(_BANGS.findall(plain)) > 2 and bool(toxic),
             "polite": not POLITE.isdisjoint(counts),
             "none": not toxic and not masked,
         }
@@ -130,6 +128,16 @@ def label_sample(labels: DataFrame, *, id_col: str, label_col: str, rows: int =
     return agreed.where(F.pmod(F.xxhash64("id", F.lit("fit")), F.lit(1_000_000)) < int(1_000_000 * rows / n))
 
 
+def text_sample(docs: DataFrame, *, id_col: str, text_col: str, rows: int = VOTE_ROWS, fold: int = 5) -> DataFrame:
+    """At most about ``rows`` distinct texts of documents outside the held-out fold, labelled or not; a hash of the text decides."""
+    text = F.col(f"`{text_col}`")
+    train = docs.where(text.isNotNull() & (F.crc32(F.col(f"`{id_col}`").cast("string").cast("binary")) % fold != 0)).select(text.alias("text"))
+    n = train.count()
+    if n > rows:
+        train = train.where(F.pmod(F.xxhash64("text", F.lit("votes")), F.lit(1_000_000)) < int(1_000_000 * rows / n))
+    return train.distinct()
+
+
 def term_counts(sample: DataFrame) -> DataFrame:
     """term, n0, n1: texts of either label that hold the term; combined on each batch before the exchange."""
 
@@ -173,7 +181,7 @@ def choose_voters(counts: DataFrame, n0: int, n1: int, most: int = VOTERS) -> Vo
     strong = counts.where(F.col("p") >= math.log(max(counts.count(), 1)) + 1)
     chosen = []
     for side in (strong.where((a >= 3) & (a / (a + b) >= 0.9)).withColumn("n", F.col("n1")), strong.where(a / (a + b) <= base / 2).withColumn("n", F.col("n0"))):
-        rows = side.orderBy(F.desc("n"), F.desc("p"), "term").limit(8 * most).collect()
+        rows = side.orderBy(F.desc("n"), F.desc("p"), "term").collect()
         chosen.append(_fewest({r["term"]: r["n"] for r in rows}, most))
     return Voters(*chosen)
 
@@ -266,23 +274,24 @@ def draw_forest(counts: np.ndarray) -> tuple[np.ndarray, list[tuple[int, int, fl
 def estimate(votes: np.ndarray, sides: np.ndarray, post: np.ndarray, prior: float, parent: np.ndarray, links: list[tuple[int, int, float]]) -> LabelModel:
     """The model that posteriors imply."""
     above = np.where(parent >= 0, votes[:, np.maximum(parent, 0)], 0)
-    says = np.zeros((votes.shape[1], 2))
+    says, trust = np.zeros((votes.shape[1], 2)), np.where(sides > 0, TRUST, prior / 2)
     for state in (0, 1):
         here = above if state else 1 - above
         n1, n0 = post @ here, (1 - post) @ here  # texts of either label with the parent in this state
         c1, c0 = post @ (votes * here), (1 - post) @ (votes * here)
-        share = (n1 + 1e-9) / (n1 + n0 + 2e-9)
-        says[:, state] = np.log((c1 + SMOOTH * share) / (n1 + 1e-9)) - np.log((c0 + SMOOTH * (1 - share)) / (n0 + 1e-9))
+        says[:, state] = np.log((c1 + SMOOTH * trust) / (n1 + 1e-9)) - np.log((c0 + SMOOTH * (1 - trust)) / (n0 + 1e-9))
     says[parent < 0, 1] = says[parent < 0, 0]
+    # voters are better than chance: without this, voters that all vote on long texts make a label of their own
+    says = np.where(sides[:, None] > 0, np.maximum(says, 0), np.minimum(says, 0))
     toxic = (post @ votes + SMOOTH * prior) / (votes.sum(axis=0) + SMOOTH)
     return LabelModel(prior, parent, says, np.where(sides > 0, toxic, 1 - toxic), links)
 
 
-def fit_label_model(votes: np.ndarray, sides: np.ndarray, prior: float, rounds: int = 25) -> tuple[LabelModel, np.ndarray]:
+def fit_label_model(votes: np.ndarray, sides: np.ndarray, prior: float, rounds: int = 200) -> tuple[LabelModel, np.ndarray]:
     """The model and the posteriors of ``votes`` (rows, voters), by expectation maximisation.
 
     First without links between voters; then the forest is drawn and the model fitted again with it, so
-    that voters that repeat each other do not count twice.
+    that voters that repeat each other do not count twice. Posteriors that still move after ``rounds`` give a warning.
     """
     votes = votes.astype(float)
     post = majority_start(votes, sides, prior)
@@ -295,18 +304,21 @@ def fit_label_model(votes: np.ndarray, sides: np.ndarray, prior: float, rounds:
         for _ in range(rounds):
             model = estimate(votes, sides, post, prior, parent, links)
             new = model.posterior(votes)
-            done = np.abs(new - post).max() < 1e-6
+            moved = float(np.abs(new - post).max(initial=0.0))
             post = new
-            if done:
+            if moved < 1e-6:
                 break
+        else:
+            warnings.warn(f"the label model's posteriors still moved by {moved:.2g} after {rounds} rounds", stacklevel=2)
     return model, post
 
 
-def fit_sparse_logistic(rows: list[np.ndarray], y: np.ndarray, width: int, penalty: float, rounds: int = 200) -> tuple[np.ndarray, float]:
+def fit_sparse_logistic(rows: list[np.ndarray], y: np.ndarray, width: int, penalty: float, rounds: int = 500) -> tuple[np.ndarray, float]:
     """Weights and constant of a logistic regression on 0/1 features with soft labels.
 
     ``rows``: the features that each text has. ``penalty`` times the texts is the price of a weight's size;
-    accelerated proximal steps, for each weight of the length that its curvature allows.
+    accelerated proximal steps, for each weight of the length that its curvature allows; momentum that points uphill is dropped. Weights that still move after ``rounds``
+    give a warning.
     """
     n = len(rows)
     where = np.repeat(np.arange(n), [len(r) for r in rows])
@@ -323,12 +335,16 @@ def fit_sparse_logistic(rows: list[np.ndarray], y: np.ndarray, width: int, penal
         wrong = (p - y) / n
         step = at - np.bincount(cells, weights=wrong[where], minlength=width) / steep
         new, new_bias = np.sign(step) * np.maximum(np.abs(step) - penalty / steep, 0), at_bias - wrong.sum() / steep_bias
+        if float(np.dot((at - new) * steep, new - w)) + (at_bias - new_bias) * (new_bias - bias) * steep_bias > 0:
+            momentum = 1.0
         after = (1 + math.sqrt(1 + 4 * momentum * momentum)) / 2
         at, at_bias = new + (momentum - 1) / after * (new - w), new_bias + (momentum - 1) / after * (new_bias - bias)
         moved = max(float(np.abs(new - w).max(initial=0.0)), abs(new_bias - bias))
         w, bias, momentum = new, new_bias, after
-        if moved < 1e-4:
+        if moved < 1e-3:
             break
+    else:
+        warnings.warn(f"the classifier's weights still moved by {moved:.2g} after {rounds} rounds", stacklevel=2)
     return w, bias
 
 
@@ -367,11 +383,30 @@ class ToxicityModel:
     labels: LabelModel | None = None
 
 
-def fit_toxicity(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", rows: int = FIT_ROWS, fold: int = 5) -> ToxicityModel:
-    """Fit on at most about ``rows`` labelled rows outside the held-out fold.
+def votes_on(texts: DataFrame, voters: Voters) -> DataFrame:
+    """text and hits: the places of the voters that vote on it."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for batch in slices(whole, "text", BATCH_BYTES):
+                hits = [voters.fired(t) for t in column_list(batch, "text")]
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(hits, pa.list_(pa.int32()))], ["text", "hits"])
+
+    return texts.select("text").mapInArrow(run, "text string, hits array<int>")
+
 
-    Of rows that share an id the least text is read, and equal texts count once; those labelled both ways
-    say nothing. Without labels of both kinds, or if no term stands out, nothing is learned: every text
+def vote_matrix(hits: list, width: int) -> np.ndarray:
+    votes = np.zeros((len(hits), width), np.float32)
+    for i, hit in enumerate(hits):
+        votes[i, hit] = 1
+    return votes
+
+
+def fit_toxicity(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", rows: int = FIT_ROWS, texts: int = VOTE_ROWS, fold: int = 5) -> ToxicityModel:
+    """Choose voters by at most about ``rows`` labelled rows, fit on the votes on at most about ``texts`` texts without their labels.
+
+    Both leave the held-out fold out. Of rows that share an id the least text is read, and equal texts count once; those
+    labelled both ways say nothing. Without labels of both kinds, or if no term stands out, nothing is learned: every text
     scores 0.25, so nothing is called toxic.
     """
     ids = label_sample(labels, id_col=id_col, label_col=label_col, rows=rows, fold=fold)
@@ -385,33 +420,22 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id",
     voters = choose_voters(term_counts(sample), n0, n1)
     if not voters.toxic:
         return ToxicityModel(voters=voters)
+    voted = materialize(votes_on(text_sample(docs, id_col=id_col, text_col=text_col, rows=texts, fold=fold), voters), "toxicity-votes")
+    return learn(voted, voters, n1 / (n0 + n1))
 
-    def vote(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
-            for batch in slices(whole, "text", BATCH_BYTES):
-                hits = [voters.fired(t) for t in column_list(batch, "text")]
-                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(hits, pa.list_(pa.int32())), batch.column(1)], ["text", "hits", "label"])
 
-    voted = materialize(sample.select("text", "label").mapInArrow(vote, "text string, hits array<int>, label int"), "toxicity-votes")
+def learn(voted: DataFrame, voters: Voters, prior: float) -> ToxicityModel:
+    """The label model of the votes and the classifier on its posteriors; no label is given."""
     k = len(voters.names)
-
-    def matrix(hits: list, given: list) -> np.ndarray:
-        """Votes, the given label last: one column for either label."""
-        votes = np.zeros((len(hits), k + 2))
-        for i, (hit, label) in enumerate(zip(hits, given, strict=True)):
-            votes[i, hit] = 1
-            votes[i, k + (label == 0)] = 1
-        return votes
-
-    # places of votes alone, one short list for each of the ``rows`` texts at most
-    got = voted.select("hits", "label").toArrow().sort_by([("label", "ascending")])
-    model, _ = fit_label_model(matrix(*(got.column(c).to_pylist() for c in ("hits", "label"))), np.append(voters.sides, [1, -1]), n1 / (n0 + n1))
+    # places of votes alone, one short list for each of a bounded number of texts
+    got = voted.select("hits", F.xxhash64("text").alias("order")).toArrow().sort_by([("order", "ascending")])
+    model, _ = fit_label_model(vote_matrix(got.column("hits").to_pylist(), k), voters.sides, prior)
 
     def believe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = Cells()
         for whole in batches:
             for batch in slices(whole, "text", BATCH_BYTES):
-                post = model.posterior(matrix(column_list(batch, "hits"), column_list(batch, "label")))
+                post = model.posterior(vote_matrix(column_list(batch, "hits"), k))
                 yield pa.RecordBatch.from_arrays([pa.array(post, pa.float64()), pa.array([sorted(own(t)) for t in column_list(batch, "text")], pa.list_(pa.int32()))], ["post", "cells"])
 
     believed = materialize(voted.mapInArrow(believe, "post double, cells array<int>"), "toxicity-posteriors")
