@@ -51,6 +51,27 @@ def test_recall_against_brute_force(spark):
     assert recall(spark, v * np.exp(rng.normal(size=4000))[:, None], least=21, share=0.15, index_block=4000) >= 0.9
 
 
+def test_partitions_stay_bounded_and_block_sizes_change_nothing(spark, monkeypatch):
+    from tidepanel.llm import common, lm_scoring
+
+    for least, most in ((uf.BLOCK_BYTES, uf.MOST_BLOCK_BYTES), (lm_scoring.BLOCK_BYTES, lm_scoring.BLOCK_BYTES)):
+        for total in (0, 1, 10**9, 10**12, 10**14):
+            blocks, partitions = common.block_plan(total, least, most)
+            assert 1 <= partitions <= min(blocks, 10_000) and blocks * max(least, most) >= total
+    rows = [(i, f"https://{'org' if i % 3 else 'www.example.org/es'}/{'a' * (i % 7)}/{i * 37 % 101}") for i in range(300)] + [(300, "https://x/" + "long" * 20_000)]
+    pages = spark.createDataFrame(rows, "page_id bigint, url string")
+    docs = spark.createDataFrame([(i, f"a b c{i % 9} d{i % 5} " * 6) for i in range(80)], "doc_id bigint, text string")
+    got = []
+    for size, most in ((1 << 30, 8192), (600, 8192), (600, 3)):
+        monkeypatch.setattr(uf, "BLOCK_BYTES", size)
+        monkeypatch.setattr(uf, "MOST_BLOCK_BYTES", size)
+        monkeypatch.setattr(lm_scoring, "BLOCK_BYTES", size)
+        monkeypatch.setattr(common, "MOST_PARTITIONS", most)
+        judged = uf.judge_urls(pages, RULES, uf.fit_urls(pages, RULES))
+        got.append((sorted((r["page_id"], r["verdict"], round(r["ratio"], 9)) for r in judged.collect()), sorted((r["doc_id"], round(r["log_score"], 9)) for r in lm_scoring.backoff_scores(docs).collect())))
+    assert got[0] == got[1] == got[2]
+
+
 def test_a_file_holds_only_vectors_near_its_pivot():
     rng = np.random.default_rng(1)
     v = rng.normal(size=(500, 16))

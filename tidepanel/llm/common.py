@@ -121,6 +121,17 @@ def parts_for(total: int, each: int, least: int = 1) -> int:
     return max(least, math.ceil(total / each))
 
 
+#: Partitions that an exchange is asked for at most, whatever the input: what a driver can still schedule.
+MOST_PARTITIONS = 8192
+
+
+def block_plan(total: int, least: int, most: int) -> tuple[int, int]:
+    """(blocks, partitions) for ``total`` bytes: blocks grow from ``least`` to ``most`` bytes before partitions hold several of them."""
+    each = min(max(math.ceil(total / MOST_PARTITIONS), least), max(least, most))
+    blocks = parts_for(total, each)
+    return blocks, min(blocks, MOST_PARTITIONS)
+
+
 def column_list(batch: pa.RecordBatch, name: str) -> list:
     return batch.column(batch.schema.get_field_index(name)).to_pylist()
 

@@ -20,7 +20,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidepanel.llm.common import parts_for, text_bytes
+from tidepanel.llm.common import block_plan, parts_for, text_bytes
 
 #: Bytes of text of a block, and of the corpus for one hash partition of the counts.
 BLOCK_BYTES = 12 << 20
@@ -144,12 +144,12 @@ def backoff_scores(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
     are not read.
     """
     kind = dict(docs.dtypes)[id_col]
-    source = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    source = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text"))
     total = text_bytes(source, "text")
-    blocks, parts = parts_for(total, BLOCK_BYTES), parts_for(total, TABLE_BYTES)
+    (blocks, partitions), parts = block_plan(total, BLOCK_BYTES, BLOCK_BYTES), parts_for(total, TABLE_BYTES)
     words = source.select(F.size(F.array_remove(F.split(F.coalesce("text", F.lit("")), r"[\x20\x09-\x0D]+"), "")).cast("long").alias("n")).agg(F.sum("n").alias("n")).first()["n"] or 0
     # both branches read this exchange; it is written once
-    dealt = source.withColumn("block", F.pmod(F.xxhash64("id", "text"), F.lit(blocks))).repartition(blocks, "block")
+    dealt = source.withColumn("block", F.pmod(F.xxhash64("id", "text"), F.lit(blocks))).repartition(partitions, "block")
     exploded = dealt.groupBy("block").applyInPandas(_block_grams(order, parts), "part long, block long, keys binary, counts binary")
     joined = exploded.groupBy("part").applyInPandas(_table_totals, "block long, part long, totals binary")
     scored = dealt.groupBy("block").cogroup(joined.groupBy("block")).applyInPandas(_score_block(order, backoff, words), f"id {kind}, n_words long, log_score double")

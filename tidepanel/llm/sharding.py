@@ -14,12 +14,12 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidepanel.llm.common import fresh, materialize, set_aside, shuffle_partitions
+from tidepanel.llm.common import fresh, materialize, parts_for, set_aside, shuffle_partitions
 
 #: Probes by which one interval is split in a round, as a power of two.
 PROBE_BITS = 8
-#: Fragments of a shard: the unit that one task sorts.
-FRAGMENTS = 8
+#: Fragments of a shard, the unit that one task sorts: as many as its bytes need, within these bounds.
+FRAGMENTS, MOST_FRAGMENTS, FRAGMENT_BYTES = 8, 256, 128 << 20
 #: A cut may leave its place by this share of a shard's bytes to keep equal texts together.
 TOLERANCE = 0.005
 #: The same for the cuts inside a shard, by a fragment's bytes.
@@ -152,7 +152,7 @@ def _assign(cuts: list[Cut], names: dict[str, str]) -> Column:
     return tree(0, len(cuts))
 
 
-def shard(docs: DataFrame, shards: int = 16, *, id_col: str = "doc_id", text_col: str = "text", fragments: int = FRAGMENTS, tolerance: float = TOLERANCE, keep: tuple[str, ...] | None = None) -> DataFrame:
+def shard(docs: DataFrame, shards: int = 16, *, id_col: str = "doc_id", text_col: str = "text", fragments: int | None = None, tolerance: float = TOLERANCE, keep: tuple[str, ...] | None = None) -> DataFrame:
     """The columns ``keep`` (None: all) with ``size``, ``shard`` and ``slot``: shards of nearly equal bytes, in key order.
 
     Law ``bytes``: a shard's bytes differ from the mean by at most ``tolerance`` of a shard at either
@@ -163,8 +163,8 @@ def shard(docs: DataFrame, shards: int = 16, *, id_col: str = "doc_id", text_col
     ``input_<name>``. An empty table gives an empty result.
 
     The kept columns and the keys are written once to the shared folder, where row numbers are fixed and
-    the keys are probed. Rows move in one exchange, which sorts each of ``shards * fragments`` fragments;
-    columns that the caller does not use are pruned before it.
+    the keys are probed. Rows move in one exchange, which sorts each of ``shards * fragments`` fragments (None: of about
+    ``FRAGMENT_BYTES``, 8 to 256 a shard); columns that the caller does not use are pruned before it.
     """
     spark = docs.sparkSession
     wanted = docs.select(*[F.col(f"`{c}`") for c in (docs.columns if keep is None else keep)])
@@ -173,6 +173,9 @@ def shard(docs: DataFrame, shards: int = 16, *, id_col: str = "doc_id", text_col
     keyed = docs.select(*[F.col(f"`{c}`").alias(n) for c, n in zip(wanted.columns, named.columns, strict=True)], *[c.alias(own[n]) for n, c in key_columns(docs, id_col, text_col).items()])
     stored = materialize(keyed, "shard-rows")
     keys = stored.select(*[F.col(own[n]).alias(n) for n in (*KEY, "size")])
+    if fragments is None:
+        total = keys.agg(F.sum("size").alias("n")).first()["n"] or 0
+        fragments = min(max(parts_for(total, shards * FRAGMENT_BYTES), FRAGMENTS), MOST_FRAGMENTS)
     cuts = find_cuts(keys, shards * fragments, fragments, tolerance)
     first = [(0, 0)] + [(c.bytes_below, c.rows_below) for c in cuts]
     before = [n - first[i // fragments * fragments][1] for i, (_, n) in enumerate(first)]

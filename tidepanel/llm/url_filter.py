@@ -11,7 +11,8 @@ All counts are exact and lie in tables that grow with the URLs:
 * the estimate of each order is joined to the next by the part they share; at most 256 n-grams have
   one context, and at most 256 have one shorter n-gram, so no key is hot,
 * URLs are dealt to blocks; a block's distinct numbers leave it once, however often they occur there, and
-  come back with the logarithm that each adds. Nothing is collected but the histogram of the threshold.
+  come back with the logarithm that each adds. A number that all blocks hold has as many rows as there are blocks: one in a million
+  of all rows or less, as blocks grow with the input and hold many numbers. Nothing is collected but the histogram of the threshold.
 """
 
 from __future__ import annotations
@@ -24,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidepanel.llm.common import column_list, materialize, parts_for, slices, text_bytes
+from tidepanel.llm.common import block_plan, column_list, materialize, slices, text_bytes
 
 
 @dataclass(frozen=True)
@@ -41,7 +42,7 @@ class UrlRule:
 #: Longest context: with its character it fills 48 bits of a number.
 ORDER = 5
 #: Bytes of URLs of a block, and of those that are counted at once.
-BLOCK_BYTES = 256 << 10
+BLOCK_BYTES, MOST_BLOCK_BYTES = 256 << 10, 8 << 20
 COUNT_BYTES = 2 << 20
 #: Steps of the histogram on which the threshold is chosen, and its half width.
 STEPS, REACH = 400, 4.0
@@ -155,9 +156,9 @@ def _ratios(rows: DataFrame, model: UrlModel, keep: tuple[str, ...]) -> DataFram
         ratios = [float(v[np.searchsorted(keys, _windows(u.encode()))].sum() / len(u.encode())) if u else 0.0 for u in block.column("url").to_pylist()]
         return pa.table([*(block.column(k) for k in keep), pa.array(ratios, pa.float64())], names=[*keep, "ratio"])
 
-    blocks = parts_for(text_bytes(rows, "url"), BLOCK_BYTES)
+    blocks, partitions = block_plan(text_bytes(rows, "url"), BLOCK_BYTES, MOST_BLOCK_BYTES)
     # both branches read this exchange
-    dealt = rows.withColumn("block", F.pmod(F.xxhash64("id", "url"), F.lit(blocks))).repartition(blocks, "block")
+    dealt = rows.withColumn("block", F.pmod(F.xxhash64("id", "url"), F.lit(blocks))).repartition(partitions, "block")
     windows = dealt.select("block", "url").groupBy("block").applyInArrow(distinct, "block long, key long")
     asked = windows.select("key", F.lit(0).cast("long").alias("n0"), F.lit(0).cast("long").alias("n1"))
     counts = model.counts.unionByName(asked).groupBy("key").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"))
