@@ -26,7 +26,8 @@ def test_files_round_trip(spark, tmp_path):
     files.write_csv(df, f"{tmp_path}/c")
     (tmp_path / "l.txt").write_text("A\n\nB\nA\n")
     assert files.read_list(spark, f"{tmp_path}/l.txt").count() == 2
-    assert "| A | 1.0000 |" in files.markdown(df)
+    assert "| A | 1.0000 |" in files.markdown(df) and "more rows" not in files.markdown(df)
+    assert files.markdown(df, rows=1).endswith("1 more rows are not shown.")
     (tmp_path / "r.bin").write_bytes(b"x")
     got = files.report_documents(spark, f"{tmp_path}/r.bin", lambda b: pd.DataFrame({"n": [len(b)]}), "n long").first()
     assert got["n"] == 1
@@ -50,7 +51,7 @@ def test_rest_reader_retries():
 
     assert with_retries(flaky, wait_s=0) == "ok"
     reader = RestReader({"endpoint": "e", "fetch": "builtins:sorted", "symbols": "A,B"})
-    assert [p.value for p in reader.partitions()] == ["A", "B"]
+    assert [p.value for p in reader.partitions()] == [(["A"], 0.0), (["B"], 0.0)]
     assert json.dumps({"a": 1})
 
 

@@ -40,7 +40,8 @@ def write_json(df: DataFrame, path: str) -> None:
 
 
 def write_csv(df: DataFrame, path: str) -> None:
-    df.coalesce(1).write.mode("overwrite").option("header", True).csv(path)
+    """Files with headers, as many as ``df`` has partitions; they read back as one table."""
+    df.write.mode("overwrite").option("header", True).csv(path)
 
 
 def read_list(spark: SparkSession, path: str, name: str = "ticker") -> DataFrame:
@@ -69,7 +70,11 @@ def report_documents(spark: SparkSession, path: str, parse: Callable[[bytes], pd
 
 
 def markdown(df: DataFrame, digits: int = 4, rows: int = 1000) -> str:
-    """A small result as a Markdown table; a report's table has at most ``rows`` rows."""
+    """A small result as a Markdown table; where there are more than ``rows`` rows, a last line says how many are left out."""
     show = lambda v: "" if v is None else f"{v:.{digits}f}" if isinstance(v, float) else str(v)
     lines = ["| " + " | ".join(df.columns) + " |", "|" + "---|" * len(df.columns)]
-    return "\n".join(lines + ["| " + " | ".join(show(v) for v in r) + " |" for r in df.limit(rows).collect()])
+    found = df.limit(rows + 1).collect()
+    lines += ["| " + " | ".join(show(v) for v in r) + " |" for r in found[:rows]]
+    if len(found) > rows:
+        lines.append(f"\n{df.count() - rows} more rows are not shown.")
+    return "\n".join(lines)
