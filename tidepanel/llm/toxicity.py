@@ -452,7 +452,10 @@ def learn(voted: DataFrame, voters: Voters, prior: float) -> ToxicityModel:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(kept, pa.list_(pa.int32()))], ["post", "x"])
 
     table = believed.mapInArrow(narrow, "post double, x array<int>").toArrow()
-    weights, constant = fit_sparse_logistic([np.array(x, dtype=np.int64) for x in table.column("x").to_pylist()], table.column("post").to_numpy(), len(wanted), PENALTY)
+    lists = table.column("x").combine_chunks()
+    # views of one array, not a list for each text
+    rows = np.split(lists.values.to_numpy(), lists.offsets.to_numpy()[1:-1]) if len(lists) else []
+    weights, constant = fit_sparse_logistic(rows, table.column("post").to_numpy(), len(wanted), PENALTY)
     return ToxicityModel({int(wanted[i]): float(weights[i]) for i in np.flatnonzero(weights)}, constant, voters, model)
 
 
