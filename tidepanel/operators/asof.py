@@ -9,6 +9,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+#: Beginning of the names of forward returns.
+FORWARD = "fwd_ret_"
+
 
 def latest(df: DataFrame, keys: list[str], *order: str) -> DataFrame:
     """One row for each key: the last by ``order``."""
@@ -48,21 +51,24 @@ def asof_join(left: DataFrame, right: DataFrame, on: str, left_time: str, right_
 def forward_returns(panel: DataFrame, prices: DataFrame, horizons: list[int], *, key: str = "ticker", date: str = "date", price: str = "adj_close", tolerance_days: int = 7, label=None) -> DataFrame:
     """``panel`` with ``fwd_ret_<label>`` for each horizon in weeks.
 
-    All shifted dates go through one as-of pass; a target date beyond the last known price by more than
-    the tolerance gives null.
+    The close is the last one on the shifted day or up to ``tolerance_days`` before it; without one the label is null. Panel and quotes
+    are stacked and one window over the days of a key reads all horizons: one exchange and one sort, and no join back. Rows without a
+    key or date, or without a positive price, have no label.
     """
     from tidepanel.functions.calendar import horizon_label
 
     label = label or horizon_label
-    base = panel.select(key, date, price).where(F.col(price) > 0)
-    shifted = base.withColumn("_h", F.explode(F.array(*[F.lit(h) for h in horizons]))).withColumn("_target", F.date_add(date, F.col("_h") * 7))
-    quotes = prices.where(F.col(price) > 0).select(key, F.col(date).alias("_d"), F.col(price).alias("_px"))
-    hit = asof_join(shifted, quotes, key, "_target", "_d", ["_px"], tolerance_days=tolerance_days, time_as="_at")
+    day = lambda c: F.unix_date(F.to_date(F.col(c)))
+    rows = panel.select(F.struct(*[F.col(f"`{c}`") for c in panel.columns]).alias("_row"), F.col(key).alias("_key"), day(date).alias("_day"), F.lit(None).cast("struct<day:int,px:double>").alias("_quote"))
+    quote = F.struct(day(date).alias("day"), F.col(price).cast("double").alias("px"))
+    quotes = prices.where((F.col(price) > 0) & F.col(key).isNotNull()).select(F.lit(None).cast(rows.schema["_row"].dataType).alias("_row"), F.col(key).alias("_key"), day(date).alias("_day"), quote.alias("_quote"))
+    days = Window.partitionBy("_key").orderBy("_day")
+    seen = {f"_q{h}": F.last("_quote", ignorenulls=True).over(days.rangeBetween(7 * h - tolerance_days, 7 * h)) for h in horizons}
+    out = rows.unionByName(quotes).withColumns(seen).where("_row IS NOT NULL")
+    own = F.col("_row").getField(price)
     # a price that is no later than the start says nothing about the future
-    value = F.when(F.col("_at") > F.col(date), F.try_divide("_px", price) - 1)
-    wide = hit.select(key, date, *[F.when(F.col("_h") == h, value).alias(f"fwd_ret_{label(h)}") for h in horizons])
-    wide = wide.groupBy(key, date).agg(*[F.max(f"fwd_ret_{label(h)}").alias(f"fwd_ret_{label(h)}") for h in horizons])
-    return panel.join(wide, [key, date], "left")
+    labels = [F.when((own > 0) & (F.col(f"_q{h}.day") > F.col("_day")), F.try_divide(F.col(f"_q{h}.px"), own) - 1).alias(f"{FORWARD}{label(h)}") for h in horizons]
+    return out.select(*[F.col("_row").getField(c).alias(c) for c in panel.columns], *labels)
 
 
 def membership(changes: DataFrame, current: DataFrame, dates: DataFrame) -> DataFrame:

@@ -46,15 +46,17 @@ def numbers_and_choices(spark, d):
     )
 
 
-_DAYS = "(SELECT unnest(generate_series(DATE '1996-01-01', DATE '1998-12-31', INTERVAL 1 DAY))::DATE AS date)"
-
-
-@query(f"""SELECT 'friday' AS kind, date FROM {_DAYS} WHERE isodow(date) = 5 UNION ALL SELECT 'month', date FROM {_DAYS} WHERE date = last_day(date) UNION ALL SELECT 'quarter', date FROM {_DAYS} WHERE date = last_day(date) AND month(date) % 3 = 0
-UNION ALL SELECT 'back', DATE '1998-12-25' - 7 * i::INT FROM range(10) AS r(i)""")
+@query("""WITH o AS (SELECT CAST(o_orderdate AS DATE) AS day FROM orders), s AS (SELECT min(day) AS a, max(day) AS b FROM o), d AS (SELECT unnest(generate_series(a, b, INTERVAL 1 DAY))::DATE AS date FROM s),
+ends AS (SELECT 'friday' AS kind, date FROM d WHERE isodow(date) = 5 UNION ALL SELECT 'month', date FROM d WHERE date = last_day(date) UNION ALL SELECT 'quarter', date FROM d WHERE date = last_day(date) AND month(date) % 3 = 0
+UNION ALL SELECT 'back', b - ((isodow(b) + 2) % 7)::INT - 7 * i::INT FROM s, range(10) AS r(i))
+SELECT kind, date, (SELECT count(*) FROM o WHERE day = date) AS n_orders FROM ends""")
 def period_ends(spark, d):
-    span = ("1996-01-01", "1998-12-31")
-    kinds = {"friday": cal.week_ends(spark, *span), "month": cal.month_ends(spark, *span), "quarter": cal.quarter_ends(spark, *span), "back": cal.fridays_back(spark, 10, "1998-12-31")}
-    return xsection.union_all(*[df.select(F.lit(k).alias("kind"), "date") for k, df in kinds.items()])
+    """Ends of weeks, months and quarters between the first and the last order, with the orders of that day."""
+    days = read(spark, d, "orders").select(F.to_date("o_orderdate").alias("date"))
+    first, last = (str(x) for x in days.agg(F.min("date"), F.max("date")).first())
+    kinds = {"friday": cal.week_ends(spark, first, last), "month": cal.month_ends(spark, first, last), "quarter": cal.quarter_ends(spark, first, last), "back": cal.fridays_back(spark, 10, last)}
+    ends = xsection.union_all(*[df.select(F.lit(k).alias("kind"), "date") for k, df in kinds.items()])
+    return ends.join(days.groupBy("date").agg(F.count(F.lit(1)).alias("n_orders")), "date", "left").fillna(0, ["n_orders"])
 
 
 @query(f"""WITH {PANEL}, s AS (SELECT *, adj_close / lag(adj_close) OVER ({W}) - 1 AS r, coalesce((short_pct > lag(short_pct) OVER ({W}))::INT, 0)::DOUBLE AS up, adj_close / lag(adj_close, 12) OVER ({W}) - 1 AS mom, list(short_pct) OVER ({trail(52)}) AS seen FROM panel),
@@ -153,9 +155,13 @@ def fold_group_sizes(spark, d):
     return splits.group_sizes(panel(spark, d).where("adj_close > 1000"))
 
 
-@query(f"WITH {PANEL} SELECT date, ticker, round(adj_close, 6) AS adj_close, round(volume, 6) AS volume FROM panel")
+@query(f"WITH {PANEL} SELECT date, ticker, round(adj_close, 6) AS level, volume AS traded, round(short_pct, 6) AS si_level, short_positions AS held FROM panel")
 def endpoint_columns(spark, d):
-    return build.unprefixed(build.prefixed(panel(spark, d).select("date", "ticker", "adj_close", "volume"), "px"), ["px"])
+    """Two endpoints with a column of the same name: without prefixes the first one's keeps it, the other stays apart."""
+    p = panel(spark, d)
+    prices = build.prefixed(p.select("date", "ticker", F.col("adj_close").alias("level"), F.col("volume").alias("traded")), "px")
+    shorts = build.prefixed(p.select("date", "ticker", F.col("short_pct").alias("level"), F.col("short_positions").alias("held")), "si")
+    return build.unprefixed(prices.join(shorts, ["date", "ticker"]), ["px", "si"])
 
 
 @query(f"""WITH {PANEL}, c AS (SELECT *, count(*) OVER (PARTITION BY date) AS n, count(DISTINCT sector) OVER (PARTITION BY date) + count(DISTINCT industry) OVER (PARTITION BY date) AS k, avg(ln(adj_close)) OVER (PARTITION BY date) AS m, avg(ln(adj_close)) OVER (PARTITION BY date, sector) AS ms FROM panel WHERE sector IS NOT NULL)

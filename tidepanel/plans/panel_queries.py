@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tidepanel.features import build, families
@@ -215,7 +216,11 @@ def leverage_growth_features(spark, d):
 
 @query()
 def feature_matrix(spark, d):
-    return build.build_features(panel(spark, d), families=("price", "short", "liquidity"))
+    """All six families over the panel with the filings known at each date, ranks of every factor, and sector dummies."""
+    names = [r["n_name"] for r in read(spark, d, "nation").select("n_name").orderBy("n_name").collect()]
+    f = filings(spark, d)
+    known = asof.asof_join(panel(spark, d), f, "ticker", "date", "accepted_date", [c for c in f.columns if c != "ticker"])
+    return build.build_features(known, sectors=names)
 
 
 @query(f"WITH {PANEL}, c AS (SELECT date, ticker, adj_close / lag(adj_close) OVER ({W}) - 1 AS change FROM panel) SELECT date, ticker, round(change, 6) AS change FROM c WHERE abs(change) > 1.5")
@@ -234,17 +239,18 @@ def month_snapshot(spark, d):
     return windows.month_snapshot(panel(spark, d)).select("date", "ticker", "adj_close")
 
 
-@query("""WITH log AS (SELECT CAST(user_id AS VARCHAR) AS symbol, CAST(ts AS DATE) AS date, max(CASE WHEN event_type IN (SELECT min(event_type) FROM events) THEN 1 ELSE 0 END) AS gone FROM events WHERE event_type IN (SELECT min(event_type) FROM events UNION ALL SELECT max(event_type) FROM events) GROUP BY 1, 2),
-syms AS (SELECT DISTINCT symbol FROM log), cur AS (SELECT symbol FROM syms WHERE symbol LIKE '%1'), days AS (SELECT DISTINCT last_day(CAST(ts AS DATE)) AS date FROM events),
-nx AS (SELECT d.date, s.symbol, (SELECT arg_min(gone, l.date) FROM log l WHERE l.symbol = s.symbol AND l.date > d.date) AS g FROM days d, syms s)
-SELECT date, symbol FROM nx WHERE CASE WHEN g = 1 THEN true WHEN g = 0 THEN false ELSE symbol IN (SELECT symbol FROM cur) END""")
+@query("""WITH kinds AS (SELECT event_type, ntile(2) OVER (ORDER BY event_type) = 1 AS off FROM (SELECT DISTINCT event_type FROM events WHERE event_type IS NOT NULL)),
+log AS (SELECT CAST(user_id AS VARCHAR) AS symbol, CAST(ts AS DATE) AS date, max(off::INT) AS gone FROM events JOIN kinds ON kinds.event_type = events.event_type GROUP BY 1, 2),
+syms AS (SELECT symbol, arg_max(gone, date) = 0 AS held FROM log GROUP BY 1), days AS (SELECT DISTINCT last_day(CAST(ts AS DATE)) AS date FROM events),
+nx AS (SELECT d.date, s.symbol, s.held, (SELECT arg_min(gone, l.date) FROM log l WHERE l.symbol = s.symbol AND l.date > d.date) AS g FROM days d, syms s)
+SELECT date, symbol FROM nx WHERE CASE WHEN g = 1 THEN true WHEN g = 0 THEN false ELSE held END""")
 def membership_panel(spark, d):
+    """All events are changes: the first half of the types, by name, take a symbol off the list, the others put it on; those last put on are its members today."""
     e = read(spark, d, "events")
-    kinds = e.agg(F.min("event_type").alias("a"), F.max("event_type").alias("b"))
-    log = e.join(F.broadcast(kinds), (F.col("event_type") == F.col("a")) | (F.col("event_type") == F.col("b")))
-    log = log.select(F.col("user_id").cast("string").alias("symbol"), F.to_date("ts").alias("date"), F.when(F.col("event_type") == F.col("a"), "removed").otherwise("added").alias("op"))
-    current = log.select("symbol").distinct().where(F.col("symbol").endswith("1"))
-    return asof.membership(log, current, e.select(F.last_day(F.to_date("ts")).alias("date")).distinct())
+    kinds = e.where("event_type IS NOT NULL").select("event_type").distinct().withColumn("off", F.ntile(2).over(Window.orderBy("event_type")) == 1)
+    log = e.join(kinds, "event_type").select(F.col("user_id").cast("string").alias("symbol"), F.to_date("ts").alias("date"), F.when(F.col("off"), "removed").otherwise("added").alias("op"))
+    last = log.groupBy("symbol").agg(F.max(F.struct("date", "op")).alias("s"))  # of one day's changes a removal counts
+    return asof.membership(log, last.where("s.op = 'added'").select("symbol"), e.select(F.last_day(F.to_date("ts")).alias("date")).distinct())
 
 
 @query(f"WITH {PANEL}, k AS (SELECT *, row_number() OVER (PARTITION BY date ORDER BY short_pct DESC, ticker) AS r, count(*) OVER (PARTITION BY date) AS n FROM panel WHERE short_pct IS NOT NULL) SELECT date, ticker, round(-1.0 / 20, 6) AS weight, -1 AS side FROM k WHERE r <= 20 AND n >= 20")
