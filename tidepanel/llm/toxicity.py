@@ -316,23 +316,44 @@ def fit_label_model(votes: np.ndarray, sides: np.ndarray, prior: float, rounds:
 def fit_sparse_logistic(rows: list[np.ndarray], y: np.ndarray, width: int, penalty: float, rounds: int = 500) -> tuple[np.ndarray, float]:
     """Weights and constant of a logistic regression on 0/1 features with soft labels.
 
-    ``rows``: the features that each text has. ``penalty`` times the texts is the price of a weight's size;
-    accelerated proximal steps, for each weight of the length that its curvature allows; momentum that points uphill is dropped. Weights that still move after ``rounds``
-    give a warning.
+    ``rows``: the features that each text has. ``penalty`` times the texts is the price of a weight's size. Only features that are not
+    at zero, or would not stay there, are stepped; when these have settled, all are looked at again. Weights that still
+    move after ``rounds`` steps give a warning.
     """
     n = len(rows)
     where = np.repeat(np.arange(n), [len(r) for r in rows])
     cells = np.concatenate([np.empty(0, np.int64), *rows]).astype(np.int64)
     share = float(np.clip(y.mean(), 1e-6, 1 - 1e-6))
-    w, bias = np.zeros(width), math.log(share / (1 - share))
+    w, bias, moved = np.zeros(width), math.log(share / (1 - share)), np.inf
+    wrong = (share - y) / n
+    while rounds > 0:
+        pull = np.abs(np.bincount(cells, weights=wrong[where], minlength=width))
+        active = (w != 0) | (pull > penalty)
+        if moved < 1e-3 and not (active & (w == 0) & (pull > 1.01 * penalty)).any():
+            break
+        own = active[cells]
+        place = np.cumsum(active) - 1
+        part, bias, wrong, moved, used = _proximal_steps(where[own], place[cells[own]], y, w[active], bias, penalty, rounds)
+        w = np.zeros(width)
+        w[active] = part
+        rounds -= used
+    else:
+        warnings.warn(f"the classifier's weights still moved by {moved:.2g} when steps ran out", stacklevel=2)
+    return w, bias
+
+
+def _proximal_steps(where: np.ndarray, cells: np.ndarray, y: np.ndarray, w: np.ndarray, bias: float, penalty: float, rounds: int) -> tuple[np.ndarray, float, np.ndarray, float, int]:
+    """Accelerated proximal steps, for each weight of the length that its curvature allows; momentum that points uphill is dropped."""
+    n, width = len(y), len(w)
     # along each weight the curvature is at most a quarter of the sum of its texts' features, over the texts
     sizes = np.bincount(where, minlength=n) + 1.0
     steep = np.maximum(0.25 * np.bincount(cells, weights=sizes[where], minlength=width) / n, 1e-12)
     steep_bias = 0.25 * float(sizes.mean())
-    at, at_bias, momentum = w.copy(), bias, 1.0
-    for _ in range(rounds):
-        p = 1 / (1 + np.exp(-np.clip(at_bias + np.bincount(where, weights=at[cells], minlength=n), -30, 30)))
-        wrong = (p - y) / n
+    at, at_bias, momentum, moved, used = w.copy(), bias, 1.0, np.inf, 0
+    slopes = lambda v, b: (1 / (1 + np.exp(-np.clip(b + np.bincount(where, weights=v[cells], minlength=n), -30, 30))) - y) / n
+    while used < rounds and moved >= 1e-3:
+        used += 1
+        wrong = slopes(at, at_bias)
         step = at - np.bincount(cells, weights=wrong[where], minlength=width) / steep
         new, new_bias = np.sign(step) * np.maximum(np.abs(step) - penalty / steep, 0), at_bias - wrong.sum() / steep_bias
         if float(np.dot((at - new) * steep, new - w)) + (at_bias - new_bias) * (new_bias - bias) * steep_bias > 0:
@@ -341,11 +362,7 @@ def fit_sparse_logistic(rows: list[np.ndarray], y: np.ndarray, width: int, penal
         at, at_bias = new + (momentum - 1) / after * (new - w), new_bias + (momentum - 1) / after * (new_bias - bias)
         moved = max(float(np.abs(new - w).max(initial=0.0)), abs(new_bias - bias))
         w, bias, momentum = new, new_bias, after
-        if moved < 1e-3:
-            break
-    else:
-        warnings.warn(f"the classifier's weights still moved by {moved:.2g} after {rounds} rounds", stacklevel=2)
-    return w, bias
+    return w, bias, slopes(w, bias), moved, used
 
 
 def cells_of(word: str) -> list[int]:
