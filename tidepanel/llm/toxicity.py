@@ -321,18 +321,18 @@ def fit_sparse_logistic(rows: list[np.ndarray], y: np.ndarray, width: int, penal
     move after ``rounds`` steps give a warning.
     """
     n = len(rows)
-    where = np.repeat(np.arange(n), [len(r) for r in rows])
-    cells = np.concatenate([np.empty(0, np.int64), *rows]).astype(np.int64)
+    where = np.repeat(np.arange(n, dtype=np.int32), [len(r) for r in rows])
+    cells = np.concatenate([np.empty(0, np.int32), *rows], dtype=np.int32, casting="unsafe")
     share = float(np.clip(y.mean(), 1e-6, 1 - 1e-6))
     w, bias, moved = np.zeros(width), math.log(share / (1 - share)), np.inf
     wrong = (share - y) / n
     while rounds > 0:
-        pull = np.abs(np.bincount(cells, weights=wrong[where], minlength=width))
+        pull = np.abs(_added(cells, wrong, where, width))
         active = (w != 0) | (pull > penalty)
         if moved < 1e-3 and not (active & (w == 0) & (pull > 1.01 * penalty)).any():
             break
         own = active[cells]
-        place = np.cumsum(active) - 1
+        place = (np.cumsum(active) - 1).astype(np.int32)
         part, bias, wrong, moved, used = _proximal_steps(where[own], place[cells[own]], y, w[active], bias, penalty, rounds)
         w = np.zeros(width)
         w[active] = part
@@ -342,19 +342,28 @@ def fit_sparse_logistic(rows: list[np.ndarray], y: np.ndarray, width: int, penal
     return w, bias
 
 
+def _added(to: np.ndarray, values: np.ndarray, of: np.ndarray, width: int) -> np.ndarray:
+    """``values[of]`` added up by ``to``, a part at a time: the driver holds no copy of all of them."""
+    out = np.zeros(width)
+    for start in range(0, len(to), 1 << 19):
+        part = slice(start, start + (1 << 19))
+        out += np.bincount(to[part], weights=values[of[part]], minlength=width)
+    return out
+
+
 def _proximal_steps(where: np.ndarray, cells: np.ndarray, y: np.ndarray, w: np.ndarray, bias: float, penalty: float, rounds: int) -> tuple[np.ndarray, float, np.ndarray, float, int]:
     """Accelerated proximal steps, for each weight of the length that its curvature allows; momentum that points uphill is dropped."""
     n, width = len(y), len(w)
     # along each weight the curvature is at most a quarter of the sum of its texts' features, over the texts
     sizes = np.bincount(where, minlength=n) + 1.0
-    steep = np.maximum(0.25 * np.bincount(cells, weights=sizes[where], minlength=width) / n, 1e-12)
+    steep = np.maximum(0.25 * _added(cells, sizes, where, width) / n, 1e-12)
     steep_bias = 0.25 * float(sizes.mean())
     at, at_bias, momentum, moved, used = w.copy(), bias, 1.0, np.inf, 0
-    slopes = lambda v, b: (1 / (1 + np.exp(-np.clip(b + np.bincount(where, weights=v[cells], minlength=n), -30, 30))) - y) / n
+    slopes = lambda v, b: (1 / (1 + np.exp(-np.clip(b + _added(where, v, cells, n), -30, 30))) - y) / n
     while used < rounds and moved >= 1e-3:
         used += 1
         wrong = slopes(at, at_bias)
-        step = at - np.bincount(cells, weights=wrong[where], minlength=width) / steep
+        step = at - _added(cells, wrong, where, width) / steep
         new, new_bias = np.sign(step) * np.maximum(np.abs(step) - penalty / steep, 0), at_bias - wrong.sum() / steep_bias
         if float(np.dot((at - new) * steep, new - w)) + (at_bias - new_bias) * (new_bias - bias) * steep_bias > 0:
             momentum = 1.0
@@ -468,6 +477,7 @@ def learn(voted: DataFrame, voters: Voters, prior: float) -> ToxicityModel:
             kept = [np.flatnonzero(np.isin(wanted, c, assume_unique=True)) for c in column_list(batch, "cells")]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(kept, pa.list_(pa.int32()))], ["post", "x"])
 
+    del got
     table = believed.mapInArrow(narrow, "post double, x array<int>").toArrow()
     lists = table.column("x").combine_chunks()
     # views of one array, not a list for each text
