@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
-from tidepanel.features import build, families
+from tidepanel.features import build, families, refresh
 from tidepanel.functions import calendar as cal
 from tidepanel.functions import nulls, text
 from tidepanel.models import attribution, audit, boosting, scores, splits
@@ -16,6 +18,7 @@ from tidepanel.plans.report_queries import _features
 from tidepanel.plans.tables import FILINGS, PANEL, filings, panel, read, registrar
 from tidepanel.portfolio import metrics
 from tidepanel.reports import tables as reports
+from tidepanel.sources.shared import shared_folder, stored
 
 QUERIES, SQL = {}, {}
 query = registrar(QUERIES, SQL)
@@ -227,6 +230,19 @@ def signal_report(spark, d):
     return reports.signal_report(_scored(spark, d), "naive")
 
 
+@query(f"""WITH {PANEL}, m AS (SELECT *, adj_close / lag(adj_close, 4) OVER ({W}) - 1 AS mom_1m, adj_close / lag(adj_close, 52) OVER ({W}) - 1 AS mom_12m FROM panel)
+SELECT date, ticker, round(mom_1m, 6) AS mom_1m, round(mom_12m, 6) AS mom_12m, round({PCT.format(x='mom_1m')}, 6) AS mom_1m_rk, round({PCT.format(x='short_pct')}, 6) AS short_pct_rk FROM m""")
+def refreshed_features(spark, d):
+    """Features of the panel laid out by week, built up to its last eight weeks and then refreshed with these."""
+    place = f"{shared_folder(spark)}/weekly-{uuid.uuid4().hex}"
+    weeks, rows = f"{place}/panel", stored(panel(spark, d), "panel")
+    cut = rows.agg(F.date_sub(F.max("date"), 56)).first()[0]
+    for part in (F.col("date") <= cut, F.col("date") > cut):
+        refresh.write_weeks(rows.where(part), weeks)
+        refresh.refresh_features(spark, weeks, f"{place}/out", families=("price", "short"))
+    return refresh.current_features(spark, f"{place}/out").select("date", "ticker", "mom_1m", "mom_12m", "mom_1m_rk", "short_pct_rk")
+
+
 def _trained(spark, d):
     f = xsection.with_decile_label(_features(spark, d), "fwd")
     return scores.with_labels(f, "fwd"), ["short_pct_rk", "mom_rk", "volume_rk"]
