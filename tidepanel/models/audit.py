@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidepanel.operators.xsection import bucket_spread, ic, ic_summary, rank_ic, union_all
+from tidepanel.operators.xsection import guarded_corr, ic, ic_stats, ic_summary, qcut_bucket, rank_ic
 
 
 def factor_long(df: DataFrame, factors: list[str], target: str) -> DataFrame:
@@ -26,13 +26,26 @@ def factor_audit(df: DataFrame, factors: list[str], target: str, *, signs: dict[
 
 
 def model_table(scores: DataFrame, score: str = "score", target: str = "fwd_ret", n: int = 10) -> DataFrame:
-    """model × (ALL, IS, OOS): rank IC statistics and the mean spread of the buckets."""
-    both = union_all(scores.withColumn("period", F.lit("ALL")), scores) if "period" in scores.columns else scores.withColumn("period", F.lit("ALL"))
-    keyed = both.withColumn("_g", F.concat_ws("|", "model", "period", F.col("date").cast("string")))
-    per = rank_ic(keyed, score, target, by="_g").join(bucket_spread(keyed, score, target, n, by="_g"), "_g")
-    per = per.withColumns({"model": F.split("_g", r"\|")[0], "period": F.split("_g", r"\|")[1]})
-    spreads = per.groupBy("model", "period").agg(F.avg("spread").alias("mean_spread"))
-    return ic_summary(per, "ic", ["model", "period"]).join(spreads, ["model", "period"])
+    """model × (ALL, IS, OOS): rank IC statistics and the mean spread of the buckets.
+
+    Complete pairs are copied into their period and ALL and dealt out once by (model, period, date). Ranks and
+    buckets are windows over that one partitioning, and one aggregate takes both statistics from it.
+    """
+    periods = F.array(*([F.col("period")] if "period" in scores.columns else []), F.lit("ALL"))
+    keys = ["model", "_period", "date"]
+    pairs = scores.where(F.col(score).isNotNull() & F.col(target).isNotNull())
+    pairs = pairs.select("model", F.explode(periods).alias("_period"), "date", "ticker", F.col(score).alias("_x"), F.col(target).alias("_y")).repartition(*keys)
+    group = Window.partitionBy(*keys)
+
+    def place(c: str) -> Column:
+        peers = group.orderBy(c).rangeBetween(Window.currentRow, Window.currentRow)
+        return F.rank().over(group.orderBy(c)) + (F.count(F.lit(1)).over(peers) - 1) / 2
+
+    bucket = qcut_bucket(F.row_number().over(group.orderBy("_x", "ticker")), F.count(F.lit(1)).over(group), n)
+    placed = pairs.withColumns({"_a": place("_x"), "_b": place("_y"), "_bucket": bucket})
+    end = lambda b: F.avg(F.when(F.col("_bucket") == b, F.col("_y")))
+    per = placed.groupBy(*keys).agg(F.round(guarded_corr(F.col("_a"), F.col("_b")), 12).alias("ic"), F.when(F.count(F.lit(1)) >= n, end(n - 1) - end(0)).alias("spread"))
+    return per.groupBy("model", F.col("_period").alias("period")).agg(*ic_stats(F.col("ic")), F.avg("spread").alias("mean_spread")).where("n > 0")
 
 
 def pooled_bucket_means(scores: DataFrame, n: int = 12, score: str = "score", target: str = "fwd_ret") -> DataFrame:

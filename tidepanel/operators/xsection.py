@@ -126,11 +126,16 @@ def rank_ic(df: DataFrame, pred: str, target: str, by: str | list[str] = "date",
     return groups.join(got, keys, "left")
 
 
+def ic_stats(x: Column) -> list[Column]:
+    """Aggregates of the non-null values: mean, sample deviation, t, share above 0 and number."""
+    n, m, s = F.count(x), F.avg(x), F.stddev_samp(x)
+    return [m.alias("mean"), s.alias("std"), F.when(s > 0, m / (s / F.sqrt(n))).alias("t"), F.avg((x > 0).cast("double")).alias("hit"), n.alias("n")]
+
+
 def ic_summary(df: DataFrame, name: str = "ic", by: list[str] | None = None) -> DataFrame:
-    """Mean, sample deviation, t, share above 0 and number of the non-null values."""
+    """``ic_stats`` by group; groups without a value are left out."""
     x = F.col(name)
-    n, m, s = F.count(x), F.avg(x), F.stddev_samp(x)
-    return df.where(x.isNotNull()).groupBy(*(by or [])).agg(m.alias("mean"), s.alias("std"), F.when(s > 0, m / (s / F.sqrt(n))).alias("t"), F.avg((x > 0).cast("double")).alias("hit"), n.alias("n"))
+    return df.where(x.isNotNull()).groupBy(*(by or [])).agg(*ic_stats(x))
 
 
 def bucket_spread(df: DataFrame, pred: str, target: str, n: int = 10, by: str = "date", tie: str = "ticker") -> DataFrame:
