@@ -93,6 +93,43 @@ def test_ids_equal_the_library(text):
     assert packing.ids_of_texts([text], WORDS) == [struct.pack(f"<{len(want)}I", *want)]
 
 
+class Counted:
+    """A library object that counts what is asked of it."""
+
+    def __init__(self, inner, calls):
+        self.inner, self.calls = inner, calls
+
+    def __getattr__(self, name):
+        self.calls.append(name)
+        return getattr(self.inner, name)
+
+
+def plain_words(n, rng):
+    return sorted({"".join(rng.choice(["th", "on", "ê", "Er", "ß", "x", "ly"]) for _ in range(rng.randint(1, 6))) + rng.choice(["", ",", ".%%%", "!"]) for _ in range(n)})
+
+
+def test_plain_words_go_to_the_library_many_to_a_call():
+    own, calls = packing.IdCodec(WORDS), []
+    words = plain_words(3000, random.Random(1))
+    whole = own.tokenizer
+    own.tokenizer = Counted(whole, calls)
+    if hasattr(own, "merges"):
+        own.merges = Counted(own.merges, calls)
+    got = own.encode(words)
+    assert own.simple and len(words) > 1500 and len(calls) < 20
+    assert got == [own._pack(whole.encode(w, add_special_tokens=False).ids) for w in words]
+
+
+def test_ids_of_odd_chunks_among_plain_ones(monkeypatch):
+    own = packing.IdCodec(WORDS)
+    odd = ["", "it's", "a</w>b", "x\ry", "p\u2028q", "a\x85b", "n\xa0m", "日本", "e\u0301a", "A1", "...", "ÿ,", "Straße", "<|endoftext|>", "a\nb", "İa"]
+    want = [own._pack(own.tokenizer.encode(c, add_special_tokens=False).ids) for c in odd * 40]
+    assert own.encode(odd * 40) == want
+    assert own.encode([]) == [] and own.encode(["", "1"]) == [want[0], own._pack(own.tokenizer.encode("1").ids)]
+    monkeypatch.setattr(own, "closes", np.zeros_like(own.closes))  # ends that do not fit: the whole tokenizer
+    assert own.encode(odd) == want[: len(odd)]
+
+
 def test_packing_is_gapless_and_complete(docs, none):
     rows = packing.pack_documents(docs, WORDS, capacity=64).collect()
     by_seq: dict = {}

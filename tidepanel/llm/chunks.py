@@ -65,12 +65,13 @@ class ChunkTable:
         self.held = 0
 
     def fill(self, chunks: set[str]) -> dict[str, object]:
-        missing = [c for c in chunks if c not in self.known]
-        if self.held + sum(map(len, missing)) > TABLE_BYTES and self.known:
+        missing = list(chunks.difference(self.known))
+        size = sum(map(len, missing))
+        if self.held + size > TABLE_BYTES and self.known:
             self.known.clear()
             self.held = 0
             missing = list(chunks)
-        missing.sort(key=len)
+            size = sum(map(len, missing))
         start, held = 0, 0
         for i, chunk in enumerate(missing):
             held += 4 * len(chunk)
@@ -78,7 +79,7 @@ class ChunkTable:
                 part = missing[start : i + 1]
                 self.known.update(zip(part, self.encode(part), strict=True))
                 start, held = i + 1, 0
-        self.held += sum(map(len, missing))
+        self.held += size
         return self.known
 
 

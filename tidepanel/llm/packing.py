@@ -10,6 +10,7 @@ when the bins in use equal the bound over all pieces, or when one partition is l
 
 from __future__ import annotations
 
+import os
 import re
 import struct
 import zlib
@@ -31,8 +32,10 @@ PARTITION_PIECES = 65_536
 #: Partitions whose open bins meet in one in the next round.
 FAN_IN = 8
 
-#: A chunk of Latin letters and ASCII signs after them: the tokenizer splits it between the two.
-_SIMPLE = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([,.!?;:*$%&#|]*)").fullmatch
+#: By line: a chunk of Latin letters and ASCII signs after them, which the tokenizer splits between the two; of other chunks, two empty texts.
+_SIMPLE = re.compile(r"^(?:([A-Za-zÀ-ÖØ-öø-ÿ]+)([,.!?;:*$%&#|]*)$|.*$)", re.M).findall
+#: Words that go to the library as one text.
+WORDS_AT_ONCE = 250
 _TABLES: dict[str, tuple] = {}
 
 
@@ -53,18 +56,30 @@ class IdCodec:
     """Ids of chunks as little-endian unsigned 32-bit numbers, by the tokenizers library."""
 
     def __init__(self, path: str):
+        # a task has one core: the library's threads would only wait for work
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
+        from tokenizers.pre_tokenizers import WhitespaceSplit
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_padding()
         self.tokenizer.no_truncation()
         self.drops = drops_white_space(self.tokenizer.to_str())
         self.letters = _byte_letters()
-        self.words: dict[str, bytes] = {}
+        # the merges alone, for words whose bytes are letters already
+        model = self.tokenizer.model
+        self.merges = Tokenizer(model)
+        self.merges.pre_tokenizer = WhitespaceSplit()
+        suffix = getattr(model, "end_of_word_suffix", None) or ""
+        vocabulary = self.tokenizer.get_vocab(with_added_tokens=False)
+        self.closes = np.zeros(max(vocabulary.values(), default=0) + 1, dtype=bool)
+        self.closes[[i for t, i in vocabulary.items() if suffix and t.endswith(suffix)]] = True
+        self.signs: dict[str, bytes] = {"": b""}
         # plain words may go to the merges at once only where that gives what the whole tokenizer gives
         probes = ["Straße", "señor", "êtreÀ", "dog", "THE", "ÿ", "ŵ".encode().decode("latin-1")[:1] + "x"]
-        self.simple = self.drops and all(self._word(p.lower()) + self._word("...") == self._pack(self._whole(p + "...")) for p in probes)
-        self.words.clear()
+        self.simple = self.drops and bool(suffix)
+        self.simple = self.simple and self._words([p.lower() for p in probes]) == [self._pack(self._whole(p)) for p in probes]
+        self.simple = self.simple and all(self._pack(self._whole(p)) + self._pack(self._whole("...")) == self._pack(self._whole(p + "...")) for p in probes)
 
     @staticmethod
     def _pack(ids: list[int]) -> bytes:
@@ -73,27 +88,37 @@ class IdCodec:
     def _whole(self, text: str) -> list[int]:
         return self.tokenizer.encode(text, add_special_tokens=False).ids
 
-    def _word(self, word: str) -> bytes:
-        found = self.words.get(word)
+    def _words(self, words: list[str]) -> list[bytes] | None:
+        """Ids of lower-case words of letters, many to a call; the end of a word is told by its last token. None if the ends do not fit."""
+        spelt = [w if w.isascii() else w.encode().decode("latin-1").translate(self.letters) for w in words]
+        texts = [" ".join(spelt[i : i + WORDS_AT_ONCE]) for i in range(0, len(spelt), WORDS_AT_ONCE)]
+        ids: list[int] = []
+        for found in self.merges.encode_batch_fast(texts, add_special_tokens=False):
+            ids += found.ids
+        packed = np.array(ids, dtype="<u4")
+        data = packed.tobytes()
+        ends = (4 * (np.flatnonzero(self.closes[packed]) + 1)).tolist()
+        if len(ends) != len(words) or (ends and ends[-1] != len(data)):
+            return None
+        return [data[a:b] for a, b in zip([0, *ends], ends, strict=False)]
+
+    def _signs(self, signs: str) -> bytes:
+        found = self.signs.get(signs)
         if found is None:
-            if len(self.words) > 200_000:
-                self.words.clear()
-            found = self._pack([t.id for t in self.tokenizer.model.tokenize(word.encode().decode("latin-1").translate(self.letters))]) if word else b""
-            self.words[word] = found
+            if len(self.signs) > 10_000:
+                self.signs = {"": b""}
+            found = self.signs[signs] = self._pack(self._whole(signs))
         return found
 
     def encode(self, chunks: list[str]) -> list[bytes]:
-        out: list[bytes | None] = [None] * len(chunks)
-        rest = []
-        for i, chunk in enumerate(chunks):
-            if self.simple and (m := _SIMPLE(chunk)):
-                out[i] = self._word(m[1].lower()) + self._word(m[2])
-            else:
-                rest.append(i)
-        if rest:
-            for i, e in zip(rest, self.tokenizer.encode_batch([chunks[i] for i in rest], add_special_tokens=False), strict=True):
-                out[i] = self._pack(e.ids)
-        return out
+        halves = _SIMPLE("\n".join(chunks)) if self.simple else []
+        words = self._words([a.lower() for a, _ in halves if a])
+        if len(halves) != len(chunks) or words is None:
+            halves, words = [("", "")] * len(chunks), []
+        whole = [c for c, (a, _) in zip(chunks, halves, strict=True) if not a]
+        others = map(self._pack, [e.ids for e in self.tokenizer.encode_batch_fast(whole, add_special_tokens=False)])
+        following = iter(words)
+        return [next(following) + self._signs(b) if a else next(others) for a, b in halves]
 
 
 def ids_of_texts(texts: list[str | None], path: str) -> list[bytes]:
