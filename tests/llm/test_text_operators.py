@@ -50,6 +50,48 @@ def test_agenda_equals_the_library(text):
     assert token_counts.count_texts([text], PIECES) == [len(want)]
 
 
+def odd_chunks(n, rng):
+    letters = ["th", "on", "e", "A", " ", "▁", "\n", "é", "日", "🎉", "\u0378", "aaaa", "<0x0A>", "."]
+    made = {"".join(rng.choice(letters) for _ in range(rng.randint(1, 20))) for _ in range(n)}
+    return sorted(made | {"x" * k for k in (1, 47, 48, 49, 300)} | {"▁", " ", "\n"})
+
+
+def test_short_chunks_share_one_agenda(monkeypatch):
+    own, calls = pieces.PieceCodec(PIECES), []
+    given = odd_chunks(3000, random.Random(2))
+    one_by_one = pieces.PieceCodec.merge
+    monkeypatch.setattr(pieces.PieceCodec, "merge", lambda self, symbols: calls.append(1) or one_by_one(self, symbols))
+    got = own.checked(given)
+    assert len(calls) == sum(len(c) > 48 for c in given) < 300
+    for chunk, (ids, text) in zip(given, got, strict=True):
+        want = own.model.encode(chunk)
+        assert [int(x) for x in ids.split()] == want == own.encode(chunk)
+        assert text.decode()[1:] == own.model.decode(want)
+    assert own.checked([]) == [] and own.checked(["", "th"])[0] == (b"", b"")
+
+
+def test_the_shared_agenda_takes_the_leftmost_of_equal_scores():
+    own = pieces.PieceCodec(PIECES)
+    for chunk in ("aaa", "aaaaa", "thethethe", "ererer", "x" * 48):
+        symbols, sizes = own.merge_many([chunk, "on", chunk])
+        one = own.merge(list("▁" + chunk))
+        assert sizes.tolist() == [len(one), sizes[1], len(one)]
+        assert [own.symbols[n] for n in symbols[: len(one)]] == one == [own.symbols[n] for n in symbols[-len(one) :]]
+
+
+def test_a_difference_from_the_library_stops_the_shared_agenda(monkeypatch):
+    own = pieces.PieceCodec(PIECES)
+    with monkeypatch.context() as m:
+        m.setattr(own, "makes", np.full_like(own.makes, own.makes[-1]))  # no pair is a piece
+        with pytest.raises(ValueError, match="encoding differs"):
+            own.checked(["nation", "with"])
+    number = int(own.merge_many(["with"])[0][0])
+    own.said[number] = own.said[number].upper()
+    monkeypatch.setattr(own, "decode_raw", lambda ids: " WITH")
+    with pytest.raises(ValueError, match="decoding differs"):
+        own.checked(["with"])
+
+
 def test_windows_of_long_texts_change_nothing(monkeypatch):
     text = "ab  cd " * 400 + "x" * 300 + " " + "▁ y " * 50
     monkeypatch.setattr(chunks, "WINDOW", 64)

@@ -3,15 +3,22 @@
 Encoding keeps an agenda of adjacent symbol pairs ordered by the score of the piece that a merge would
 make, the leftmost first among equals. The best pair is merged, its new neighbours join the agenda, and
 pairs that no longer exist are passed over. Symbols that are no piece at the end become byte pieces.
+
+Chunks of usual length share one agenda, held in arrays: each round takes the best pair of every chunk, merges
+it and scores the pairs that its neighbours now make. A longer chunk has an agenda of its own, a heap.
 """
 
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+import sys
+from collections.abc import Iterable, Iterator
 from functools import lru_cache
 from heapq import heapify, heappop, heappush
+from itertools import chain
 
+import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -21,6 +28,8 @@ from tidepanel.llm.common import column_list, slices
 
 MARK = "▁"
 BATCH_BYTES = 2 << 20
+#: Characters of a chunk that joins the shared agenda, which takes a round for each merge of its longest chunk.
+SHARED_CHARS = 48
 
 
 class PieceCodec:
@@ -40,6 +49,97 @@ class PieceCodec:
         # smaller is better: the agenda is a min-heap
         self.rank = {p: -m.get_score(i) for p, i in self.ids.items()}
         self.end = m.eos_id()
+        self._number_symbols()
+
+    def _number_symbols(self) -> None:
+        """Numbers for all that the shared agenda can hold: pieces and characters; other characters get theirs when they occur."""
+        symbols = list(dict.fromkeys(chain(self.rank, *self.rank, MARK)))
+        number = {s: n for n, s in enumerate(symbols)}
+        self.symbols: list[str] = []
+        self.parts: list[list[int]] = []
+        self.spelled: list[bytes] = []
+        self.said: list[bytes] = []
+        self.symbol_of = np.full(sys.maxunicode + 1, -1, dtype=np.int64)
+        self._add_symbols(symbols)
+        pairs = {}
+        for p in self.rank:
+            for k in range(1, len(p)):
+                a, b = number.get(p[:k]), number.get(p[k:])
+                if a is not None and b is not None:
+                    pairs[a << 32 | b] = number[p]
+        self.pairs = pd.Index(np.fromiter(pairs.keys(), np.int64, len(pairs)))
+        # the last entry is that of a pair which is no piece
+        self.makes = np.array([*pairs.values(), len(symbols)], dtype=np.int64)
+        _, order = np.unique([self.rank.get(s, np.inf) for s in symbols] + [np.inf], return_inverse=True)
+        self.order = order.astype(np.int64) << 32
+
+    def _add_symbols(self, symbols: Iterable[str]) -> None:
+        for symbol in symbols:
+            if len(symbol) == 1:
+                self.symbol_of[ord(symbol)] = len(self.symbols)
+            ids = self._ids_of(symbol)
+            self.symbols.append(symbol)
+            self.parts.append(ids)
+            self.spelled.append("".join(f" {i}" for i in ids).encode())
+            self.said.append(self.decode_raw(ids).encode())
+        # by symbol: its ids, bytes of their decimals, bytes of their text
+        self.widths = np.array([list(map(len, t)) for t in (self.parts, self.spelled, self.said)], dtype=np.int64)
+
+    def _ids_of(self, symbol: str) -> list[int]:
+        found = self.ids.get(symbol)
+        if found is not None:
+            return [found]
+        return [self.id_of_byte[b] for b in symbol.encode()] if self.id_of_byte else [self.unknown]
+
+    def merge_many(self, chunks: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """``merge`` of many chunks, none empty: the numbers of their symbols, chunk after chunk, and how many each has."""
+        codes = np.frombuffer((MARK + MARK.join(chunks)).replace(" ", MARK).encode("utf-32-le"), "<u4")
+        symbols = self.symbol_of[codes]
+        if (symbols < 0).any():
+            self._add_symbols(map(chr, np.unique(codes[symbols < 0]).tolist()))
+            symbols = self.symbol_of[codes]
+        sizes = np.fromiter(map(len, chunks), np.int64, len(chunks)) + 1
+        owners = np.arange(len(chunks))
+        none = len(self.order) - 1
+        made = np.full(len(symbols), none)
+        made[:-1] = self._made(symbols[:-1], symbols[1:])
+        made[sizes.cumsum() - 1] = none
+        done, whose = [], []
+        while len(owners):
+            starts = sizes.cumsum() - sizes
+            # the best score of a chunk, the leftmost pair among equals
+            best = np.minimum.reduceat(self.order[made] | np.arange(len(made)), starts)
+            open_ = best < self.order[none]
+            if not open_.all():
+                ended = np.repeat(~open_, sizes)
+                done.append(symbols[ended])
+                whose.append(np.repeat(owners[~open_], sizes[~open_]))
+                kept_before = (~ended).cumsum()
+                symbols, made, owners, sizes, best = symbols[~ended], made[~ended], owners[open_], sizes[open_], best[open_]
+                at = kept_before[best & 0xFFFFFFFF] - 1
+            else:
+                at = best & 0xFFFFFFFF
+            if not len(owners):
+                break
+            symbols[at] = made[at]
+            rest = np.ones(len(symbols), dtype=bool)
+            rest[at + 1] = False
+            last = sizes.cumsum() - 1 == at + 1
+            symbols, made = symbols[rest], made[rest]
+            sizes = sizes - 1
+            at = at - np.arange(len(at))
+            made[at] = none
+            right = at[~last]
+            made[right] = self._made(symbols[right], symbols[right + 1])
+            left = at[at > sizes.cumsum() - sizes]
+            made[left - 1] = self._made(symbols[left - 1], symbols[left])
+        whose = np.concatenate(whose)
+        by_chunk = np.argsort(whose, kind="stable")
+        return np.concatenate(done)[by_chunk], np.bincount(whose, minlength=len(chunks))
+
+    def _made(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        """The symbols that pairs make, by number; the number behind all pieces where they make none."""
+        return self.makes[self.pairs.get_indexer(left << 32 | right)]
 
     def merge(self, symbols: list[str]) -> list[str]:
         """Merge adjacent symbols by the agenda until no neighbouring pair is a piece."""
@@ -76,16 +176,7 @@ class PieceCodec:
         """Ids of a text, without begin and end ids."""
         if not text:
             return []
-        out: list[int] = []
-        for symbol in self.merge(list(MARK + text.replace(" ", MARK))):
-            found = self.ids.get(symbol)
-            if found is not None:
-                out.append(found)
-            elif self.id_of_byte:
-                out.extend(self.id_of_byte[b] for b in symbol.encode())
-            else:
-                out.append(self.unknown)
-        return out
+        return [i for symbol in self.merge(list(MARK + text.replace(" ", MARK))) for i in self._ids_of(symbol)]
 
     def decode_raw(self, ids: list[int]) -> str:
         """Text of ids before the mark of the beginning is taken away."""
@@ -112,17 +203,33 @@ class PieceCodec:
 
     def checked(self, chunks: list[str]) -> list[tuple[bytes, bytes]]:
         """(ids as b" 12 34", decoded bytes) by chunk, after a comparison with the library."""
-        own = [self.encode(c) for c in chunks]
+        shared = [c for c in chunks if 0 < len(c) <= SHARED_CHARS]
+        found = dict(zip(shared, self._checked_together(shared), strict=True)) if shared else {}
+        return [found[c] if c in found else self._checked_alone(c) for c in chunks]
+
+    def _checked_together(self, chunks: list[str]) -> list[tuple[bytes, bytes]]:
+        symbols, sizes = self.merge_many(chunks)
+        counts, lines, texts = (self.widths[k][symbols].cumsum()[sizes.cumsum() - 1] for k in range(3))
+        names = symbols.tolist()
+        ids = list(chain.from_iterable(map(self.parts.__getitem__, names)))
         theirs = self.model.encode(chunks, num_threads=1)
+        same = ids == list(chain.from_iterable(theirs)) and np.array_equal(counts, np.fromiter(map(len, theirs), np.int64, len(theirs)).cumsum())
+        text = b"".join(map(self.said.__getitem__, names))
+        if not same or text.decode()[1:] != self.model.decode(ids):
+            return [self._checked_alone(c, i) for c, i in zip(chunks, np.split(np.array(ids), counts[:-1]), strict=True)]
+        line = b"".join(map(self.spelled.__getitem__, names))
+        lines, texts = lines.tolist(), texts.tolist()
+        return [(line[a:b], text[c:d]) for a, b, c, d in zip([0, *lines], lines, [0, *texts], texts, strict=False)]
+
+    def _checked_alone(self, chunk: str, ids: Iterable[int] | None = None) -> tuple[bytes, bytes]:
+        own = self.encode(chunk) if ids is None else list(map(int, ids))
+        theirs = self.model.encode(chunk)
         if own != theirs:
-            i = next(i for i, (a, b) in enumerate(zip(own, theirs, strict=True)) if a != b)
-            raise ValueError(f"encoding differs from the library's for {chunks[i][:80]!r}: {own[i][:40]} and {theirs[i][:40]}")
-        texts = [self.decode_raw(ids) for ids in own]
-        said = self.model.decode(own)
-        for chunk, raw, other in zip(chunks, texts, said, strict=True):
-            if raw[1:] != other:
-                raise ValueError(f"decoding differs from the library's for {chunk[:80]!r}")
-        return [("".join(f" {i}" for i in ids).encode(), raw.encode()) for ids, raw in zip(own, texts, strict=True)]
+            raise ValueError(f"encoding differs from the library's for {chunk[:80]!r}: {own[:40]} and {theirs[:40]}")
+        raw = self.decode_raw(own)
+        if raw[1:] != self.model.decode(own):
+            raise ValueError(f"decoding differs from the library's for {chunk[:80]!r}")
+        return "".join(f" {i}" for i in own).encode(), raw.encode()
 
 
 def _from_bytes(run: bytearray) -> str:
@@ -146,14 +253,11 @@ def _from_bytes(run: bytearray) -> str:
 def codec(path: str) -> tuple[PieceCodec, ChunkTable]:
     """The codec of a model file and this worker's table of chunks."""
     own = PieceCodec(path)
-    return own, ChunkTable(own.checked, batch_bytes=64 << 10)
+    return own, ChunkTable(own.checked, batch_bytes=512 << 10)
 
 
 def _join(results) -> tuple[bytes, bytes]:
-    ids, texts = [], []
-    for a, b in results:
-        ids.append(a)
-        texts.append(b)
+    ids, texts = zip(*results, strict=True) if (results := list(results)) else ((), ())
     return b"".join(ids), b"".join(texts)
 
 
