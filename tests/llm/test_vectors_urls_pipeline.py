@@ -274,3 +274,31 @@ def test_pipeline_stages_on_odd_rows(spark, tmp_path):
             x = spark.createDataFrame(stage(spark, x, str(tmp_path)).collect(), x.schema)
         assert sorted(str(r["doc_id"]) for r in x.collect()) == (["1", "None"] if part else [])
         assert cp.STAGES[-1][1](spark, x, str(tmp_path)).count() == (2 if part else 0)
+
+
+def test_pipeline_bounds_batches_and_tables(spark, tmp_path, monkeypatch):
+    import corpus_pipeline as cp
+    import pyarrow as pa
+    import public_tokenizers
+    from tidepanel.llm import packing
+
+    def weigh(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([b.nbytes])], ["n"])
+
+    docs = spark.createDataFrame([(i, f"the word {i} " * 100) for i in range(300)], "doc_id bigint, text string").coalesce(1)
+    setting, before = "spark.sql.execution.arrow.maxBytesPerBatch", spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch")
+    monkeypatch.setattr(cp, "BATCH_BYTES", 50_000)
+    try:
+        packed = cp.packing_stage(spark, docs, str(tmp_path))
+        assert packed.select("doc_id").distinct().count() == 300
+        assert max(r["n"] for r in docs.mapInArrow(weigh, "n long").collect()) < 100_000
+    finally:
+        spark.conf.set(setting, before)
+    # a small table gives the same ids and stays in its bound
+    path, texts = public_tokenizers.path("word_bpe_49k.json"), [[f"word{i} other{i}"] for i in range(200)]
+    monkeypatch.setattr(packing, "_TABLES", {})
+    want = [packing.ids_of_texts(t, path) for t in texts]
+    monkeypatch.setattr(packing, "_TABLES", {})
+    assert [packing.ids_of_texts(t, path, 300) for t in texts] == want
+    assert packing._TABLES[path][1].held <= 300

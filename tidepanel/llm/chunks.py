@@ -12,7 +12,8 @@ import re
 from collections.abc import Callable, Iterable
 from functools import lru_cache
 
-#: Bytes of keys after which a worker's table of chunks is emptied.
+#: Bytes of keys after which a worker's table of chunks is emptied, unless a caller says otherwise. With keys, values and slots
+#: a table of short words takes about 25 times as much.
 TABLE_BYTES = 8 << 20
 #: Characters of text whose chunks are held as Python strings at once.
 WINDOW = 1 << 20
@@ -59,15 +60,15 @@ def windows(text: str, cut: Callable[[str], list[str]]) -> Iterable[list[str]]:
 class ChunkTable:
     """Results by chunk. ``fill`` computes the missing ones in batches of bounded bytes."""
 
-    def __init__(self, encode: Callable[[list[str]], list], batch_bytes: int = 256 << 10):
-        self.encode, self.batch_bytes = encode, batch_bytes
+    def __init__(self, encode: Callable[[list[str]], list], batch_bytes: int = 256 << 10, table_bytes: int = TABLE_BYTES):
+        self.encode, self.batch_bytes, self.table_bytes = encode, batch_bytes, table_bytes
         self.known: dict[str, object] = {}
         self.held = 0
 
     def fill(self, chunks: set[str]) -> dict[str, object]:
         missing = list(chunks.difference(self.known))
         size = sum(map(len, missing))
-        if self.held + size > TABLE_BYTES and self.known:
+        if self.held + size > self.table_bytes and self.known:
             self.known.clear()
             self.held = 0
             missing = list(chunks)

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidepanel.llm.chunks import ChunkTable, collect, word_chunks
+from tidepanel.llm.chunks import TABLE_BYTES, ChunkTable, collect, word_chunks
 from tidepanel.llm.common import column_list, discard, fresh, materialize, parts_for, set_aside, slices
 from tidepanel.llm.token_counts import drops_white_space
 
@@ -121,21 +121,23 @@ class IdCodec:
         return [next(following) + self._signs(b) if a else next(others) for a, b in halves]
 
 
-def ids_of_texts(texts: list[str | None], path: str) -> list[bytes]:
-    """The ids of whole texts, each as packed little-endian 32-bit numbers."""
+def ids_of_texts(texts: list[str | None], path: str, table_bytes: int = TABLE_BYTES) -> list[bytes]:
+    """The ids of whole texts, each as packed little-endian 32-bit numbers; ``table_bytes`` of chunks are remembered."""
     if path not in _TABLES:
         own = IdCodec(path)
         _TABLES[path] = (word_chunks if own.drops else (lambda text: [text]), ChunkTable(own.encode))
     cut, table = _TABLES[path]
+    table.table_bytes = table_bytes
     return collect(texts, cut, table, b"".join, b"".join)
 
 
-def cut_pieces(docs: DataFrame, tokenizer: str, *, id_col: str = "doc_id", text_col: str = "text", capacity: int = 2048, end_id: int = 0, payload: str = "ids") -> DataFrame:
+def cut_pieces(docs: DataFrame, tokenizer: str, *, id_col: str = "doc_id", text_col: str = "text", capacity: int = 2048, end_id: int = 0, payload: str = "ids", table_bytes: int = TABLE_BYTES) -> DataFrame:
     """Tokenise whole texts, add ``end_id`` and cut what is longer than ``capacity``.
 
     Returns id, ``piece``, ``start``, ``length`` and ``ids`` (array of int), or with
     ``payload="crc32"`` ``ids_crc32`` in place of the ids, so that no ids travel. A null or empty text
-    is one piece that holds the end id alone.
+    is one piece that holds the end id alone. ``table_bytes``: keys of chunks that a worker remembers between batches;
+    fewer take less memory and more time, and give the same ids.
     """
     kind = dict(docs.dtypes)[id_col]
 
@@ -145,7 +147,7 @@ def cut_pieces(docs: DataFrame, tokenizer: str, *, id_col: str = "doc_id", text_
         for whole in batches:
             for batch in slices(whole, "text", BATCH_BYTES):
                 rows, pieces, starts, lengths, load = [], [], [], [], []
-                for i, packed in enumerate(ids_of_texts(column_list(batch, "text"), tokenizer)):
+                for i, packed in enumerate(ids_of_texts(column_list(batch, "text"), tokenizer, table_bytes)):
                     packed += tail
                     for k, at in enumerate(range(0, len(packed), width)):
                         part = packed[at : at + width]
@@ -305,9 +307,9 @@ def pack(pieces: DataFrame, *, capacity: int = 2048, length_col: str = "length",
     return numbered.join(result.withColumnRenamed("row", row), row, "left").select(*[F.col(f"`{c}`") for c in pieces.columns], "sequence_id", "offset", "partition_bins", "partition_bound")
 
 
-def pack_documents(docs: DataFrame, tokenizer: str, *, id_col: str = "doc_id", text_col: str = "text", capacity: int = 2048, end_id: int = 0, payload: str = "ids") -> DataFrame:
+def pack_documents(docs: DataFrame, tokenizer: str, *, id_col: str = "doc_id", text_col: str = "text", capacity: int = 2048, end_id: int = 0, payload: str = "ids", table_bytes: int = TABLE_BYTES) -> DataFrame:
     """Tokenise, cut and pack all documents: ``cut_pieces`` and then ``pack``."""
-    return pack(cut_pieces(docs, tokenizer, id_col=id_col, text_col=text_col, capacity=capacity, end_id=end_id, payload=payload), capacity=capacity)
+    return pack(cut_pieces(docs, tokenizer, id_col=id_col, text_col=text_col, capacity=capacity, end_id=end_id, payload=payload, table_bytes=table_bytes), capacity=capacity)
 
 
 def corpus_bound(packed: DataFrame, *, capacity: int = 2048) -> tuple[int, int]:
