@@ -23,8 +23,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidepanel.llm.chunks import TABLE_BYTES, ChunkTable, collect, word_chunks
-from tidepanel.llm.common import column_list, discard, fresh, materialize, parts_for, set_aside, slices
+from tidepanel.llm.common import discard, fresh, materialize, parts_for, set_aside, slices
 from tidepanel.llm.token_counts import drops_white_space
+from tidepanel.llm.units import UnitTable
 
 BATCH_BYTES = 2 << 20
 #: Pieces of a partition. A certified partition wastes less than one bin, so the fewer the better.
@@ -32,8 +33,8 @@ PARTITION_PIECES = 65_536
 #: Partitions whose open bins meet in one in the next round.
 FAN_IN = 8
 
-#: By line: a chunk of Latin letters and ASCII signs after them, which the tokenizer splits between the two; of other chunks, two empty texts.
-_SIMPLE = re.compile(r"^(?:([A-Za-zÀ-ÖØ-öø-ÿ]+)([,.!?;:*$%&#|]*)$|.*$)", re.M).findall
+#: A lower-case word of Latin letters.
+_PLAIN = re.compile("[a-zà-öø-ÿ]+").fullmatch
 #: Words that go to the library as one text.
 WORDS_AT_ONCE = 250
 _TABLES: dict[str, tuple] = {}
@@ -74,7 +75,6 @@ class IdCodec:
         vocabulary = self.tokenizer.get_vocab(with_added_tokens=False)
         self.closes = np.zeros(max(vocabulary.values(), default=0) + 1, dtype=bool)
         self.closes[[i for t, i in vocabulary.items() if suffix and t.endswith(suffix)]] = True
-        self.signs: dict[str, bytes] = {"": b""}
         # plain words may go to the merges at once only where that gives what the whole tokenizer gives
         probes = ["Straße", "señor", "êtreÀ", "dog", "THE", "ÿ", "ŵ".encode().decode("latin-1")[:1] + "x"]
         self.simple = self.drops and bool(suffix)
@@ -102,33 +102,32 @@ class IdCodec:
             return None
         return [data[a:b] for a, b in zip([0, *ends], ends, strict=False)]
 
-    def _signs(self, signs: str) -> bytes:
-        found = self.signs.get(signs)
-        if found is None:
-            if len(self.signs) > 10_000:
-                self.signs = {"": b""}
-            found = self.signs[signs] = self._pack(self._whole(signs))
-        return found
-
     def encode(self, chunks: list[str]) -> list[bytes]:
-        halves = _SIMPLE("\n".join(chunks)) if self.simple else []
-        words = self._words([a.lower() for a, _ in halves if a])
-        if len(halves) != len(chunks) or words is None:
-            halves, words = [("", "")] * len(chunks), []
-        whole = [c for c, (a, _) in zip(chunks, halves, strict=True) if not a]
+        plain = [c for c in chunks if _PLAIN(c)] if self.simple else []
+        words = self._words(plain)
+        found = {} if words is None else dict(zip(plain, words, strict=True))
+        whole = [c for c in chunks if c not in found]
         others = map(self._pack, [e.ids for e in self.tokenizer.encode_batch_fast(whole, add_special_tokens=False)])
-        following = iter(words)
-        return [next(following) + self._signs(b) if a else next(others) for a, b in halves]
+        return [found[c] if c in found else next(others) for c in chunks]
 
 
-def ids_of_texts(texts: list[str | None], path: str, table_bytes: int = TABLE_BYTES) -> list[bytes]:
-    """The ids of whole texts, each as packed little-endian 32-bit numbers; ``table_bytes`` of chunks are remembered."""
+def ids_of_column(texts: pa.Array, path: str, table_bytes: int = TABLE_BYTES) -> tuple[np.ndarray, np.ndarray]:
+    """The ids of whole texts, one text behind the other, and where each begins and the last one ends; ``table_bytes`` of keys are remembered."""
     if path not in _TABLES:
         own = IdCodec(path)
-        _TABLES[path] = (word_chunks if own.drops else (lambda text: [text]), ChunkTable(own.encode))
-    cut, table = _TABLES[path]
+        _TABLES[path] = (own, UnitTable(own.encode, table_bytes) if own.simple else ChunkTable(own.encode))
+    own, table = _TABLES[path]
     table.table_bytes = table_bytes
-    return collect(texts, cut, table, b"".join, b"".join)
+    if own.simple:
+        return table.texts(texts)
+    packed = collect(texts.to_pylist(), word_chunks if own.drops else (lambda text: [text]), table, b"".join, b"".join)
+    return np.frombuffer(b"".join(packed), "<u4"), np.cumsum([0, *map(len, packed)]) // 4
+
+
+def ids_of_texts(texts: list[str | None], path: str, table_bytes: int = TABLE_BYTES) -> list[bytes]:
+    """The ids of whole texts, each as packed little-endian 32-bit numbers; ``table_bytes`` of keys are remembered."""
+    ids, places = ids_of_column(pa.array(texts, pa.string()), path, table_bytes)
+    return [ids[a:b].tobytes() for a, b in zip(places, places[1:], strict=False)]
 
 
 def cut_pieces(docs: DataFrame, tokenizer: str, *, id_col: str = "doc_id", text_col: str = "text", capacity: int = 2048, end_id: int = 0, payload: str = "ids", table_bytes: int = TABLE_BYTES) -> DataFrame:
@@ -142,22 +141,22 @@ def cut_pieces(docs: DataFrame, tokenizer: str, *, id_col: str = "doc_id", text_
     kind = dict(docs.dtypes)[id_col]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        width = 4 * capacity
-        tail = struct.pack("<I", end_id)
         for whole in batches:
             for batch in slices(whole, "text", BATCH_BYTES):
-                rows, pieces, starts, lengths, load = [], [], [], [], []
-                for i, packed in enumerate(ids_of_texts(column_list(batch, "text"), tokenizer, table_bytes)):
-                    packed += tail
-                    for k, at in enumerate(range(0, len(packed), width)):
-                        part = packed[at : at + width]
-                        rows.append(i)
-                        pieces.append(k)
-                        starts.append(at // 4)
-                        lengths.append(len(part) // 4)
-                        load.append(zlib.crc32(part) if payload == "crc32" else np.frombuffer(part, "<u4").astype(np.int32))
-                form = pa.int64() if payload == "crc32" else pa.list_(pa.int32())
-                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(rows, pa.int64())), pa.array(pieces, pa.int32()), pa.array(starts, pa.int64()), pa.array(lengths, pa.int64()), pa.array(load, form)], names)
+                ids, places = ids_of_column(batch.column(1), tokenizer, table_bytes)
+                ids = np.insert(ids, places[1:], end_id)
+                places = places + np.arange(len(places))  # an end id for each text before
+                counts = -(-np.diff(places) // capacity)
+                rows = np.repeat(np.arange(len(counts)), counts)
+                pieces = np.arange(len(rows)) - np.repeat(counts.cumsum() - counts, counts)
+                starts = pieces * capacity
+                at = np.append(places[rows] + starts, len(ids))  # pieces lie one behind the other
+                if payload == "crc32":
+                    data = memoryview(ids).cast("B")
+                    load = pa.array([zlib.crc32(data[4 * a : 4 * b]) for a, b in zip(at.tolist(), at[1:].tolist(), strict=False)], pa.int64())
+                else:
+                    load = pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(ids.view("<i4")))
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(rows)), pa.array(pieces, pa.int32()), pa.array(starts), pa.array(np.diff(at)), load], names)
 
     names = [id_col, "piece", "start", "length", "ids_crc32" if payload == "crc32" else "ids"]
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
