@@ -50,6 +50,19 @@ def test_a_word_is_encoded_once_whatever_its_case_and_signs(monkeypatch):
     assert len(asked) == len(set(asked))
 
 
+def test_a_small_table_takes_small_windows(monkeypatch):
+    from tidepanel.llm import units
+
+    seen, window = [], units.UnitTable.window
+    monkeypatch.setattr(packing, "_TABLES", {})
+    monkeypatch.setattr(units.UnitTable, "window", lambda own, data, starts: seen.append(len(data)) or window(own, data, starts))
+    text = ["two words " * 60_000]
+    want = packing.ids_of_texts(text, WORDS)
+    assert seen == [600_000]
+    assert packing.ids_of_texts(text, WORDS, 400_000) == want
+    assert sum(seen[1:]) == 600_000 and max(seen[1:]) <= 100_000
+
+
 def test_pieces_of_texts_in_one_batch(spark, library):
     texts = {1: None, 2: "", 3: "Over, and OVER! " * 20, 4: "one", 5: "\n", 6: "x" * 400}
     docs = spark.createDataFrame(list(texts.items()), "doc_id bigint, text string").coalesce(1)

@@ -12,8 +12,10 @@ from itertools import repeat
 import numpy as np
 import pyarrow as pa
 
-#: Bytes of text whose units are held at once. A chunk without white space is never cut.
+#: Bytes of text whose units are held at once: at most this, and a quarter of what the table of units may hold if that is
+#: less, but never under ``LEAST_WINDOW``. A chunk without white space is never cut.
 WINDOW_BYTES = 2 << 20
+LEAST_WINDOW = 64 << 10
 #: Characters of new units that are encoded at once.
 FILL_CHARS = 64 << 10
 #: Signs that may stand behind a plain word.
@@ -72,11 +74,11 @@ def split_units(data: np.ndarray, starts: np.ndarray) -> tuple[pa.StringArray, n
     return pa.StringArray.from_buffers(len(ends) - 1, pa.py_buffer(ends), pa.py_buffer(flat)), counted
 
 
-def windows(data: np.ndarray) -> Iterator[tuple[int, int]]:
-    """Ranges of about ``WINDOW_BYTES`` that end before white space."""
+def windows(data: np.ndarray, size: int) -> Iterator[tuple[int, int]]:
+    """Ranges of about ``size`` bytes that end before white space."""
     at = 0
     while at < len(data):
-        end = at + WINDOW_BYTES
+        end = at + size
         if end < len(data):
             gaps = np.flatnonzero(np.isin(data[at + 1 : end], list(GAPS)))
             if len(gaps):
@@ -147,7 +149,7 @@ class UnitTable:
         bounds = bounds - bounds[0]
         places = np.empty(len(bounds), np.int64)
         found, total = [np.empty(0, "<u4")], 0
-        for a, b in windows(data):
+        for a, b in windows(data, min(WINDOW_BYTES, max(LEAST_WINDOW, self.table_bytes // 4))):
             lo, hi = np.searchsorted(bounds, [a, b])
             ids, before = self.window(data[a:b], bounds[lo:hi] - a)
             places[lo:hi] = total + before
