@@ -2,11 +2,11 @@ from datetime import date
 
 import pandas as pd
 import pytest
+from pyspark.sql import functions as F
 
 from tidepanel.operators import aggregates as agg
 from tidepanel.operators import selection
 from tidepanel.operators import xsection as xs
-from pyspark.sql import functions as F
 
 D = date(2024, 1, 5)
 
@@ -71,3 +71,16 @@ def test_calibration_keeps_empty_bins_and_right_edges(spark):
     df = spark.createDataFrame([(0.0, 1.0), (0.1, 0.0), (0.11, 1.0), (1.0, 1.0)], "p double, y double")
     n = {r["bin"]: r["n"] for r in agg.calibration(df, "p", "y").collect()}
     assert n[0] == 2 and n[1] == 1 and n[9] == 1 and len(n) == 10
+
+
+def test_ranks_of_many_columns_take_one_exchange_and_equal_the_windows(spark):
+    rows = [("d1", f"t{i}", [3.0, None, 1.0, 3.0, float("nan"), -0.0, 0.0][i % 7], i % 4) for i in range(30)] + [("d2", None, 1.0, 1), ("d2", "a", 2.0, 1), (None, "b", 5.0, 2)]
+    df = spark.createDataFrame(rows, "date string, ticker string, x double, n int")
+    got = xs.rank_columns(df, ["x", "n"])
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1 and "Join" not in plan
+    want = df.withColumns({"x_rk": xs.percentile_rank(F.col("x")), "n_rk": xs.percentile_rank(F.col("n").cast("double"))})
+    key = lambda r: (str(r["date"]), str(r["ticker"]))
+    for a, b in zip(sorted(got.collect(), key=key), sorted(want.collect(), key=key), strict=True):
+        known = a["date"] is not None and a["ticker"] is not None
+        assert (a["x_rk"], a["n_rk"]) == ((b["x_rk"], b["n_rk"]) if known else (None, None))
